@@ -38,7 +38,10 @@ class BitVector:
         return cls(data, np.concatenate([[0], each.cumsum()]).astype(np.int64))
 
     def select(self, k: np.ndarray, bit: int = 1) -> np.ndarray:
-        """The place of the k-th (from 0) one or zero."""
+        """The place of the k-th (from 0) one or zero. So many that they touch most of the bits are found by one pass over these."""
+        if 16 * len(k) > 8 * len(self.data):
+            bits = np.unpackbits(self.data, bitorder="little")
+            return np.flatnonzero(bits == bit)[k]
         before = self.ones if bit else np.arange(len(self.ones)) * 64 - self.ones
         word = np.searchsorted(before, k, side="right") - 1
         left = k - before[word]
@@ -97,7 +100,7 @@ class EliasFano:
         return (upper << _U(self.bits)) | unpack(self.low, self.bits, i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The first place of each value, or -1: its high part names a run of places, whose low parts rise."""
+        """The first place of each value, or -1: its high part names a run of places, whose low parts rise and are halved."""
         values = values.astype(_U)
         out = np.full(len(values), -1, np.int64)
         todo = np.flatnonzero(values <= _U(self.top)) if self.n else np.zeros(0, np.int64)
@@ -105,15 +108,17 @@ class EliasFano:
         want = values[todo] & _U((1 << self.bits) - 1)
         end = self.high.select(upper, 0) - upper
         at = np.where(upper > 0, self.high.select(np.maximum(upper - 1, 0), 0) - upper + 1, 0)
-        while len(todo):
-            go = at < end
-            todo, want, at, end = todo[go], want[go], at[go], end[go]
-            if not len(todo):
-                break
-            have = unpack(self.low, self.bits, at)
-            out[todo[have == want]] = at[have == want]
-            more = have < want
-            todo, want, at, end = todo[more], want[more], at[more] + 1, end[more]
+        stop = end.copy()
+        low, live = at.copy(), np.flatnonzero(at < end)
+        while len(live):  # halve each run of equal high parts
+            mid = (low[live] + end[live]) >> 1
+            less = unpack(self.low, self.bits, mid) < want[live]
+            low[live] = np.where(less, mid + 1, low[live])
+            end[live] = np.where(less, end[live], mid)
+            live = live[low[live] < end[live]]
+        inside = np.flatnonzero(low < stop)
+        inside = inside[unpack(self.low, self.bits, low[inside]) == want[inside]]
+        out[todo[inside]] = low[inside]
         return out
 
 

@@ -16,6 +16,7 @@ first term quantised.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,10 +162,16 @@ class Block:
         """The pairs to ask for, by part, context and word; and their parts."""
         which = np.flatnonzero(~self.private)
         p = self.parts(which, parts, total)
-        h, w = self.keys(which)
-        order = np.lexsort((w, h, p))
+        order = self.order(which, p)
         return which[order], p[order]
 
+    def order(self, which: np.ndarray, parts: np.ndarray | int = 0) -> np.ndarray:
+        """By part, context's hash and word's: by the ranks of these in the block, as one number."""
+        by_context, by_word = np.empty(len(self.hashes), np.int64), np.empty(len(self.hashes), np.int64)
+        by_context[np.argsort(self.hashes)] = by_word[np.argsort(self.hashes & _U((1 << WORD_BITS) - 1))] = np.arange(len(self.hashes))
+        n = len(self.hashes)
+        return np.argsort((parts * n + by_context[self.u[which]]) * n + by_word[self.w[which]])
+
 
 def _trie(h: np.ndarray, w: np.ndarray, seen: np.ndarray, context: np.ndarray, prior: float) -> Trie:
     """From sorted pairs with their training counts and their contexts' counts; pairs that several blocks name are one."""
@@ -223,9 +230,8 @@ def _scored(parts: int, total: int, distinct: int, prior: float):
         if len(which):
             codes[which] = np.frombuffer(b"".join(got["codes"]), np.uint8)
         own = np.flatnonzero(b.private)
+        own = own[b.order(own)]
         h, w = b.keys(own)
-        order = np.lexsort((w, h))
-        own, h, w = own[order], h[order], w[order]
         codes[own] = _trie(h, w, b.seen[own], b.counts[b.u[own]], prior).lookup(h, w)
         below = (b.counts + 1) / (total + distinct + 1)
         context = b.counts[b.u]
@@ -255,6 +261,10 @@ def scores(docs: DataFrame, held_out: Column, prior: float = PRIOR, block_tokens
     request = "block long, part int, contexts binary, runs binary, totals binary, words binary, seen binary"
     requests = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_asked(parts, total), request)
     codes = staged(requests.groupBy("part").applyInPandas(_answer(prior), "block long, part int, codes binary"), "lm-bigrams")
+    # The requests' shuffles are not needed any more; a collection on the driver lets Spark's cleaner remove their files.
+    del requests
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     answers = counts.withColumn("codes", F.lit(None).cast("binary")).unionByName(codes.withColumn("counts", F.lit(None).cast("binary")))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(parts, total, distinct, prior), result)
