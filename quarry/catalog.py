@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import hdl, retrieval
+from .plans import design, telemetry
+from .plans.relations import RELATIONS
+from .plans.sqlkit import expand, spark_query
+
+SQL = {name: expand(sql, RELATIONS) for part in (telemetry.S, design.S) for name, sql in part.items()}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["a13_overall_health"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: spark_query(sql) for name, sql in SQL.items()} | hdl.QUERIES | retrieval.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL | hdl.ORACLE | retrieval.ORACLE

@@ -1,0 +1,115 @@
+"""Facts from hardware-description text: a corpus made from table rows, lines, comments, definitions, and rules.
+
+All are column expressions over text; a fold over a file's lines stands where a
+state runs from line to line. A null text has no lines and no facts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def corpus(part: DataFrame) -> DataFrame:
+    """(file_id, path, source): one module a part, with ports, two child instances, comments, an include and style faults by the part's number."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    text = lambda c: c.cast("string")
+    ports = F.concat_ws(", ", F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("input p"), text(i))))
+    lines = [
+        F.concat(F.lit("// file "), text(k)),
+        F.when(k % 3 == 0, F.concat(F.lit('`include "m'), text(F.floor(k / 3)), F.lit('.vh"'))).otherwise(F.lit("")),
+        F.when(k % 5 == 0, F.concat(F.lit("import pkg"), text(k % 7), F.lit("::*;"))).otherwise(F.lit("")),
+        F.lit("/* block"), F.lit("   // still inside */"),
+        F.concat(F.lit("module m"), text(k), F.lit(" ("), ports, F.lit(");")),
+        F.concat(F.lit("  sub m"), text(2 * k), F.lit("_i (.a(a));")),
+        F.when(k % 4 == 0, F.lit("\tassign x = 1; // TODO tidy")).otherwise(F.lit("  assign x = 1;")),
+        F.when(k % 6 == 0, F.lit("  assign y = 2;  ")).otherwise(F.lit("  assign y = 2;")),
+        F.when(k % 10 == 0, F.concat(F.lit("  // "), F.repeat(F.lit("x"), 130))).otherwise(F.lit("  // short")),
+        F.lit("endmodule"),
+    ]
+    return part.select(k.alias("file_id"), F.concat(F.lit("rtl/m"), text(k), F.lit(".v")).alias("path"), F.concat_ws("\n", *lines).alias("source"))
+
+
+def lines(files: DataFrame) -> DataFrame:
+    """(file_id, line_no from 1, line)."""
+    return files.select("file_id", F.posexplode(F.split("source", "\n", -1)).alias("at", "line")).select("file_id", (F.col("at") + 1).alias("line_no"), "line")
+
+
+def stripped(source: Column) -> Column:
+    """Without block and line comments; newlines stay, so that line numbers hold."""
+    blocks = F.regexp_replace(source, r"(?s)/\*(?:(?!\*/).)*\*/", "\n")
+    return F.regexp_replace(blocks, r"//[^\n]*", "")
+
+
+def comment_counts(files: DataFrame) -> DataFrame:
+    """Lines by kind; a fold carries whether a block comment is open."""
+    fold = F.aggregate(
+        F.split("source", "\n", -1),
+        F.struct(F.lit(False).alias("open"), F.lit(0).alias("comment"), F.lit(0).alias("blank"), F.lit(0).alias("code")),
+        lambda a, raw: F.struct(
+            F.when(a["open"], ~F.contains(raw, F.lit("*/"))).otherwise(F.startswith(F.trim(raw), F.lit("/*")) & ~F.contains(raw, F.lit("*/"))).alias("open"),
+            (a["comment"] + F.when(a["open"] | F.trim(raw).rlike(r"^(//|/\*)"), 1).otherwise(0)).alias("comment"),
+            (a["blank"] + F.when(~a["open"] & (F.trim(raw) == ""), 1).otherwise(0)).alias("blank"),
+            (a["code"] + F.when(~a["open"] & (F.trim(raw) != "") & ~F.trim(raw).rlike(r"^(//|/\*)"), 1).otherwise(0)).alias("code"),
+        ),
+    )
+    return files.select("file_id", fold.alias("c")).select("file_id", "c.comment", "c.blank", "c.code")
+
+
+def modules(files: DataFrame) -> DataFrame:
+    """(file_id, module, ports): definitions with the number of non-empty comma pieces of their port list."""
+    text = stripped(F.col("source"))
+    names = F.regexp_extract_all(text, F.lit(r"\bmodule\s+(\w+)\s*\("), 1)
+    lists = F.regexp_extract_all(text, F.lit(r"\bmodule\s+\w+\s*\(([^;]*)\)\s*;"), 1)
+    both = F.arrays_zip(names.alias("name"), lists.alias("ports"))
+    found = files.select("file_id", F.explode(both).alias("m"))
+    pieces = F.size(F.filter(F.split("m.ports", ","), lambda p: F.trim(p) != ""))
+    return found.select("file_id", F.col("m.name").alias("module"), pieces.alias("ports"))
+
+
+def instances(files: DataFrame) -> DataFrame:
+    """(file_id, type, instance) of `type instance (` lines outside comments."""
+    text = stripped(F.col("source"))
+    return files.select("file_id", F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(\w+\s+\w+)\s*\(\s*\."), 1)).alias("x")).select("file_id", F.split("x", r"\s+")[0].alias("type"), F.split("x", r"\s+")[1].alias("instance"))
+
+
+def includes(files: DataFrame) -> DataFrame:
+    """(file_id, line_no, kind, target): include and wildcard import lines."""
+    inc, imp = r'^\s*`include\s+["<]([^">]+)[">]', r"^\s*import\s+(\w+)::\*"
+    target = F.coalesce(F.nullif(F.regexp_extract("line", inc, 1), F.lit("")), F.nullif(F.regexp_extract("line", imp, 1), F.lit("")))
+    kind = F.when(F.col("line").rlike(inc), "include").otherwise("package_import")
+    return lines(files).select("file_id", "line_no", kind.alias("kind"), target.alias("target")).where("target is not null")
+
+
+STYLE = {"long_line": F.length, "tab": lambda c: F.contains(c, F.lit("\t")), "trailing_space": lambda c: c.rlike(r"[ \t]+$"), "todo": lambda c: c.rlike(r"//.*\b(TODO|FIXME|HACK)\b")}
+
+
+def style(files: DataFrame, width: int = 120) -> DataFrame:
+    """(file_id, line_no, rule): long lines, tabs, trailing space and open tasks, one row for each rule a line breaks."""
+    c = F.col("line")
+    hits = F.array_compact(F.array(*[F.when((F.length(c) > width) if r == "long_line" else test(c), F.lit(r)) for r, test in STYLE.items()]))
+    return lines(files).select("file_id", "line_no", F.explode(hits).alias("rule"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+QUERIES = {
+    "x01_includes": lambda spark, d: includes(_files(spark, d)),
+    "x02_modules": lambda spark, d: modules(_files(spark, d)),
+    "x03_instances": lambda spark, d: instances(_files(spark, d)),
+    "r02_style": lambda spark, d: style(_files(spark, d)),
+    "w01_lines": lambda spark, d: lines(_files(spark, d)).groupBy("file_id").agg(F.max("line_no").alias("n_lines")),
+    "w02_comment_state": lambda spark, d: comment_counts(_files(spark, d)),
+}
+
+#: What the corpus holds by construction, from the same rows.
+ORACLE = {
+    "x01_includes": "SELECT p_partkey AS file_id, 2 AS line_no, 'include' AS kind, 'm' || (p_partkey // 3)::VARCHAR || '.vh' AS target FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 3, 'package_import', 'pkg' || (p_partkey % 7)::VARCHAR FROM part WHERE p_partkey % 5 = 0",
+    "x02_modules": "SELECT p_partkey AS file_id, 'm' || p_partkey::VARCHAR AS module, p_size AS ports FROM part",
+    "x03_instances": "SELECT p_partkey AS file_id, 'sub' AS type, 'm' || (2 * p_partkey)::VARCHAR || '_i' AS instance FROM part",
+    "r02_style": "SELECT p_partkey AS file_id, 6 AS line_no, 'long_line' AS rule FROM part WHERE len('module m' || p_partkey::VARCHAR || ' (') + 2 + 7 * p_size + list_sum(list_transform(range(1, p_size + 1), lambda i: len(i::VARCHAR))) + 2 * (p_size - 1) > 120 UNION ALL SELECT p_partkey, 8, 'tab' FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 8, 'todo' FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 9, 'trailing_space' FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT p_partkey, 10, 'long_line' FROM part WHERE p_partkey % 10 = 0",
+    "w01_lines": "SELECT p_partkey AS file_id, 11 AS n_lines FROM part",
+    "w02_comment_state": "SELECT p_partkey AS file_id, 4 AS comment, (CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END) AS blank, 11 - 4 - (CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END) AS code FROM part",
+}
