@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, staged, table
@@ -151,8 +151,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
     return texts.join(ids.select("node").hint("shuffle_hash"), "node", "left_semi").mapInPandas(run, "node long, shingles binary")
 
 
-@F.pandas_udf("double")
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+def jaccard(a: str, b: str) -> Column:
+    """Of two columns of shingles."""
+
     def one(x: bytes, y: bytes) -> float:
         p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
         if min(len(p), len(q)) < 0.01 * max(len(p), len(q)):
@@ -160,7 +161,11 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         both = len(np.intersect1d(p, q, assume_unique=True))
         return both / (len(p) + len(q) - both)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    @F.pandas_udf("double")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)])
+
+    return run(a, b)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
