@@ -30,6 +30,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """As staged, but in buckets by key: what groups or joins by that key later reads them where they are and moves only the other side."""
+    spark = df.sparkSession
+    unique = f"quarry_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarry/{unique}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(min(buckets, 100_000), key).saveAsTable(unique)
+    return spark.table(unique)
+
+
 def row_key(column: str, *fallback: Column) -> Column:
     """A 64-bit hash of an id; a null id is hashed by the fallback columns, so that nulls spread too."""
     return F.when(F.col(column).isNull(), F.xxhash64(*fallback)).otherwise(F.xxhash64(F.col(column)))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import bucketed, staged, table
 from .elias_fano import WORD_BITS, Trie, dequantise, quantise
 
 PRIOR, BLOCK_TOKENS, PART_DOCS, LEAST_PARTS = 200.0, 1 << 20, 2000, 64
@@ -252,7 +252,7 @@ def _scored(parts: int, total: int, distinct: int, prior: float):
 def scores(docs: DataFrame, held_out: Column, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document; a null text has its end as its only token. Without training documents every score is the unknown word's."""
     parts = max(LEAST_PARTS, -(-docs.count() // PART_DOCS))
-    every = staged(blocks(docs, held_out, parts, block_tokens), "lm-blocks")
+    every = bucketed(blocks(docs, held_out, parts, block_tokens), "block", parts, "lm_blocks")
     texts = every.where("part < 0").select("block", "doc_ids", "flags", "lengths", "words", "tokens")
     asked = every.where("part >= 0").select("block", "part", "hashes", "counts")
     words = staged(asked.groupBy("part").applyInPandas(count_words, "block long, part int, counts binary, n long, v long"), "lm-words")
