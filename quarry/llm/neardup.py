@@ -169,11 +169,21 @@ def jaccard(a: str, b: str) -> Column:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(a, "a").join(b, "b")
+    """The classes (a, b) that pairs of texts (p, q: structs of id and class so far) link."""
+    x = sets.select(F.col("node").alias("x_id"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("y_id"), F.col("shingles").alias("y"))
+    both = pairs.join(x, F.col("p.id") == F.col("x_id")).join(y, F.col("q.id") == F.col("y_id"))
     least = F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x"), F.length("y"))
-    return both.where(least >= threshold).where(jaccard("x", "y") >= threshold).select("a", "b")
+    return both.where(least >= threshold).where(jaccard("x", "y") >= threshold).select(F.col("p.label").alias("a"), F.col("q.label").alias("b"))
+
+
+def _merged(label: DataFrame | None, step: DataFrame) -> DataFrame:
+    """Labels of ids after a step that labelled labels."""
+    if label is None:
+        return step
+    to = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = label.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return staged(moved.unionByName(step.join(label.select("node"), "node", "left_anti")), "labels")
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -187,30 +197,25 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
     reps = staged(sigs.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "representatives")
     keys = reps.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = staged(keys.join(buckets.select("key"), "key"), "members")
+    members = staged(keys.join(buckets.select("key"), "key").withColumn("label", F.col("node")), "members")
     sets = staged(shingle_sets(docs, members.select("node").distinct(), words), "shingles")
-    links, leaders_each = None, 1
-    while True:
+    label, leaders_each = None, 1
+    while not members.isEmpty():
         # One leader for each bucket and class of ids; classes grow, so that rounds stay few.
         part = F.pmod(F.xxhash64("node"), F.lit(leaders_each))
-        lead = members.groupBy("key", part.alias("part")).agg(F.min("node").alias("a"))
-        labelled = members if links is None else members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))  # noqa: F821
-        if links is None:
-            pairs = labelled.join(lead.drop("part"), "key").select("a", F.col("node").alias("b"))
-        else:
-            own = label.select(F.col("node").alias("a"), F.col("label").alias("own"))  # noqa: F821
-            pairs = labelled.join(lead.drop("part").join(own, "a", "left").withColumn("own", F.coalesce("own", "a")), "key").where("label <> own").select("a", F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        new = staged(_linked(pairs, sets, threshold), "links")
-        links = new if links is None else links.unionByName(new)
-        label = staged(components(links), "labels")
-        rest = members.join(lead.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        now = rest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        members = staged(rest.join(open_, "key"), "members")
-        if members.isEmpty():
-            break
+        lead = members.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.col("node").alias("id"), "label")).alias("lead")).select("key", "lead")
+        pairs = members.join(lead, "key").where("label <> lead.label").withColumn("member", F.struct(F.col("node").alias("id"), "label"))
+        new = staged(_linked(pairs.select(F.least("lead", "member").alias("p"), F.greatest("lead", "member").alias("q")).distinct(), sets, threshold), "links")
+        if not new.isEmpty():
+            label = _merged(label, components(new))
+        rest = members.join(lead.select("key", F.col("lead.id").alias("node")), ["key", "node"], "left_anti")
+        if label is not None:
+            rest = rest.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+        members = staged(rest.join(open_, "key").select("key", "node", "label"), "members")
         leaders_each *= 4
+    if label is None:
+        label = reps.select("node", F.col("node").alias("label")).limit(0)
     found = reps.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     named = sigs.select("doc_id", "digest").join(found, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return staged(named, "classes")
