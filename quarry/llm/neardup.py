@@ -9,10 +9,14 @@ product. The dart of least rank at each coordinate makes the signature.
 
 Texts with equal words are one from the start. Signatures are cut into bands,
 and texts that share a band are candidates. In each bucket members are compared
-with a leader by exact Jaccard similarity; links merge components; buckets whose
-members are not yet of one component go on, with more leaders every round, until
-every pair has been compared or is connected. So no link found by a band is
-lost, and a bucket of thousands of copies costs a comparison each, not all pairs.
+with a leader by exact Jaccard similarity, and links merge components. Texts of
+buckets that are not of one component then (such as those that share a long
+passage and little else) are dealt anew by their rarest shingles: two sets of the
+needed similarity must share one of the rarest fifth of the longer's and one of
+the rarest ninth of the shorter's, so texts that share only what is common never
+meet. Those buckets go on with more leaders every round until every pair that can
+be similar has been compared or is connected. So no link found by a band is lost,
+and a bucket of thousands of copies costs a comparison each, not all pairs.
 """
 
 from __future__ import annotations
@@ -186,6 +190,61 @@ def _merged(label: DataFrame | None, step: DataFrame) -> DataFrame:
     return staged(moved.unionByName(step.join(label.select("node"), "node", "left_anti")), "labels")
 
 
+def rare_first(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(key, node, size, at, short): a row for each shingle that may be the rarest one a similar pair shares.
+
+    Shingles are ordered by how many of the nodes have them. ``short`` tells
+    whether the shingle may be that of a pair's smaller set; keys without such a
+    row or with one row only are left out. ``at`` is the shingle's place in the order.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int32) for x in batch["shingles"]]
+            yield pd.DataFrame({"node": batch["node"], "size": [len(x) for x in found], "keys": found})
+
+    some = sets.join(nodes.hint("shuffle_hash"), "node", "left_semi").mapInPandas(run, "node long, size int, keys array<int>")
+    each = staged(some.select("node", "size", F.explode("keys").alias("key")), "rare-shingles")
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Shingles of one node alone come first and meet nothing; the others follow them.
+    mine = each.join(often, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    room = lambda t: (F.col("size") - F.ceil(F.col("size") * F.lit(t) - F.lit(1e-9)) + 1).cast("int")
+    alone = F.col("size") - F.size("shared")
+    rows = mine.select("node", "size", alone.alias("alone"), room(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(room(threshold) - alone, F.lit(0)))).alias("at", "x"))
+    rows = staged(rows.select(F.col("x.key").cast("long").alias("key"), "node", "size", (F.col("alone") + F.col("at")).alias("at"), (F.col("alone") + F.col("at") < F.col("short")).alias("short")), "rare-first")
+    useful = rows.groupBy("key").agg(F.max("short").alias("s"), F.count(F.lit(1)).alias("n")).where("s and n > 1").select("key")
+    return rows.join(useful, "key")
+
+
+def _relabelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return members if "label" in members.columns else members.withColumn("label", F.col("node"))
+    return members.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets of several classes that still have a leader to offer."""
+    open_ = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("short").alias("s")).where("x < y and s").select("key")
+    return staged(members.join(open_, "key").select("key", "node", "label", "size", "at", "short"), "members")
+
+
+def _round(members: DataFrame, label: DataFrame | None, sets: DataFrame, threshold: float, leaders_each: int) -> tuple[DataFrame, DataFrame | None]:
+    """Compare members with their buckets' leaders, the smaller sets of pairs; what is still open, and the labels."""
+    part = F.pmod(F.xxhash64("node"), F.lit(leaders_each))
+    one = F.struct(F.col("node").alias("id"), "label", "size", "at")
+    lead = members.where("short").groupBy("key", part.alias("part")).agg(F.min(one).alias("lead")).select("key", "lead")
+    # If this shingle is the first that a pair shares, the pair shares no more than what follows it.
+    enough = F.expr("1 + least(size - at - 1, lead.size - lead.at - 1)") >= (F.expr("size + lead.size") * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    near = F.expr("label <> lead.label and size >= lead.size") & enough
+    pairs = members.join(lead, "key").where(near).withColumn("member", one)
+    new = staged(_linked(pairs.select(F.least("lead", "member").alias("p"), F.greatest("lead", "member").alias("q")).distinct(), sets, threshold), "links")
+    if not new.isEmpty():
+        label = _merged(label, components(new))
+    used = lead.select("key", F.col("lead.id").alias("node"), F.lit(True).alias("used"))
+    rest = members.join(used, ["key", "node"], "left").withColumn("short", F.col("short") & F.col("used").isNull()).drop("used")
+    return _open(_relabelled(rest, label)), label
+
+
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id): class_id is the least doc_id among the near copies.
 
@@ -197,23 +256,16 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
     reps = staged(sigs.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "representatives")
     keys = reps.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = staged(keys.join(buckets.select("key"), "key").withColumn("label", F.col("node")), "members")
+    members = staged(keys.join(buckets.select("key"), "key").select("key", "node", F.col("node").alias("label"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(True).alias("short")), "members")
     sets = staged(shingle_sets(docs, members.select("node").distinct(), words), "shingles")
-    label, leaders_each = None, 1
-    while not members.isEmpty():
-        # One leader for each bucket and class of ids; classes grow, so that rounds stay few.
-        part = F.pmod(F.xxhash64("node"), F.lit(leaders_each))
-        lead = members.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.col("node").alias("id"), "label")).alias("lead")).select("key", "lead")
-        pairs = members.join(lead, "key").where("label <> lead.label").withColumn("member", F.struct(F.col("node").alias("id"), "label"))
-        new = staged(_linked(pairs.select(F.least("lead", "member").alias("p"), F.greatest("lead", "member").alias("q")).distinct(), sets, threshold), "links")
-        if not new.isEmpty():
-            label = _merged(label, components(new))
-        rest = members.join(lead.select("key", F.col("lead.id").alias("node")), ["key", "node"], "left_anti")
-        if label is not None:
-            rest = rest.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        members = staged(rest.join(open_, "key").select("key", "node", "label"), "members")
-        leaders_each *= 4
+    members, label = _round(members, None, sets, threshold, 1)
+    if not members.isEmpty():
+        members = staged(_relabelled(rare_first(sets, members.select("node").distinct(), threshold), label), "rare")
+        members, leaders_each = _open(members), 16
+        while not members.isEmpty():
+            # One leader for each bucket and class of ids; classes grow, so that rounds stay few.
+            members, label = _round(members, label, sets, threshold, leaders_each)
+            leaders_each *= 8
     if label is None:
         label = reps.select("node", F.col("node").alias("label")).limit(0)
     found = reps.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
