@@ -10,7 +10,8 @@ that a third of all pieces share is never sorted in one task.
 
 from __future__ import annotations
 
-import re
+import functools
+import json
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -23,11 +24,8 @@ from pyspark.sql import functions as F
 from .common import row_key, staged, table
 
 WINDOW, END, SALTS, VOCABULARY = 1024, 2, 512, "byte_bpe_50k.json"
-#: The vocabulary's pattern, once in general and once for texts within Latin-1.
-GENERAL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", " \t\n\x0b\x0c\r\x85\xa0"
-LATIN = f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-REMEMBERED = 400_000
+#: Fixed value: the vocabulary's pattern for cutting words, without backtracking.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,39 +38,49 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's own.
 
-    The tokenizer's model encodes each distinct word once; words repeat, and a
-    memo of bounded size (a speed-up only, cleared when full) holds their ids.
-    Texts with the special token's string go through the tokenizer whole.
+    A merge's rank is its id in this kind of vocabulary (checked on loading), so
+    a ranked encoder over the same file gives the same ids, faster and without a
+    memo. The tokenizer itself, loaded when first needed, takes the texts beyond
+    Latin-1 (where two libraries may class a rare letter differently), those with
+    the special token's string, and those whose runs of spaces are too long for
+    the ranked encoder's pattern.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
+        import tiktoken
+
+        with open(path) as f:
+            stored = json.load(f)
+        ids, letters = stored["model"]["vocab"], {c: b for b, c in byte_letters().items()}
+        self.path, self.special, self.loaded = path, [t["content"] for t in stored["added_tokens"]], None
+        ranks = {bytes(letters[c] for c in w): i for w, i in ids.items() if w not in self.special}
+        merged = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in stored["model"]["merges"]]
+        if merged != sorted(merged) or max((ranks[bytes([b])] for b in range(256)), default=0) >= min(merged, default=256):
+            raise ValueError(f"the merges of {path} are not in the order of their ids")
+        self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def whole(self, text: str) -> np.ndarray:
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.model, self.letters, self.known = self.whole.model, byte_letters(), {}
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.latin, self.general = re.compile(LATIN).findall, regex.compile(GENERAL).findall
+        if self.loaded is None:
+            self.loaded = Tokenizer.from_file(self.path)
+        return np.asarray(self.loaded.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text).tobytes()
         try:
             text.encode("latin-1")
-            words = self.latin(text)
-        except UnicodeEncodeError:
-            words = self.general(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
-            known[w] = np.asarray(ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            ids = self.ranked.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            ids = self.whole(text)
+        return ids.astype("<u4").tobytes()
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
 
 
 def cut(n: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -87,7 +95,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encode, last = Encoder(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary), np.asarray([end], "<u4").tobytes()
+        encode, last = encoder(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary), np.asarray([end], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):

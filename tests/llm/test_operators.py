@@ -114,7 +114,7 @@ def test_encoder_equals_tokenizer():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole, encode = Tokenizer.from_file(path), packing.Encoder(path)
-    for t in ["", " ", "a  b\n\n c's they'll", "é\xa0\x85x", "漢字 \u3000 12³", "x<|endoftext|>y", "\x1c \x1d\t", "œuvre d'été 99½"]:
+    for t in ["", " ", "a  b\n\n c's they'll", "é\xa0\x85x", "漢字 \u3000 12³", "x<|endoftext|>y", "\x1c \x1d\t", "œuvre d'été 99½", " " * 300_000 + "x", "\n" * 3000 + " ÿ", "ab" * 50_000, "...'s 'S  \t x"]:
         assert encode(t) == np.asarray(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
