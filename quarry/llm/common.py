@@ -8,11 +8,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXTS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches held to TEXTS rows, so that neither executor nor Python worker holds many long texts at once.
+
+    Only sizes of batches depend on this setting; a smaller one stays.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXTS:
+        conf.set(name, str(TEXTS))
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only where none is set (tests on one machine) is one made."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

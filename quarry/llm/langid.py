@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import row_key, short_batches, table
 
 #: Documented bound: about so many labelled documents a language, picked by a hash of their ids, fit the classifier.
 SAMPLE_DOCS = 250
@@ -33,7 +33,7 @@ SCRIPTS = (
     ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF),
 )
 _WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def script(letter: str) -> str:
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Model, **how) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([label(t) for t in texts], columns=["lang_pred", "score", "n_runs"])
 
-    return docs.withColumn("_lang", run("text")).select(*docs.columns, "_lang.*")
+    return short_batches(docs).withColumn("_lang", run("text")).select(*docs.columns, "_lang.*")
 
 
 def held_out(doc_id: str = "doc_id", mod: int = 3, rest: int = 1):

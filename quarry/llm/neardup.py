@@ -29,11 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, staged, table
+from .common import fresh, short_batches, staged, table
 from .components import components
 
 WORDS, THRESHOLD, BANDS, ROWS, SEED = 5, 0.8, 20, 5, 1
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 _U = np.uint64
 _P = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                 out.append((doc_id, digest, banded(signature(x, k=bands * rows), bands, rows) if len(x) else []))
             yield pd.DataFrame(out, columns=["doc_id", "digest", "bands"])
 
-    found = docs.where("doc_id is not null and text is not null")
+    found = short_batches(docs).where("doc_id is not null and text is not null")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, digest binary, bands array<long>")
 
 
@@ -151,7 +151,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
             sets = [np.unique(shingle(t)[1].astype(np.uint32)).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"node": batch["node"], "shingles": sets})
 
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
+    texts = short_batches(docs).where("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
     return texts.join(ids.select("node").hint("shuffle_hash"), "node", "left_semi").mapInPandas(run, "node long, shingles binary")
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, staged, table
+from .common import row_key, short_batches, staged, table
 
 WINDOW, END, SALTS, VOCABULARY = 1024, 2, 512, "byte_bpe_50k.json"
 #: Fixed value: the vocabulary's pattern for cutting words, without backtracking.
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
             yield out.astype({"doc_id": "Int64"})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
