@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import paths
 from .operators import hdl, retrieval
 from .plans import design, telemetry
 from .plans.relations import RELATIONS
 from .plans.sqlkit import expand, spark_query
+from .sources import ndjson
+from .streaming import telemetry as streams
 
 SQL = {name: expand(sql, RELATIONS) for part in (telemetry.S, design.S) for name, sql in part.items()}
 
@@ -19,8 +22,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: spark_query(sql) for name, sql in SQL.items()} | hdl.QUERIES | retrieval.QUERIES
+    return {name: spark_query(sql) for name, sql in SQL.items()} | hdl.QUERIES | retrieval.QUERIES | paths.QUERIES | ndjson.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | hdl.ORACLE | retrieval.ORACLE
+    return SQL | hdl.ORACLE | retrieval.ORACLE | paths.ORACLE | ndjson.ORACLE | streams.ORACLE
