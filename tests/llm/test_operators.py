@@ -266,6 +266,28 @@ def test_graph_recall_and_links(spark):
     assert got[953]["component_id"] == 5 and got[954]["n_links"] == 0 and 950 not in got and 951 not in got and 952 not in got
 
 
+def test_audit_leaves_out_matches_with_oneself():
+    """256 members that find themselves do not hide that 2 of 5 links are missed."""
+
+    class Some:
+        def search(self, queries, beam):
+            s = queries @ x.T.astype(np.float32)
+            if beam < 128:
+                for i in (0, 1):  # what a narrow beam does not reach
+                    s[queries @ x[i] > 0.999, 300 + i] = -1
+            at = np.argsort(-s, 1)[:, :beam]
+            return at, np.take_along_axis(s, at, 1)
+
+    x = np.eye(400)
+    x[300:305] = vectors.unit(x[:5] + 0.1 * x[300:305])
+    own = np.arange(256)
+    assert vectors.recall(Some(), x, x[own], 32, own=own) == pytest.approx(0.6)
+    assert vectors.audited_beam(Some(), x, x[own], 32, own=own) == 128
+    # Among many members without a link, those that have one are found.
+    own = np.random.default_rng(0).permutation(400)
+    assert vectors.true_links(x, x[own], own).sum() == 10 and vectors.audited_beam(Some(), x, x[own], own=own) == 128
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 5000])
 def test_samples_round_trip(size):
     data = np.random.default_rng(size).integers(97, 110, size).astype(np.uint8).tobytes()
