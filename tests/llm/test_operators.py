@@ -246,6 +246,16 @@ def test_urls(spark):
     assert url_filter.judge(empty, url_filter.learn(empty)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4, 200])
+def test_a_hot_unwanted_host_keeps_its_score(spark, hot):
+    """As a few rows, or as a third of all: on one host or on many, it is blocked, and a common word of other hosts is not."""
+    usual = [(i, f"https://www.paper{i}.example.org/fr/farm/{i}") for i in range(2 * 200)]
+    unwanted = [(1000 + i, f"http://{h}/fr/{i}") for i in range(hot // 2) for h in ("cheap-pills.example.com", f"spam-farm{i}.example.net")]
+    u = url_filter.ruled(url_filter.parsed(spark.createDataFrame(usual + unwanted, "page_id long, url string")))
+    for r in url_filter.judge(u, url_filter.learn(u)).collect():
+        assert (r["score"] > 0) == (r["page_id"] >= 1000), r
+
+
 def test_segmentation_is_the_cheapest():
     s = url_filter.Segmenter({"ab": 1.0, "abc": 1.5, "cd": 1.0, "d": 0.2})
     assert s("abcd") == ["abc", "d"] and s("") == [] and s("zzz") == ["zzz"] and s("zzabzz") in (["zz", "ab", "zz"], ["zzabzz"])
