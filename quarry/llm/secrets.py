@@ -3,7 +3,8 @@
 Each text is lexed into pairs of a name and an expression of literals and
 references: assignments and keyword arguments of programs, keys of JSON, YAML,
 INI and shell files, command-line flags, calls of setters, XML elements and the
-user part of URLs. References and concatenations are followed to the literals
+user part of URLs. A value in brackets, a list, a call or a text over several
+lines stands for all its string literals, but not for keys that it looks up. References and concatenations are followed to the literals
 they stand for, and each literal is scored by the most sensitive name that it
 reaches and by its own form. Three plain patterns run beside, as a base that
 the method only adds to.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,14 +36,30 @@ KINDS = ("assign", "access", "hex", "literal")
 #: Points of the words of a name; a pair of words counts like one.
 NAMES = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "pass": 2, "secret": 3, "token": 2, "apikey": 3, "api key": 3, "access key": 3, "private key": 3, "secret key": 3, "auth key": 3, "encryption key": 3, "signing key": 3, "credential": 2, "credentials": 2, "auth": 1, "authorization": 2, "bearer": 2, "connection string": 2, "key": 1, "salt": 1}
 BENIGN = {"file": -2, "path": -2, "dir": -2, "name": -2, "url": -1, "uri": -1, "length": -3, "count": -3, "max": -3, "min": -3, "limit": -3, "type": -2, "public": -3, "field": -2, "label": -2, "hint": -3, "prompt": -3, "regex": -3, "pattern": -3, "header": -2, "primary": -2, "foreign": -2, "size": -3, "expiry": -3, "ttl": -3, "index": -2, "sort": -3}
-PLACEHOLDER = re.compile(r"change_?me|example|sample|placeholder|your[-_ ]|xxx|\*\*\*|\.\.\.|^<.*>$|^\$?\{.*\}$|^%.*%$|^(?:null|none|true|false|undefined|string|required|optional)$", re.IGNORECASE)
+PLACEHOLDER = re.compile(r"[\W_xX]*|<.*>|\$?\{.*\}|%.*%|(?:null|none|true|false|undefined|string|required|optional)", re.IGNORECASE | re.DOTALL)
+#: A value all of whose words are of FILLER, one of MARKS among them, is a placeholder too.
+MARKS = frozenset("change changeme example sample placeholder your xxx xxxx dummy".split())
+FILLER = MARKS | frozenset("me my the a api key apikey token secret password passwd access auth user value here test insert enter text com org".split())
+#: Names whose values may be phrases, and words that tell a sentence from one.
+PHRASES = frozenset(("password", "passwd", "pwd", "passphrase", "pass phrase", "mnemonic"))
+SENTENCE = frozenset("the a an is are be was must should can cannot not of your you please enter at least to for with or and if this that".split())
 LEAST, THRESHOLD = 6, 4.0
 
 _OP = re.compile(r"[:=]")
 _NAME = r"[A-Za-z_$][\w$.-]*"
 _LEFT = re.compile(rf"""(?:(?P<bare>{_NAME})|(?P<quote>["'])(?P<quoted>[^"'\n]+)(?P=quote)|\[[ \t]*["'](?P<item>[^"'\n]+)["'][ \t]*\])(?P<kind>[ \t]*:[ \t]*[A-Za-z_][\w.\[\]<>]*)?[ \t]*$""")
 _TERM = re.compile(rf"""[ \t]*(?:[bBrRfFuUL@]{{0,2}}(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`\n]*)`)|\$\{{(?P<brace>\w+)[^}}\n]*\}}|\$(?P<dollar>\w+)|(?P<ref>{_NAME})(?=[ \t]*(?:[+;,)\]}}\n]|$))|(?P<bare>[^\s"'`,;)\]}}]+))""")
-_JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|&)[ \t]*(?=[\"'`$A-Za-z_])|[ \t]*(?=[\"'])")
+_JOIN = re.compile(r"[ \t]*(?:\+|&)(?:\s|\\\r?\n)*(?=[\"'`$A-Za-z_(\[])|[ \t]*\.\.?[ \t]*(?=[\"'`$A-Za-z_])|\s*\n\s*(?:\+|&|\.\.?)[ \t]*(?=[\"'`])|[ \t]*(?:\\\r?\n[ \t]*)?(?=[\"'])")
+_SKIP = re.compile(r"(?:[ \t]|\\\r?\n)*(?:\r?\n\s*(?=[bBrRfFuUL@]{0,2}[\"'`]|[(\[{]))?")
+_OPEN = re.compile(r"(?:new[ \t]+|await[ \t]+)*(?:\[\])?(?:[A-Za-z_$][\w$.:]*(?:<[^>\n]*>)?(?:\[\])?!?)?[ \t]*(?P<open>[(\[{])")
+_CHAIN = re.compile(r"\s*\.[ \t]*(?=[A-Za-z_]\w*\()")
+_TOKEN = re.compile(r"""[bBrRfFuUL@]{0,2}(?:\"{3}(?P<d3>.*?)\"{3}|(?<!\w')'{3}(?P<s3>.*?)'{3}|"(?P<d>(?:[^"\\\n]|\\.)*)"|(?<![A-Za-z0-9]{3}')(?:(?<=\W)|(?<=\b[bBrRfFuUL])|^)'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)|(?P<open>[(\[{])|(?P<close>[)\]}])""", re.DOTALL)
+_TRIPLE = re.compile(r"""[bBrRfFuU]{0,2}(?P<mark>\"{3}|'{3})(?P<value>.*?)(?P=mark)""", re.DOTALL)
+_KEYED = re.compile(r"(?:\b(?:get\w*|\w*env\w*|fetch\w*|lookup\w*|read\w*|open|require|input|prompt)\(|\w\[)\s*[bBrRfFuU]{0,2}$", re.IGNORECASE)
+_INNER = re.compile(r"""([A-Za-z_][\w-]*)["']?\s*(?::|=>?)\s*[bBrRfFuU]{0,2}$""")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[ \t]*\r?\n")
+_NEXT = re.compile(r"""[ \t]*\r?\n[ \t]+(?P<value>(?=\S*\d)[^\s"'`:{}\[\](),;]+)[ \t]*(?=\r?\n|$)""")
+_PHRASE = re.compile(r"[ \t]*(?P<value>(?:[A-Za-z]+[ \t-]+){3,}[A-Za-z]+)[ \t]*(?=[\r\n#;]|$)")
 _CALL = re.compile(r"""(?P<name>[A-Za-z_]\w*)\([ \t]*(?P<quote>["'])(?P<value>[^"'\n]+)(?P=quote)""")
 _FLAG = re.compile(r"""(?<!\S)--?(?P<name>[A-Za-z][\w-]+)[ \t]+["']?(?P<value>[^\s"']+)""")
 _XML = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)>(?P<value>[^<\n]+)</")
@@ -65,9 +83,75 @@ class Span(NamedTuple):
     inner: tuple[int, int]
 
 
+class Brackets:
+    """A text's string literals, and where each bracket closes. One without its other half is passed over."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.close, self.strings = text, {}, []
+        stack: list[int] = []
+        open_ = Counter()
+        for m in _TOKEN.finditer(text):
+            if m.lastgroup == "open":
+                stack.append(m.start())
+                open_[m[0]] += 1
+            elif m.lastgroup == "close":
+                want = "([{"[")]}".index(m[0])]
+                while open_[want]:
+                    at = stack.pop()
+                    open_[text[at]] -= 1
+                    if text[at] == want:
+                        self.close[at] = m.start()
+                        break
+            else:
+                self.strings.append((m.start(), *m.span(m.lastgroup)))
+        self.starts = [x[0] for x in self.strings]
+
+    def values(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Literals between two places, without keys of look-ups and objects and values of harmless names."""
+        out = []
+        for start, i, j in self.strings[bisect_left(self.starts, a) : bisect_left(self.starts, b)]:
+            before = self.text[max(a - 32, start - 64, 0) : start]
+            inner = _INNER.search(before)
+            if not _KEYED.search(before) and not _COLON.match(self.text, j) and not (inner and name_score(inner[1]) < 0):
+                out += _lines(self.text, i, j)
+        return out
+
+
+_COLON = re.compile(r"""["'`]\s*(?::|=>)""")
+
+
+def _lines(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The span, or where it has several lines those of each, without space around."""
+    if "\n" not in text[a:b]:
+        return [(a, b)]
+    return [(a + m.start(), a + m.end()) for m in re.finditer(r"\S(?:[^\n]*\S)?", text[a:b])]
+
+
+def phrase_like(name: str) -> bool:
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return not PHRASES.isdisjoint(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])
+
+
+def _indented(text: str, i: int, at: int) -> list[tuple[int, int]]:
+    """The lines from a place on that are indented deeper than the line of i."""
+    head = text[text.rfind("\n", 0, i) + 1 : i]
+    depth, out = len(head) - len(head.lstrip()), []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if line.strip():
+            if len(line) - len(line.lstrip()) <= depth:
+                break
+            out.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
+        at = end + 1
+    return out
+
+
 def pairs(text: str) -> list[Pair]:
     """The name-literal pairs of a text, in order."""
-    out = []
+    out: list[Pair] = []
+    brackets = None
     for m in _OP.finditer(text):
         i, j = m.start(), m.end()
         before, after = text[i - 1 : i], text[j : j + 1]
@@ -82,8 +166,39 @@ def pairs(text: str) -> list[Pair]:
         left = _LEFT.search(text, max(0, text.rfind("\n", 0, i) + 1, i - REACH), i)
         if not left:
             continue
+        name = left["bare"] or left["quoted"] or left["item"]
         literals, refs, at = [], [], j
-        while term := _TERM.match(text, at):
+        if m[0] == ":" and (block := _BLOCK.match(text, j)):
+            literals += _indented(text, i, block.end())
+        elif m[0] == ":" and (below := _NEXT.match(text, j)):
+            literals.append(below.span("value"))
+        elif phrase_like(name) and (phrase := _PHRASE.match(text, j)):
+            literals.append(phrase.span("value"))
+        at = _SKIP.match(text, j).end()
+        while True:
+            here = _SKIP.match(text, at).end() if at != j else at
+            if triple := _TRIPLE.match(text, here):
+                literals += _lines(text, *triple.span("value"))
+                more = _JOIN.match(text, triple.end())
+                if not more:
+                    break
+                at = more.end()
+                continue
+            if head := _OPEN.match(text, here):
+                brackets = brackets or Brackets(text)
+                end = brackets.close.get(head.start("open"))
+                inside = brackets.values(here, end) if end else []
+                if end and (inside or bisect_left(brackets.starts, end) > bisect_left(brackets.starts, here)):
+                    literals += inside
+                    more = _CHAIN.match(text, end + 1) or _JOIN.match(text, end + 1)
+                    if not more:
+                        break
+                    at = more.end()
+                    continue
+            chained = at != j and text[at - 1 : at] == "."
+            term = None if chained else _TERM.match(text, at)
+            if not term:
+                break
             kind = term.lastgroup
             if kind in ("double", "single", "back"):
                 literals.append(term.span(kind))
@@ -100,7 +215,7 @@ def pairs(text: str) -> list[Pair]:
                 break
             at = more.end()
         if literals or refs:
-            out.append(Pair(left["bare"] or left["quoted"] or left["item"], tuple(literals), tuple(refs)))
+            out.append(Pair(name, tuple(literals), tuple(refs)))
     if "(" in text:
         out += [Pair(m["name"], (m.span("value"),), ()) for m in _CALL.finditer(text) if name_score(m["name"]) > 0]
     if "-" in text:
@@ -118,9 +233,16 @@ def name_score(name: str) -> int:
     return max((NAMES.get(w, 0) for w in both), default=0) + min((BENIGN.get(w, 0) for w in words), default=0)
 
 
-def literal_score(value: str) -> float:
-    """Below 0 for what is no secret at all; up to 3 for long, random text."""
-    if len(value) < LEAST or PLACEHOLDER.search(value) or len(value.split()) > 3:
+def placeholder(value: str) -> bool:
+    words = re.findall(r"[a-z]+", value.lower())
+    filler = not MARKS.isdisjoint(words) and FILLER.issuperset(words) and sum(c.isdigit() for c in value) <= 3
+    return filler or PLACEHOLDER.fullmatch(value) is not None
+
+
+def literal_score(value: str, phrase: bool = False) -> float:
+    """Below 0 for what is no secret at all; up to 3 for long, random text. Many words are one only as a phrase, not as a sentence."""
+    words = value.split()
+    if len(value) < LEAST or placeholder(value) or len(words) > 3 and (not phrase or not SENTENCE.isdisjoint(value.lower().split())):
         return -9
     counts = Counter(value)
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
@@ -146,12 +268,15 @@ def literals(text: str) -> set[tuple[int, int]]:
                     known[p.name] |= known[r]
                     changed = True
     best: dict[tuple[int, int], int] = {}
+    phrases: set[tuple[int, int]] = set()
     for name, spans in known.items():
         s = name_score(name)
         if s > 0:
+            if phrase_like(name):
+                phrases |= spans
             for x in spans:
                 best[x] = max(best.get(x, 0), s)
-    return {x for x, s in best.items() if text[x[0] : x[1]] not in own and s + literal_score(text[x[0] : x[1]]) >= THRESHOLD}
+    return {x for x, s in best.items() if text[x[0] : x[1]] not in own and s + literal_score(text[x[0] : x[1]], x in phrases) >= THRESHOLD}
 
 
 def base(text: str) -> list[Span]:

@@ -216,6 +216,26 @@ def test_language_model_equals_brute_force(spark, hard, none):
     assert ngram_lm.scores(none, F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'api_key = ("AbC123xYz9Qw")', 'api_key = [\n  "AbC123xYz9Qw",\n]', 'secret = decode("AbC123xYz9Qw")', 'secret = base64.b64decode(\n    "AbC123xYz9Qw"\n).decode("utf8")', 'token =\n    "AbC123xYz9Qw"', 'password:\n  AbC123xYz9Qw\n',
+        'secret: |\n  AbC123xYz9Qw\nother: 1', 'secret = """\nAbC123xYz9Qw\n"""', 'secret = "first9Zq" + \\\n  "AbC123xYz9Qw"', 'api_key = os.getenv("API_KEY_NAME", "AbC123xYz9Qw")', 'k = ("AbC123xYz9Qw")\npassword = k', 'const tokens = { "prod_token": f("AbC123xYz9Qw") };',
+    ],
+)
+def test_secrets_in_brackets_calls_and_lines(text):
+    assert "AbC123xYz9Qw" not in secrets.redact(text) and "<secret>" in secrets.redact(text)
+    assert "API_KEY_NAME" in secrets.redact(text) or "API_KEY_NAME" not in text
+
+
+def test_placeholders_are_whole_values_and_phrases_count():
+    hit = lambda t: bool(secrets.literals(t))
+    assert hit('my_key_passphrase = "correct horse battery staple"') and hit("passphrase: correct horse battery staple\n")
+    assert not hit('password_text = "you must enter at least eight letters"') and not hit('title = "correct horse battery staple"')
+    assert hit('client_secret = "9fExample7Q2sZxxxk1"') and hit('client_secret = "qZ7...k1Lw9"')
+    assert not any(hit(f'client_secret = "{v}"') for v in ("your-api-key", "changeme", "example_secret", "xxxxxxxx", "${SECRET_KEY}", "<your secret here>"))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((1, 5), (50, 60), (3000, 2**62)):
