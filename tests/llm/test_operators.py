@@ -318,6 +318,28 @@ def test_audit_leaves_out_matches_with_oneself():
     assert vectors.true_links(x, x[own], own).sum() == 10 and vectors.audited_beam(Some(), x, x[own], own=own) == 128
 
 
+def test_a_link_found_from_one_end_counts_for_both(spark, monkeypatch):
+    """Searches that leave out every fifth link, and one that leaves out some from both ends."""
+    real = vectors.linked
+
+    def lossy(g, exact, queries, beam, threshold=vectors.THRESHOLD):
+        q, x = real(g, exact, queries, beam, threshold)
+        a, b = np.round(queries[q, 0] * 1e6).astype(np.int64), np.round(exact[x, 0] * 1e6).astype(np.int64)
+        lost = (a + 2 * b) % 5 == 0
+        return q[~lost], x[~lost]
+
+    monkeypatch.setattr(vectors, "linked", lossy)
+    rng = np.random.default_rng(3)
+    x = vectors.unit(np.repeat(rng.normal(size=(40, 16)), 6, 0) + 0.1 * rng.normal(size=(240, 16))).astype(np.float32)
+    y = vectors.unit(x)
+    links = (y @ y.T >= 0.9).sum(1) - 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.components_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 2).collect()}
+    lost = (lambda a: ((a[:, None] + 2 * a[None]) % 5 == 0))(np.round(y[:, 0] * 1e6).astype(np.int64))
+    both = ((y @ y.T >= 0.9) & ~(lost & lost.T)).sum(1) - np.diag(~lost)
+    assert all(both[i] <= got[i] <= links[i] for i in range(240))
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 5000])
 def test_samples_round_trip(size):
     data = np.random.default_rng(size).integers(97, 110, size).astype(np.uint8).tobytes()
