@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, short_batches, table
+from .common import fresh, row_key, short_batches, table
 
 #: Documented bound: about so many labelled documents a language, picked by a hash of their ids, fit the classifier.
 SAMPLE_DOCS = 250
-LONGEST_GRAM, SMOOTHING, SWITCH, LETTERS_CAP = 3, 0.5, 12.0, 40
+LONGEST_GRAM, SMOOTHING, SWITCH = 3, 0.5, 12.0
 KEEP_SCORE = 0.5
 #: Ranges of code points by script.
 SCRIPTS = (
@@ -36,6 +36,29 @@ _WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 150_000
 
 
+def letter_runs(text: str) -> list[tuple[int, int]]:
+    """Where runs of letters begin and end; fractions, raised digits and number letters are none."""
+    out = []
+    for m in _WORD.finditer(text):
+        if m[0].isalpha():
+            out.append(m.span())
+            continue
+        at = None
+        for i, c in enumerate(m[0] + " ", m.start()):
+            if c.isalpha():
+                at = i if at is None else at
+            elif at is not None:
+                out.append((at, i))
+                at = None
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    found = _WORD.findall(text)
+    return found if all(map(str.isalpha, found)) else [text[a:b] for a, b in letter_runs(text)]
+
+
 def script(letter: str) -> str:
     c = ord(letter)
     return next((name for name, lo, hi in SCRIPTS if lo <= c <= hi), "other")
@@ -77,7 +100,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         total: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                total.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                total.setdefault(lang, Counter()).update(words_of(text.lower()))
         for lang, words in total.items():
             counts, seen = Counter(), Counter()
             for w, n in words.items():
@@ -156,7 +179,7 @@ class Labeller:
             at = np.flatnonzero(inside[: len(code)])
             total[at] += self._of(code[at])
         grams_each = sum(np.maximum(lengths - n, 0) for n in range(LONGEST_GRAM))
-        rows = np.add.reduceat(total, ends - lengths, axis=0) * (np.minimum(lengths - 2, LETTERS_CAP) / grams_each)[:, None]
+        rows = np.add.reduceat(total, ends - lengths, axis=0) * ((lengths - 2) / grams_each)[:, None]
         first, last = len(self.known), len(self.known) + len(words)
         if last > len(self.rows):
             grow = max(last, 2 * len(self.rows))
@@ -224,7 +247,7 @@ class Labeller:
 
     def spans(self, text: str) -> list[Span]:
         """Runs of words of one language, with the places of their first and last letters."""
-        places = [m.span() for m in _WORD.finditer(text)]
+        places = letter_runs(text)
         if not places or not self.m.langs:
             return []
         labels, _, _ = self.label(self.ids([text[a:b].lower() for a, b in places]))
@@ -233,7 +256,7 @@ class Labeller:
 
     def __call__(self, text: str | None) -> tuple[str, float, int]:
         """Language, score (its share of the letters, less doubt about which it is) and number of runs."""
-        words = _WORD.findall((text or "").lower())
+        words = words_of((text or "").lower())
         if not words or not self.m.langs:
             return "und", 0.0, 0
         ids = self.ids(words)
@@ -247,16 +270,25 @@ class Labeller:
 
 
 def identify(docs: DataFrame, model: Model, **how) -> DataFrame:
-    """docs' columns with lang_pred, score and n_runs; only the text decides."""
-    blob = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
+    """docs' columns, then lang_pred, score and n_runs under names that docs leaves free; only the text decides.
+
+    A null or empty text, or one without a letter, is ``und`` with score 0. Whole
+    texts count, however long; rows that repeat are labelled alike; ties between
+    languages go to the first by name. An empty table gives no rows.
+    """
+    pred, score, runs, every = fresh(docs, "lang_pred", "score", "n_runs", "found")
+    # What is broadcast holds no class of this package, and its size is bounded by the sample's.
+    blob = docs.sparkSession.sparkContext.broadcast(([*model.langs], [sorted(x) for x in model.scripts], model.gram, model.unseen))
 
     @F.pandas_udf("lang_pred string, score double, n_runs long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        label = Labeller(blob.value, **how)
+        langs, scripts, gram, unseen = blob.value
+        label = Labeller(Model(langs, [frozenset(x) for x in scripts], gram, unseen), **how)
         for texts in batches:
             yield pd.DataFrame([label(t) for t in texts], columns=["lang_pred", "score", "n_runs"])
 
-    return short_batches(docs).withColumn("_lang", run("text")).select(*docs.columns, "_lang.*")
+    found = short_batches(docs).withColumn(every, run(F.col("text")))
+    return found.withColumns({pred: F.col(f"{every}.lang_pred"), score: F.col(f"{every}.score"), runs: F.col(f"{every}.n_runs")}).drop(every)
 
 
 def held_out(doc_id: str = "doc_id", mod: int = 3, rest: int = 1):
@@ -270,5 +302,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clear(docs: DataFrame, least: float = KEEP_SCORE) -> DataFrame:
-    """The documents whose language is clear: not ``und``, and of that score at least."""
-    return identify(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """The documents whose language is clear: not ``und``, and of that score at least. Columns stay as they are."""
+    pred, score, runs = fresh(docs, "lang_pred", "score", "n_runs")
+    return identify(docs, fit(docs)).where((F.col(pred) != "und") & (F.col(score) >= least)).drop(pred, score, runs)

@@ -10,7 +10,6 @@ that a third of all pieces share is never sorted in one task.
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from bisect import bisect_right, insort
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, short_batches, staged, table
+from .common import row_key, short_batches, staged, table, worker_state
 
 WINDOW, END, SALTS, VOCABULARY = 1024, 2, 512, "byte_bpe_50k.json"
 #: Fixed value: the vocabulary's pattern for cutting words, without backtracking.
@@ -77,10 +76,12 @@ class Encoder:
         return ids.astype("<u4").tobytes()
 
 
-@functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One encoder for all tasks of a worker process."""
-    return Encoder(path)
+    kept = worker_state("encoders")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def cut(n: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -90,7 +91,12 @@ def cut(n: int, window: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces, from its whole text (null: empty)."""
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces, from its whole text.
+
+    A null or empty text is the end id alone; a text of any length is cut into
+    as many pieces as it needs; rows that repeat give their pieces again; other
+    columns are not read. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
