@@ -122,13 +122,12 @@ class EliasFano:
         return out
 
 
-#: A quantised number is 10 to the power of -code / STEPS; code 255 is the least, and 0 stands for none.
+#: A quantised number is 10 to the power of -(code - 1) / STEPS; 0 stands for none. 16 bits reach down to 10^-2047, below any ratio of counts.
 STEPS = 32
-WORD_BITS = 40
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(p) * STEPS) + 1, 1, 255).astype(np.uint8)
+    return (np.rint(-np.log10(p) * STEPS) + 1).astype(np.uint16)
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
@@ -136,50 +135,71 @@ def dequantise(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels: contexts, monotone pointers to where each one's successors begin, and successors with a code each.
+    """One level of an n-gram trie: contexts, monotone pointers to where each one's successors begin, and successors with a code each.
 
-    A successor is stored by its context's place and its own low bits, so that the
-    whole level rises and a search for it starts in the right part of its context.
+    A context is a number that the level below gave it; a successor is stored by
+    its context's place and its own number, so that the whole level rises and a
+    search for it starts in the right part of its context. The place of a
+    successor is its own number as a context of the level above.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray) -> None:
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, bits: int) -> None:
+        self.contexts, self.pointers, self.successors, self.codes, self.bits = contexts, pointers, successors, codes, bits
 
     @classmethod
     def build(cls, context: np.ndarray, word: np.ndarray, code: np.ndarray) -> Trie:
-        """From distinct (context, word) pairs of 64 and 40 bits, sorted by both."""
+        """From distinct (context, word) pairs of numbers, sorted by both; together places of contexts and words have at most 64 bits."""
+        context, word = context.astype(_U), word.astype(_U)
         first = np.flatnonzero(np.diff(context, prepend=context[:1] ^ _U(1))) if len(context) else np.zeros(0, np.int64)
         place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context)))).astype(_U)
-        return cls(EliasFano.of(context[first]), EliasFano.of(np.append(first, len(context))), EliasFano.of((place << _U(WORD_BITS)) | word), code)
-
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 where it is not in the trie."""
-        out = np.zeros(len(context), np.uint8)
+        bits = int(word.max()).bit_length() if len(word) else 0
+        if bits + len(first).bit_length() > 64:
+            raise ValueError("too many contexts and words for one level")
+        return cls(EliasFano.of(context[first]), EliasFano.of(np.append(first, len(context))), EliasFano.of((place << _U(bits)) | word), code.astype(np.uint16), bits)
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each pair (sorted or not), -1 where it is not in the trie."""
+        out = np.full(len(context), -1, np.int64)
+        context, word = context.astype(_U), word.astype(_U)
         names, of = np.unique(context, return_inverse=True)
         places = self.contexts.find(names)[of]
-        has = np.flatnonzero(places >= 0)
+        has = np.flatnonzero((places >= 0) & (word >> _U(self.bits) == 0 if self.bits < 64 else True))
         place = places[has]
-        at = self.successors.find((place.astype(_U) << _U(WORD_BITS)) | word[has])
+        at = self.successors.find((place.astype(_U) << _U(self.bits)) | word[has])
         ok = at >= 0
         has, at, place = has[ok], at[ok], place[ok]
         inside = (self.pointers.get(place) <= at.astype(_U)) & (at.astype(_U) < self.pointers.get(place + 1))
-        out[has[inside]] = self.codes[at[inside]]
+        out[has[inside]] = at[inside]
         return out
 
-    def _arrays(self) -> list[np.ndarray]:
-        return [a for s in (self.contexts, self.pointers, self.successors) for a in (s.low, s.high.ones, s.high.data)] + [self.codes]
+    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The code of each pair, 0 where it is not in the trie."""
+        at = self.find(context, word)
+        return np.where(at >= 0, self.codes[np.maximum(at, 0)], 0).astype(np.uint16) if len(self.codes) else np.zeros(len(at), np.uint16)
+
+    def dump(self) -> bytes:
+        """A header of sizes, then the arrays, each on a multiple of 8 bytes."""
+        levels = (self.contexts, self.pointers, self.successors)
+        arrays = [a for s in levels for a in (s.low, s.high.ones, s.high.data)] + [self.codes]
+        head = np.array([self.bits, *[x for s in levels for x in (s.n, s.bits, s.top)], *[a.nbytes for a in arrays]], _U)
+        return head.tobytes() + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+
+    @classmethod
+    def load(cls, whole: np.ndarray) -> Trie:
+        """Over the bytes of a dump, in memory or mapped, without copying them."""
+        head = whole[: 8 * 20].view(_U)
+        at, found = 8 * 20, []
+        for n, kind in zip(head[10:].tolist(), [_U, np.int64, np.uint8] * 3 + [np.uint16], strict=True):
+            found.append(whole[at : at + n].view(kind))
+            at += n + -n % 8
+        levels = [EliasFano(int(head[1 + 3 * i]), int(head[2 + 3 * i]), found[3 * i], BitVector(found[3 * i + 2], found[3 * i + 1]), int(head[3 + 3 * i])) for i in range(3)]
+        return cls(*levels, found[-1], int(head[0]))
 
     def mapped(self) -> Trie:
-        """The same trie over a memory-mapped file, which goes with the last use of it."""
+        """The same trie over a memory-mapped file of the task's own, which goes with the last use of it."""
         handle, path = tempfile.mkstemp(prefix="trie-")
         with os.fdopen(handle, "wb") as out:
-            for a in self._arrays():
-                out.write(a.tobytes() + bytes(-a.nbytes % 8))
-        whole = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+            out.write(self.dump())
+        whole = np.memmap(path, np.uint8, "r")
         os.unlink(path)
-        at, found = 0, []
-        for a in self._arrays():
-            found.append(whole[at : at + a.nbytes].view(a.dtype))
-            at += a.nbytes + -a.nbytes % 8
-        levels = [EliasFano(s.n, s.bits, found[3 * i], BitVector(found[3 * i + 2], found[3 * i + 1]), s.top) for i, s in enumerate((self.contexts, self.pointers, self.successors))]
-        return Trie(*levels, found[-1])
+        return Trie.load(whole)

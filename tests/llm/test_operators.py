@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,27 @@ def test_language(spark, hard, none):
     assert langid.keep_clear(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("text", ['5² ½', "Ⅷ ¾ ①", "12_3 !"])
+def test_no_letter_no_language(text):
+    label = langid.Labeller(langid.Model(["a", "b"], [frozenset(["latin"])] * 2, {"x": np.zeros(2, np.float32)}, np.zeros(2, np.float32)))
+    assert label(text) == ("und", 0.0, 0) and label.spans(text) == []
+    assert langid.words_of("x²y ab½") == ["x", "y", "ab"] and langid.letter_runs("x²y") == [(0, 1), (2, 3)]
+
+
+def test_long_words_count_whole(spark):
+    """A word of one language of 60 letters outweighs one of the other of 50, by their letters."""
+    gram = {g: np.log(np.array(p, np.float32)) for g, p in (("a", (0.9, 0.1)), ("b", (0.1, 0.9)))}
+    label = langid.Labeller(langid.Model(["A", "B"], [frozenset(["latin"])] * 2, gram, np.log(np.full(2, 0.01, np.float32))), 0.0)
+    assert label("a" * 60 + " " + "b" * 50)[0] == "A" and label("a" * 50 + " " + "b" * 60)[0] == "B"
+
+
+def test_language_keeps_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"score": F.lit(7), "Lang_Pred": F.lit("x"), "n_runs": F.lit(1), "found": F.lit(2), "_lang": F.lit(3)})
+    kept = langid.keep_clear(docs)
+    assert kept.columns == docs.columns and kept.where("score <> 7 or Lang_Pred <> 'x' or found <> 2").count() == 0
+    assert len(langid.identify(docs, langid.fit(docs)).columns) == len(docs.columns) + 3
+
+
 def test_language_path_is_the_best(spark):
     label = langid.Labeller(langid.Model([], [], {}, np.zeros(0)), 3.0)
     rng = np.random.default_rng(0)
@@ -197,16 +219,19 @@ def test_language_model_equals_brute_force(spark, hard, none):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     got = {r["doc_id"]: r for r in ngram_lm.scores(docs, held, block_tokens=9000).collect()}
     words = {r["doc_id"]: [*ngram_lm.tokens_of(r["text"]), None] for r in docs.collect()}
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, w in words.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
             one.update(w)
             two.update(zip([None, *w[:-1]], w, strict=True))
+            three.update(zip([None, *w[:-2]], w[:-1], w[1:], strict=True))
     n, v, m = sum(one.values()), len(one), ngram_lm.PRIOR
     assert len(got) == len(words)
     for i, w in words.items():
         low = [(one[x] + 1) / (n + v + 1) for x in w]
         p = [two[u, x] / (one[u] + m) + m / (one[u] + m) * q for u, x, q in zip([None, *w[:-1]], w, low, strict=True)]
+        for j, (u, y, x) in enumerate(zip([None, *w[:-2]], w[:-1], w[1:], strict=True), 1):
+            p[j] = three[u, y, x] / (two[u, y] + m) + m / (two[u, y] + m) * p[j]
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(one[x] > 0 for x in w), n)
         assert math.isclose(r["base_score"], sum(map(math.log10, low)), rel_tol=1e-9)
@@ -251,6 +276,30 @@ def test_elias_fano():
     code = rng.integers(1, 255, len(c)).astype(np.uint8)
     t = elias_fano.Trie.build(c[o], w[o], code).mapped()
     assert (t.lookup(c[o], w[o]) == code).all() and not t.lookup(c[o], w[o] ^ np.uint64(1)).any() and not t.lookup(c + np.uint64(1), w).any()
+    empty = elias_fano.Trie.build(c[:0], w[:0], code[:0]).mapped()
+    assert not empty.lookup(c[:3], w[:3]).any()
+
+
+def test_numbers_keep_their_size():
+    """Counts beyond 32 bits and probabilities below 10^-8 come back."""
+    x = np.array([0, 1, 255, 1 << 32, (1 << 32) + 4, 1 << 50])
+    assert (ngram_lm.unpacked(ngram_lm.packed(x)) == x).all() and len(ngram_lm.unpacked(ngram_lm.packed(x[:0]))) == 0
+    rows = pd.DataFrame({"block": [1, 2], "part": [0, 0], "hashes": [np.array([7], np.uint64).tobytes()] * 2, "counts": [ngram_lm.packed(np.array([(1 << 32) + 4])), ngram_lm.packed(np.array([3]))]})
+    assert ngram_lm.unpacked(ngram_lm._count_words(1)(rows)["told"][0])[0] >> 1 == (1 << 32) + 7
+    for p in (1.0, 1e-8, 1e-10, 1e-15):
+        assert abs(math.log10(elias_fano.dequantise(elias_fano.quantise(np.array([p])))[0]) - math.log10(p)) <= 0.5 / elias_fano.STEPS + 1e-9
+
+
+def test_the_model_is_stored_and_leaves_no_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    _, model = ngram_lm.fit_and_score(docs, F.lit(False), block_tokens=9000)
+    rows = model.collect()
+    tries = [elias_fano.Trie.load(np.frombuffer(bytes(r["trie"]), np.uint8)) for r in rows]
+    assert {r["level"] for r in rows} == {2, 3} and sum(len(t.codes) for t in tries) > 1000
+    t = max(tries, key=lambda t: len(t.codes))
+    context, word = t.contexts.get(np.arange(1)), t.successors.get(np.arange(1)) & np.uint64((1 << t.bits) - 1)
+    assert t.lookup(context, word)[0] == t.codes[0] > 0
+    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("quarry_lm")]
 
 
 def test_urls(spark):
