@@ -103,6 +103,13 @@ class EliasFano:
         """The first place of each value, or -1: its high part names a run of places, whose low parts rise and are halved."""
         values = values.astype(_U)
         out = np.full(len(values), -1, np.int64)
+        if 2 * len(values) > self.n > 0 and (values[1:] >= values[:-1]).all():
+            # Sorted values that touch most of the sequence walk along it.
+            every = self.get(np.arange(self.n))
+            at = np.minimum(np.searchsorted(every, values), self.n - 1)
+            same = every[at] == values
+            out[same] = at[same]
+            return out
         todo = np.flatnonzero(values <= _U(self.top)) if self.n else np.zeros(0, np.int64)
         upper = (values[todo] >> _U(self.bits)).astype(np.int64)
         want = values[todo] & _U((1 << self.bits) - 1)
@@ -161,7 +168,11 @@ class Trie:
         """The place of each pair (sorted or not), -1 where it is not in the trie."""
         out = np.full(len(context), -1, np.int64)
         context, word = context.astype(_U), word.astype(_U)
-        names, of = np.unique(context, return_inverse=True)
+        if (context[1:] >= context[:-1]).all():
+            new = np.concatenate([[True], context[1:] != context[:-1]])[: len(context)]
+            names, of = context[new], new.cumsum() - 1
+        else:
+            names, of = np.unique(context, return_inverse=True)
         places = self.contexts.find(names)[of]
         has = np.flatnonzero((places >= 0) & (word >> _U(self.bits) == 0 if self.bits < 64 else True))
         place = places[has]

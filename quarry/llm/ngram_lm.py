@@ -33,11 +33,11 @@ from .common import bucketed, discard, dropped, short_batches, staged, table
 from .elias_fano import Trie, dequantise, quantise
 
 #: Bytes of text for each part of the model, and tokens of a block.
-PRIOR, BLOCK_TOKENS, PART_BYTES, LEAST_PARTS = 200.0, 1 << 20, 1 << 22, 64
+PRIOR, BLOCK_TOKENS, PART_BYTES, LEAST_PARTS = 200.0, 3 << 19, 1 << 22, 64
 END = 0  # the hash of a document's end; also the context of its first word
 _U = np.uint64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_BLOCK = "block long, part int, doc_ids binary, flags binary, lengths binary, words binary, tokens binary, hashes binary, counts binary"
+_BLOCK = "block long, part int, doc_ids binary, flags binary, lengths binary, tokens binary, hashes binary, counts binary"
 _ANSWER = "block long, part int, codes binary, told binary, nodes binary, trie binary"
 
 
@@ -81,33 +81,49 @@ def _slices(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(parts[a]), a, b
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """The order by the first key, then the next ones, of numbers from 0 up: as one number where their bits fit into one."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    bits = [int(k.max()).bit_length() for k in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    one = keys[0].astype(np.int64)
+    for k, n in zip(keys[1:], bits[1:], strict=True):
+        one = one << n | k
+    return np.argsort(one)
+
+
 def _firsts(x: np.ndarray) -> np.ndarray:
     """Where runs of equal numbers begin."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
 def blocks(docs: DataFrame, held_out: Column, parts: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Rows of documents (part -1: ids, flags, lengths, words' hashes and tokens) and rows of words' hashes and training counts by part."""
+    """Rows of documents (part -1: ids, flags, lengths, and tokens as places among the block's sorted hashes) and rows of these hashes with training counts by part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from array import array
+
         import xxhash
         from pyspark import TaskContext
 
         number, done = TaskContext.get().partitionId(), 0
-        ids, held, lengths, tokens, known, hashes = [], [], [], [], {}, [END]
+        ids, held, lengths, tokens, known, hashes = [], [], [], array("i"), {}, [END]
 
         def emit() -> pd.DataFrame:
             h, n = np.array(hashes, _U), np.array(lengths)
-            t = np.array(tokens, np.int64)
+            order = np.argsort(h, kind="stable")  # an end comes first, as it does in the block
+            place = np.empty(len(h), np.int64)
+            place[order] = np.arange(len(h))
+            t, sorted_ = place[np.frombuffer(tokens, np.int32)], h[order]
             train = np.repeat(~np.array(held, bool), n)
-            order = np.argsort(h, kind="stable")
-            counts = np.bincount(t[train], minlength=len(h))[order]
-            sorted_ = h[order]
+            counts = np.bincount(t[train], minlength=len(h))
             null = np.array([i is None or i != i for i in ids])
             flags = np.array(held, np.uint8) | null.astype(np.uint8) << 1
             block = number << 24 | done
-            rows = [(block, -1, np.array([0 if x else i for i, x in zip(ids, null, strict=True)], np.int64).tobytes(), flags.tobytes(), packed(n), h.tobytes(), packed(t), None, None)]
-            rows += [(block, p, None, None, None, None, None, sorted_[a:b].tobytes(), packed(counts[a:b])) for p, a, b in _slices(part_of(sorted_, parts))]
+            rows = [(block, -1, np.array([0 if x else i for i, x in zip(ids, null, strict=True)], np.int64).tobytes(), flags.tobytes(), packed(n), packed(t), None, None)]
+            rows += [(block, p, None, None, None, None, sorted_[a:b].tobytes(), packed(counts[a:b])) for p, a, b in _slices(part_of(sorted_, parts))]
             return pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in batches:
@@ -116,7 +132,7 @@ def blocks(docs: DataFrame, held_out: Column, parts: int, block_tokens: int = BL
                 for w in set(words).difference(known):
                     known[w] = len(hashes)
                     hashes.append(xxhash.xxh3_64_intdigest(w) or 1)
-                tokens += [known[w] for w in words]
+                tokens.extend([known[w] for w in words])
                 tokens.append(0)
                 ids.append(doc_id)
                 held.append(out)
@@ -124,30 +140,33 @@ def blocks(docs: DataFrame, held_out: Column, parts: int, block_tokens: int = BL
                 if len(tokens) >= block_tokens:
                     yield emit()
                     done += 1
-                    ids, held, lengths, tokens, known, hashes = [], [], [], [], {}, [END]
+                    ids, held, lengths, tokens, known, hashes = [], [], [], array("i"), {}, [END]
         if ids:
             yield emit()
 
     return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out")).mapInPandas(run, _BLOCK)
 
 
-def _count_words(parts: int):
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        """Of one part: for each block its words' counts over all blocks, doubled, and one more if no other block has the word, and the words' numbers, the most frequent first; under block -1 tokens and distinct words."""
-        part = int(rows["part"].iloc[0])
-        hashes = [np.frombuffer(x, _U) for x in rows["hashes"]]
-        names, of = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(of, np.concatenate([unpacked(x) for x in rows["counts"]]), len(names)).astype(np.int64)
-        number = np.empty(len(names), np.int64)
-        number[np.argsort(-counts, kind="stable")] = np.arange(len(names)) * parts + part
-        ends = np.cumsum([len(h) for h in hashes])
-        told = counts * 2 + (np.bincount(of) == 1)
-        at = [of[e - len(h) : e] for h, e in zip(hashes, ends, strict=True)]
-        out = [(b, part, packed(told[i]), packed(number[i]), 0, 0) for b, i in zip(rows["block"], at, strict=True)]
-        out.append((-1, part, None, None, int(counts.sum()), int((counts > 0).sum())))
-        return pd.DataFrame(out, columns=["block", "part", "told", "nodes", "n", "v"])
+def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: for each block its words' counts over all blocks, doubled, and one more if no other block has the word, and the words' places in the part, the most frequent first; under block -1 tokens and distinct words."""
+    part = int(rows["part"].iloc[0])
+    hashes = [np.frombuffer(x, _U) for x in rows["hashes"]]
+    names, of = np.unique(np.concatenate(hashes), return_inverse=True)
+    counts = np.bincount(of, np.concatenate([unpacked(x) for x in rows["counts"]]), len(names)).astype(np.int64)
+    place = np.empty(len(names), np.int64)
+    place[np.argsort(-counts, kind="stable")] = np.arange(len(names))
+    ends = np.cumsum([len(h) for h in hashes])
+    told = counts * 2 + (np.bincount(of) == 1)
+    at = [of[e - len(h) : e] for h, e in zip(hashes, ends, strict=True)]
+    out = [(b, part, packed(told[i]), packed(place[i]), 0, 0) for b, i in zip(rows["block"], at, strict=True)]
+    out.append((-1, part, None, None, int(counts.sum()), int((counts > 0).sum())))
+    return pd.DataFrame(out, columns=["block", "part", "told", "nodes", "n", "v"])
+
 
-    return count
+def _numbers(answers: pd.DataFrame, parts: int, rising: bool = False) -> np.ndarray:
+    """The numbers of n-grams in the model: their places in their parts, together with these."""
+    got = [(unpacked(x).cumsum() if rising else unpacked(x)) * parts + p for p, x in zip(answers["part"], answers["nodes"], strict=True)]
+    return np.concatenate(got) if got else np.zeros(0, np.int64)
 
 
 class Level:
@@ -167,7 +186,7 @@ class Level:
         x = (c.astype(_U) ^ (w % spread).astype(_U) * _U(0x9E3779B97F4A7C15)) * _U(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> _U(31))) * _U(0x94D049BB133111EB)
         p = part_of(x ^ (x >> _U(29)), parts)
-        order = np.lexsort((w, c, p))
+        order = ordered(p, c, w)
         self.shared, self.parts, self.c, self.w = which[order], p[order], c[order], w[order]
 
     def requests(self, block: int) -> list[tuple]:
@@ -181,19 +200,17 @@ class Level:
             rows.append((block, part, packed(np.diff(c[first], prepend=0)), packed(np.diff(np.append(first, e - s))), packed(self.before[at][first]), packed(step), packed(self.seen[at])))
         return rows
 
-    def answered(self, answers: pd.DataFrame, what: str, own: np.ndarray) -> np.ndarray:
-        """For each n-gram what the parts say, or its own."""
+    def answered(self, answers: list[np.ndarray] | np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each n-gram what the parts say, in their order, or its own."""
         out = np.zeros(len(self.seen), np.int64)
-        got = [unpacked(x) for x in answers.sort_values("part")[what]]
-        if got:
-            out[self.shared] = np.concatenate(got)
+        if len(self.shared):
+            out[self.shared] = np.concatenate(answers) if isinstance(answers, list) else answers
         out[self.private] = own[self.private]
         return out
 
     def own_codes(self, prior: float) -> np.ndarray:
         out = np.zeros(len(self.seen), np.int64)
-        own = np.flatnonzero(self.private)
-        own = own[np.lexsort((self.word[own], self.context[own]))]
+        own = np.flatnonzero(self.private)  # by context and word, as all n-grams of a level are
         out[own] = trie_of(self.context[own], self.word[own], self.seen[own], self.before[own], prior).mapped().lookup(self.context[own], self.word[own])
         return out
 
@@ -203,12 +220,8 @@ class Block:
 
     def __init__(self, row: pd.Series, words: pd.DataFrame, parts: int, total: int) -> None:
         self.parts, self.total = parts, total
-        hashes = np.frombuffer(row["words"], _U)
-        order = np.argsort(hashes, kind="stable")
         words = words.sort_values("part")
-        self.counts, self.number = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        self.counts[order] = np.concatenate([unpacked(x) for x in words["told"]])
-        self.number[order] = np.concatenate([unpacked(x) for x in words["nodes"]])
+        self.counts, self.number = np.concatenate([unpacked(x) for x in words["told"]]), _numbers(words, parts)
         alone, self.counts = (self.counts & 1).astype(bool), self.counts >> 1
         self.ids, flags = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["flags"], np.uint8)
         self.held, self.null = (flags & 1).astype(bool), (flags & 2).astype(bool)
@@ -217,7 +230,7 @@ class Block:
         self.train = np.repeat(~self.held, self.lengths)
         before = np.empty_like(self.tokens)
         before[0], before[1:] = 0, self.tokens[:-1]  # the token before a document's first is an end
-        n = len(order)
+        n = len(self.number)
         pairs, self.pair = np.unique(before * n + self.tokens, return_inverse=True)
         u, w = pairs // n, pairs % n
         seen = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
@@ -227,16 +240,18 @@ class Block:
     def trigrams(self, answers: pd.DataFrame) -> Level:
         """With the bigrams' answers: their counts, which are this block's alone, and their numbers."""
         two = self.two
-        told = two.answered(answers, "told", two.seen * 2 + 1)
-        nodes = two.answered(answers, "nodes", np.zeros(len(two.seen), np.int64))
+        answers = answers.sort_values("part")
+        told = two.answered([unpacked(x) for x in answers["told"]], two.seen * 2 + 1)
+        nodes = two.answered(_numbers(answers, self.parts, True), np.zeros(len(two.seen), np.int64))
         alone, self.pair_counts = (told & 1).astype(bool), told >> 1
         inner = np.ones(len(self.tokens), bool)
         inner[self.starts] = False
         self.inner = np.flatnonzero(inner)
         n = len(self.number)
-        keys, at, self.triple = np.unique(self.pair[self.inner - 1] * n + self.tokens[self.inner], return_index=True, return_inverse=True)
+        keys, self.triple = np.unique(self.pair[self.inner - 1] * n + self.tokens[self.inner], return_inverse=True)
         context, w = keys // n, keys % n
-        last = self.pair[self.inner[at]]
+        last = np.empty(len(keys), np.int64)
+        last[self.triple] = self.pair[self.inner]
         seen = np.bincount(self.triple, self.train[self.inner], len(keys)).astype(np.int64)
         # Without the bigrams in training there is no such trigram in it.
         hopeless = (self.pair_counts[context] == 0) | (self.pair_counts[last] == 0)
@@ -266,7 +281,7 @@ def _asked(parts: int, total: int, order: int):
     return both
 
 
-def _answer(prior: float, parts: int, order: int):
+def _answer(prior: float, order: int):
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         cs, ws, seens, totals = [], [], [], []
         for r in rows.itertuples():
@@ -280,7 +295,7 @@ def _answer(prior: float, parts: int, order: int):
         part = int(rows["part"].iloc[0])
         ends = np.cumsum([len(c) for c in cs])
         c, w, seen, total = (np.concatenate(x) for x in (cs, ws, seens, totals))
-        sorted_ = np.lexsort((w, c))
+        sorted_ = ordered(c, w)
         c, w, seen, total = c[sorted_], w[sorted_], seen[sorted_], total[sorted_]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
         first = np.flatnonzero(new)
@@ -291,11 +306,11 @@ def _answer(prior: float, parts: int, order: int):
         trie = trie_of(c[first], w[first], counts, total[first], prior).mapped()
         at = trie.find(c[first], w[first])
         codes = np.where(at >= 0, trie.codes[np.maximum(at, 0)], 0) if len(trie.codes) else np.zeros(len(at), np.int64)
-        told, nodes = counts * 2 + alone, np.maximum(at, 0) * parts + part
+        told, nodes = counts * 2 + alone, np.maximum.accumulate(np.maximum(at, 0))  # a place that rises: those never seen share one and are no contexts
         out = []
         for block, e, n in zip(rows["block"], ends, map(len, cs), strict=True):
             i = of[e - n : e]
-            out.append((block, part, packed(codes[i]), packed(told[i]) if order == 2 else None, packed(nodes[i]) if order == 2 else None, None))
+            out.append((block, part, packed(codes[i]), packed(told[i]) if order == 2 else None, packed(np.diff(nodes[i], prepend=0)) if order == 2 else None, None))
         out.append((-1, part, None, None, None, trie.dump()))
         return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWER.split(", ")])
 
@@ -310,7 +325,7 @@ def _scored(parts: int, total: int, distinct: int, prior: float):
         b = Block(docs.iloc[0], by[1], parts, total)
         three = b.trigrams(by[2])
         two = b.two
-        codes2, codes3 = two.answered(by[2], "codes", two.own_codes(prior)), three.answered(by[3], "codes", three.own_codes(prior))
+        codes2, codes3 = (x.answered([unpacked(c) for c in by[k].sort_values("part")["codes"]], x.own_codes(prior)) for k, x in ((2, two), (3, three)))
         below = (b.counts + 1) / (total + distinct + 1)
         p = (dequantise(codes2) + prior / (two.before + prior) * below[two.word])[b.pair]
         longer = dequantise(codes3) + 0.0
@@ -342,14 +357,14 @@ def fit_and_score(docs: DataFrame, held_out: Column, prior: float = PRIOR, block
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, -(-size // PART_BYTES))
     every = bucketed(blocks(docs, held_out, parts, block_tokens), "block", parts, "lm_blocks")
-    texts = every.where("part < 0").select("block", "doc_ids", "flags", "lengths", "words", "tokens")
+    texts = every.where("part < 0").select("block", "doc_ids", "flags", "lengths", "tokens")
     asked = every.where("part >= 0").select("block", "part", "hashes", "counts")
-    words = staged(asked.groupBy("part").applyInPandas(_count_words(parts), "block long, part int, told binary, nodes binary, n long, v long"), "lm-words")
+    words = staged(asked.groupBy("part").applyInPandas(_count_words, "block long, part int, told binary, nodes binary, n long, v long"), "lm-words")
     total, distinct = (int(x or 0) for x in words.where("block < 0").agg(F.sum("n"), F.sum("v")).first())
     known, answers = _level(words, 1), []
     for order in (2, 3):
         requests = texts.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_asked(parts, total, order), _REQUEST)
-        answers.append(staged(requests.groupBy("part").applyInPandas(_answer(prior, parts, order), _ANSWER), f"lm-{order}"))
+        answers.append(staged(requests.groupBy("part").applyInPandas(_answer(prior, order), _ANSWER), f"lm-{order}"))
         known = known.unionByName(_level(answers[-1], order))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = staged(texts.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_scored(parts, total, distinct, prior), result), "lm-scores")
