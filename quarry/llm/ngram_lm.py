@@ -34,8 +34,11 @@ from .elias_fano import Trie, dequantise, quantise
 
 #: Bytes of text for each part of the model, and tokens of a block.
 PRIOR, BLOCK_TOKENS, PART_BYTES, LEAST_PARTS = 200.0, 3 << 19, 1 << 22, 64
+#: A bigram's number is its part, then so many bits for its place there.
+PLACE_BITS = 40
 END = 0  # the hash of a document's end; also the context of its first word
 _U = np.uint64
+_PLACE = (1 << PLACE_BITS) - 1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK = "block long, part int, doc_ids binary, flags binary, lengths binary, tokens binary, hashes binary, counts binary"
 _ANSWER = "block long, part int, codes binary, told binary, nodes binary, trie binary"
@@ -164,8 +167,8 @@ def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _numbers(answers: pd.DataFrame, parts: int, rising: bool = False) -> np.ndarray:
-    """The numbers of n-grams in the model: their places in their parts, together with these."""
-    got = [(unpacked(x).cumsum() if rising else unpacked(x)) * parts + p for p, x in zip(answers["part"], answers["nodes"], strict=True)]
+    """The numbers of n-grams in the model: of words small ones for frequent ones, of bigrams, rising in a part, the part and their places there."""
+    got = [p << PLACE_BITS | unpacked(x).cumsum() if rising else unpacked(x) * parts + p for p, x in zip(answers["part"], answers["nodes"], strict=True)]
     return np.concatenate(got) if got else np.zeros(0, np.int64)
 
 
@@ -183,10 +186,13 @@ class Level:
         c, w = number[context[which]], word_number[word[which]]
         # A context goes to one part, or to as many more as its share of all tokens is of half a part.
         spread = 1 + before[which] * (2 * parts) // max(total, 1)
-        x = (c.astype(_U) ^ (w % spread).astype(_U) * _U(0x9E3779B97F4A7C15)) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(31))) * _U(0x94D049BB133111EB)
-        p = part_of(x ^ (x >> _U(29)), parts)
-        order = ordered(p, c, w)
+        if number is word_number:
+            x = (c.astype(_U) ^ (w % spread).astype(_U) * _U(0x9E3779B97F4A7C15)) * _U(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> _U(31))) * _U(0x94D049BB133111EB)
+            p = part_of(x ^ (x >> _U(29)), parts)
+        else:  # trigrams stay with their bigrams, whose numbers then lie close together
+            p = ((c >> PLACE_BITS) + w % spread) % parts
+        order = ordered(p, c >> PLACE_BITS, c & _PLACE, w)
         self.shared, self.parts, self.c, self.w = which[order], p[order], c[order], w[order]
 
     def requests(self, block: int) -> list[tuple]:
@@ -295,7 +301,7 @@ def _answer(prior: float, order: int):
         part = int(rows["part"].iloc[0])
         ends = np.cumsum([len(c) for c in cs])
         c, w, seen, total = (np.concatenate(x) for x in (cs, ws, seens, totals))
-        sorted_ = ordered(c, w)
+        sorted_ = ordered(c >> PLACE_BITS, c & _PLACE, w)
         c, w, seen, total = c[sorted_], w[sorted_], seen[sorted_], total[sorted_]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
         first = np.flatnonzero(new)
