@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, staged, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, REPEATS, SEED = 1.5, 2, "mix-1"
@@ -49,14 +49,17 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, re
 def copies(docs: DataFrame, size: Column | None = None, seed: str = SEED, **how) -> DataFrame:
     """All columns of docs, then size, source_size, target, copies under names that docs leaves free.
 
-    A null text has size 0; a null source is a source; rows alike in source,
-    size and doc_id are interchangeable. An empty table gives no rows.
+    A null or empty text has size 0; texts of any length count whole; a null
+    source is a source; rows alike in source, size and doc_id are interchangeable.
+    An empty table gives no rows. Words are counted once and staged with the rows,
+    of which the counts by class then read the small columns only.
     """
     names = fresh(docs, "size", "source_size", "target", "copies", "skey", "digest", "class", "salt", "place")
     n_size, n_whole, n_target, n_copies, skey, digest, klass, salt, place = names
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source")))
     d = docs.withColumns({n_size: words(F.col("text")) if size is None else size, skey: key, digest: F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))})
     d = d.withColumns({klass: F.floor(F.sqrt(F.col(n_size).cast("double"))), salt: F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")})
+    d = staged(d, "mixing")
     group = [skey, klass, salt]
     n = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(n_size).alias("b"))
     classes = n.groupBy(skey, klass).agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"))

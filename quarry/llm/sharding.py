@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of a few thousand slots by its id. Bytes are
+Every record hashes into one of a few thousand slots by its id and text. Bytes are
 summed per slot, and a small versioned table maps slots to shards: largest slot
 first, each to the shard with the fewest bytes. Rebalancing edits that table; it
 moves whole slots out of shards above their share and nothing else. The table
@@ -10,10 +10,12 @@ one fold over a bounded array, and records never meet in one task.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, staged, table
+from .common import shared_dir, staged, table
 
 SLOTS = 8192
 OVERHEAD = 16
@@ -23,11 +25,14 @@ def slot_rows(docs: DataFrame, n_slots: int = SLOTS, overhead: int = OVERHEAD) -
     """doc_id, size, text_crc32, vslot of every row.
 
     Size is the text's UTF-8 bytes plus ``overhead``; a null text has none, and
-    its crc32 is that of no bytes. A null doc_id hashes by its text.
+    its crc32 is that of no bytes. Rows hash by id and text, so that many texts
+    under one id, or under none, spread over the slots; rows alike in both share
+    one. Texts of any length and empty ones are rows like others; other columns
+    are not read. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     crc, n = F.crc32(text), F.octet_length(text).cast("long")
-    return docs.select("doc_id", (n + overhead).alias("size"), crc.alias("text_crc32"), F.pmod(row_key("doc_id", crc, n), F.lit(n_slots)).cast("int").alias("vslot"))
+    return docs.select("doc_id", (n + overhead).alias("size"), crc.alias("text_crc32"), F.pmod(F.xxhash64("doc_id", crc, n), F.lit(n_slots)).cast("int").alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -77,14 +82,16 @@ def rebalance(old: DataFrame, stats: DataFrame, n_shards: int, slack: float = 0.
     return kept.select("vslot", "shard").unionByName(_deal(held.where(~keeps), _loads(kept), n_shards)).crossJoin(F.broadcast(version))
 
 
-def save_map(slot_map: DataFrame, path: str) -> None:
-    """Store a version beside the others."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+def save_map(slot_map: DataFrame, path: str) -> int:
+    """Store a version in a folder of its own beside the others, in place of an earlier try of the same; its number, 0 for an empty map."""
+    version = slot_map.agg(F.max("version")).first()[0] or 0
+    slot_map.select("vslot", "shard").write.mode("overwrite").parquet(f"{path}/version={version}")
+    return version
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The stored map of that version, the latest by default."""
-    every = spark.read.schema("vslot int, shard int, version int").parquet(path)
+    every = spark.read.schema("vslot int, shard int, version int").option("basePath", path).parquet(path)
     if version is not None:
         return every.where(F.col("version") == version)
     return every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version").select("vslot", "shard", "version")
@@ -104,7 +111,8 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str, n_shards: int = 40) -> DataFrame:
-    """Shards 0 to 39 of near equal bytes (law ``bytes``). An empty table gives no rows."""
+    """Shards 0 to 39 of near equal bytes (law ``bytes``), by the first version of a stored map."""
     rows = staged(slot_rows(table(spark, sf_dir, "documents")), "slots")
-    slot_map = staged(plan(slot_bytes(rows), n_shards), "slot-map")
-    return assign(rows, slot_map).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    path = f"{shared_dir(spark)}/quarry/slot-maps-{uuid.uuid4().hex}"
+    version = save_map(plan(slot_bytes(rows), n_shards), path)
+    return assign(rows, load_map(spark, path, version)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")

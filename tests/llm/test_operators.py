@@ -60,6 +60,34 @@ def test_shards_are_even_and_rebalance_moves_little(spark, tmp_path):
     assert sorted(map(tuple, sharding.load_map(spark, f"{tmp_path}/map", 1).collect())) == sorted(map(tuple, old.collect()))
 
 
+def test_sharding_equals_a_plain_version(spark):
+    """Slots dealt largest first to the emptiest shard, and places by slot, id, crc and size, on collected rows."""
+    rows = [r.asDict() for r in sharding.slot_rows(spark.read.parquet(f"{SF}/documents.parquet")).collect()]
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(r["size"] == len(texts[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]]) for r in rows)
+    weight, shard, loads = Counter(), {}, [0] * 40
+    for r in rows:
+        weight[r["vslot"]] += r["size"]
+    for v, n in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
+        shard[v] = loads.index(min(loads))
+        loads[shard[v]] += n
+    want, place = {}, Counter()
+    for r in sorted(rows, key=lambda r: (r["vslot"], r["doc_id"], r["text_crc32"], r["size"])):
+        want[r["doc_id"]] = (shard[r["vslot"]], place[shard[r["vslot"]]])
+        place[shard[r["vslot"]]] += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.op7(spark, SF).collect()} == want
+
+
+def test_a_hot_id_spreads_over_slots_and_a_version_is_stored_once(spark, tmp_path):
+    rows = sharding.slot_rows(spark.createDataFrame([(7, f"text {i}") for i in range(200)], "doc_id long, text string"))
+    assert rows.select("vslot").distinct().count() > 150
+    first = sharding.plan(sharding.slot_bytes(rows), 4)
+    assert sharding.save_map(first, f"{tmp_path}/m") == sharding.save_map(first, f"{tmp_path}/m") == 1
+    assert sharding.load_map(spark, f"{tmp_path}/m").count() == first.count()
+    got = sharding.assign(rows, sharding.load_map(spark, f"{tmp_path}/m")).collect()
+    assert len(got) == 200
+
+
 def test_mixing(spark, hard, none):
     d = mixing.copies(hard).collect()
     n, target, whole, size = (hard.columns.__len__() + i for i in (3, 2, 1, 0))
