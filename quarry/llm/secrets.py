@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 
 # The base's patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -60,11 +60,12 @@ _INNER = re.compile(r"""([A-Za-z_][\w-]*)["']?\s*(?::|=>?)\s*[bBrRfFuU]{0,2}$"""
 _BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[ \t]*\r?\n")
 _NEXT = re.compile(r"""[ \t]*\r?\n[ \t]+(?P<value>(?=\S*\d)[^\s"'`:{}\[\](),;]+)[ \t]*(?=\r?\n|$)""")
 _PHRASE = re.compile(r"[ \t]*(?P<value>(?:[A-Za-z]+[ \t-]+){3,}[A-Za-z]+)[ \t]*(?=[\r\n#;]|$)")
-_CALL = re.compile(r"""(?P<name>[A-Za-z_]\w*)\([ \t]*(?P<quote>["'])(?P<value>[^"'\n]+)(?P=quote)""")
+_CALL = re.compile(r"""\b(?P<name>[A-Za-z_]\w*)\([ \t]*(?P<quote>["'])(?P<value>[^"'\n]+)(?P=quote)""")
 _FLAG = re.compile(r"""(?<!\S)--?(?P<name>[A-Za-z][\w-]+)[ \t]+["']?(?P<value>[^\s"']+)""")
 _XML = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)>(?P<value>[^<\n]+)</")
 _URL = re.compile(r"://[^\s/:@]+:(?P<value>[^\s/@]+)@")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+#: How far back a name is looked for at first; one that may begin earlier is followed to its beginning.
 REACH = 256
 
 
@@ -148,12 +149,45 @@ def _indented(text: str, i: int, at: int) -> list[tuple[int, int]]:
     return out
 
 
+def _left_name(text: str, line: int, i: int) -> str | None:
+    """The name that ends before the sign at i, in the line that begins at line: bare, quoted, or a quoted item, however long."""
+    end = i
+    while end > line and text[end - 1] in " \t":
+        end -= 1
+    item = end > line and text[end - 1] == "]"
+    close = end - 1 if item else end
+    while item and close > line and text[close - 1] in " \t":
+        close -= 1
+    if close > line and text[close - 1] in "\"'":
+        quote, other = text[close - 1], "'" if text[close - 1] == '"' else '"'
+        start = text.rfind(quote, line, close - 1)
+        if start < 0 or start + 1 == close - 1 or text.find(other, start, close - 1) >= 0:
+            return None
+        if item:
+            before = start
+            while before > line and text[before - 1] in " \t":
+                before -= 1
+            if before == line or text[before - 1] != "[":
+                return None
+        return text[start + 1 : close - 1]
+    reach = REACH
+    while True:
+        start = max(line, i - reach)
+        m = _LEFT.search(text, start, i)
+        if not m or start == line or m.start() > start:
+            return m and (m["bare"] or m["quoted"] or m["item"])
+        reach *= 4
+
+
 def pairs(text: str) -> list[Pair]:
     """The name-literal pairs of a text, in order."""
     out: list[Pair] = []
     brackets = None
+    line = last = 0
     for m in _OP.finditer(text):
         i, j = m.start(), m.end()
+        line = text.rfind("\n", last, i) + 1 or line
+        last = i
         before, after = text[i - 1 : i], text[j : j + 1]
         if m[0] == "=" and (before in "=!<>~+*/%^|&" and before or after == "=") or m[0] == ":" and (before == ":" or after == ":" or text.startswith("//", j)):
             continue
@@ -163,10 +197,9 @@ def pairs(text: str) -> list[Pair]:
             j += 1
         elif m[0] == "=" and before == ":":
             continue
-        left = _LEFT.search(text, max(0, text.rfind("\n", 0, i) + 1, i - REACH), i)
-        if not left:
+        name = _left_name(text, line, i)
+        if not name:
             continue
-        name = left["bare"] or left["quoted"] or left["item"]
         literals, refs, at = [], [], j
         if m[0] == ":" and (block := _BLOCK.match(text, j)):
             literals += _indented(text, i, block.end())
@@ -250,33 +283,44 @@ def literal_score(value: str, phrase: bool = False) -> float:
     return (bits >= 2.5) + (bits >= 3.2 and len(value) >= 16) + (mixed >= 2)
 
 
+def reached(found: list[Pair], score) -> dict[str, int]:
+    """For each name the highest score of the names that its literals flow to along references, itself among them.
+
+    Names are taken by falling score, and each hands its score to those it refers
+    to, directly or not, that have none yet: every name and reference once.
+    """
+    refs: dict[str, list[str]] = {}
+    for p in found:
+        refs.setdefault(p.name, []).extend(p.refs)
+    best: dict[str, int] = {}
+    own = {n: score(n) for n in refs}
+    for n in sorted(refs, key=lambda n: -own[n]):
+        todo = [n]
+        while todo:
+            at = todo.pop()
+            if at in refs and at not in best:
+                best[at] = own[n]
+                todo += refs[at]
+    return best
+
+
 def literals(text: str) -> set[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name and look the part."""
     found = pairs(text)
     if not found:
         return set()
-    own: dict[str, set[tuple[int, int]]] = {}
-    for p in found:
-        own.setdefault(p.name, set()).update(p.literals)
-    known = {n: set(v) for n, v in own.items()}
-    changed = any(r in own for p in found for r in p.refs)
-    while changed:  # constants flow along references until nothing is new; spans only grow, so this ends
-        changed = False
-        for p in found:
-            for r in p.refs:
-                if r in known and not known[r] <= known[p.name]:
-                    known[p.name] |= known[r]
-                    changed = True
+    scores = reached(found, name_score)
+    if max(scores.values()) <= 0:
+        return set()
+    phrase = reached(found, lambda n: int(name_score(n) > 0 and phrase_like(n)))
     best: dict[tuple[int, int], int] = {}
     phrases: set[tuple[int, int]] = set()
-    for name, spans in known.items():
-        s = name_score(name)
-        if s > 0:
-            if phrase_like(name):
-                phrases |= spans
-            for x in spans:
-                best[x] = max(best.get(x, 0), s)
-    return {x for x, s in best.items() if text[x[0] : x[1]] not in own and s + literal_score(text[x[0] : x[1]], x in phrases) >= THRESHOLD}
+    for p in found:
+        for x in p.literals:
+            best[x] = max(best.get(x, 0), scores[p.name])
+            if phrase[p.name]:
+                phrases.add(x)
+    return {x for x, s in best.items() if s > 0 and text[x[0] : x[1]] not in scores and s + literal_score(text[x[0] : x[1]], x in phrases) >= THRESHOLD}
 
 
 def base(text: str) -> list[Span]:
@@ -314,7 +358,12 @@ def redact(text: str, mark: str = "<secret>") -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document, whatever its text: a null text is empty and has no spans."""
+    """One row per document, whatever its text: a null text is empty and has no spans.
+
+    Whole texts are lexed, however long; rows that repeat give equal rows; a row
+    without doc_id keeps a null one; other columns are not read. Spans that begin
+    at one place go by kind, then end. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -326,7 +375,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(listed(plain).encode()).hexdigest(), listed(spans), len(spans) - len(plain)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long")
 
 
 def redacted(text: Column) -> Column:

@@ -157,6 +157,104 @@ def test_secrets():
     assert secrets.redact('token = "abcdef123456"') == 'token = "<secret>"'
 
 
+def _plain_base(text):
+    """The base's spans by walking letter by letter, without patterns."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    words, value = ("password", "passwd", "secret", "token", "api_key", "apikey"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out = []
+
+    def assign(i):
+        for w in words:
+            if low.startswith(w, i):
+                j = i + len(w)
+                j += text[j : j + 1] in ("'", '"')
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ("'", '"')
+                k = j
+                while k < len(text) and text[k] in value:
+                    k += 1
+                if k > j:
+                    return k, k - j >= 6
+        return None
+
+    def run(i, head, letters, least):
+        if not text.startswith(head, i):
+            return None
+        k = i + len(head)
+        while k < len(text) and text[k] in letters:
+            k += 1
+        return (k, k - i >= least) if k > i + len(head) else None
+
+    upper, hexes = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    for kind, f in (("assign", assign), ("access", lambda i: run(i, "AKIA", upper, 20)), ("hex", lambda i: run(i, "", hexes, 24))):
+        i = 0
+        while i < len(text):
+            hit = f(i)
+            if hit and hit[1]:
+                out.append((kind, i, hit[0]))
+            i = hit[0] if hit else i + 1
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_base_spans_equal_a_plain_scan(spark):
+    pieces = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "api", "key", "=", ":", " ", "  ", "'", '"', "abc", "abcdef12", "AKIA", "AKIA" + "Z9" * 9, "0123456789abcdef" * 2, "f" * 23, "\n", "é", "K", "==", "x"]
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 30))) for _ in range(3000)]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for t in texts:
+        assert [(s.kind, s.start, s.end) for s in secrets.base(t)] == _plain_base(t), t
+    assert sum(len(secrets.base(t)) for t in texts) > 300
+    for r in secrets.op9(spark, SF).collect()[:50]:
+        assert all(x in r["spans"] for x in r["spans"].split(",") if x)
+
+
+def test_constants_flow_as_by_a_fixpoint():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        names = [f"v{i}" for i in range(8)] + ["db_password", "token"]
+        found = [secrets.Pair(str(rng.choice(names)), ((i, i + 1),) if rng.random() < 0.5 else (), tuple(map(str, rng.choice(names, rng.integers(0, 3))))) for i in range(12)]
+        known = {p.name: set(p.literals) for p in found}
+        for p in found:
+            known[p.name] |= set(p.literals)
+        for _ in range(20):
+            for p in found:
+                for r in p.refs:
+                    known[p.name] |= known.get(r, set())
+        best = {}
+        for n, spans in known.items():
+            for x in spans:
+                best[x] = max(best.get(x, -9), secrets.name_score(n))
+        got = secrets.reached(found, secrets.name_score)
+        for p in found:
+            for x in p.literals:
+                assert max(got[q.name] for q in found if x in q.literals) == best[x]
+
+
+def test_names_of_any_length_and_long_chains():
+    import time
+
+    for n in (10, 245, 275, 5000):
+        assert secrets.literals("my_secret_value" + "_b" * n + ' = "Zx81kLmnQ9pR2s7t"') and secrets.literals('{"my_secret_value' + "_b" * n + '": "Zx81kLmnQ9pR2s7t"}')
+        assert secrets.literals('cfg["my_secret_value' + "_b" * n + '"] = "Zx81kLmnQ9pR2s7t"')
+    began = time.time()
+    chain = 'v0 = "Zx81kLmnQ9pR2s7t"\n' + "".join(f"v{i + 1} = v{i}\n" for i in range(20_000)) + "password = v20000\n"
+    assert secrets.literals(chain) == {(6, 22)}
+    secrets.find("(" + "a" * 300_000)
+    secrets.find("a = b " * 100_000)
+    assert time.time() - began < 20
+    assert secrets.literals('db_passphrase = "correct horse battery staple 77"')
+
+
+def test_redacting_null(spark, hard):
+    assert [r[0] for r in hard.where("text is null").select(secrets.redacted(F.col("text"))).collect()] == [None]
+
+
 def test_secrets_on_hard_rows(hard, none):
     rows = secrets.scan(hard).collect()
     assert len(rows) == 10 and sum(r["n_assign"] for r in rows) == 1
