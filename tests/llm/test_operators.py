@@ -453,7 +453,71 @@ def test_a_hot_unwanted_host_keeps_its_score(spark, hot):
 
 def test_segmentation_is_the_cheapest():
     s = url_filter.Segmenter({"ab": 1.0, "abc": 1.5, "cd": 1.0, "d": 0.2})
-    assert s("abcd") == ["abc", "d"] and s("") == [] and s("zzz") == ["zzz"] and s("zzabzz") in (["zz", "ab", "zz"], ["zzabzz"])
+    assert s("abcd") == ["abc", "d"] and s("") == [] and s("zzz") == ["zzz"] and s("zzabzz") == ["zzabzz"]
+    rng = np.random.default_rng(6)
+
+    def splits(name):
+        """All ways to cut a name into known words and unknown runs, no two unknown ones together, with their costs."""
+        if not name:
+            yield [], 0.0, False
+        for i in range(1, len(name) + 1):
+            for rest, cost, unknown in splits(name[i:]):
+                if name[:i] in words:
+                    yield [name[:i], *rest], cost + words[name[:i]], False
+                if not unknown:
+                    yield [name[:i], *rest], cost + url_filter.WORD_COST + i * url_filter.UNKNOWN_LETTER, True
+
+    for _ in range(150):
+        words = {"".join(rng.choice(list("abc"), rng.integers(1, 4))): float(rng.uniform(0.5, 30)) for _ in range(6)}
+        name = "".join(rng.choice(list("abc"), rng.integers(1, 9)))
+        got = url_filter.Segmenter(words)(name)
+        assert "".join(got) == name
+        best = min(cost for _, cost, _ in splits(name))
+        assert any(math.isclose(cost, best) for found, cost, _ in splits(name) if found == got), (words, name, got)
+
+
+def test_words_learned_from_pages_split_names(spark):
+    text = "the kitchen has recipes and the best car insurance for a photography school is in the best kitchen " * 40
+    pages = spark.createDataFrame([(i, f"<p>{text}</p><script>var chpt</script><!-- itch -->") for i in range(5)] + [(9, None), (10, "")], "page_id long, html string")
+    s = url_filter.Segmenter(url_filter.unigram(pages, url_filter.visible(F.col("html"))))
+    assert s("photographyschool") == ["photography", "school"] and s("kitchenrecipes") == ["kitchen", "recipes"] and s("bestcarinsurance") == ["best", "car", "insurance"]
+    assert "chpt" not in s.cost and "itch" not in s.cost and s("qzxvbnw") == ["qzxvbnw"]
+    assert set(url_filter.unigram(pages.where("false"), url_filter.visible(F.col("html")))) == {w for x in url_filter.SEED for w in x.split()}
+
+
+def test_words_outside_the_start_are_learned(spark):
+    """Hosts that are unwanted by one word teach the other."""
+    rows = [(i, f"http://www.paper{i}.example.org/{i}") for i in range(300)] + [(1000 + i, f"http://casino-zork{i}.example.com/") for i in range(20)] + [(2000, "http://zork.example.net/"), (2001, "http://" + "a" * 20000 + ".example.net/" + "b" * 20000)]
+    rows += [rows[0], (None, "http://zork.example.net/")]
+    u = url_filter.ruled(url_filter.parsed(spark.createDataFrame(rows, "page_id long, url string").withColumns({"words": F.lit(1), "by": F.lit(2), "host": F.lit("x")})))
+    got = url_filter.judge(u, url_filter.learn(u)).collect()
+    assert len(got) == len(rows)
+    assert all((r["score"] > 0) == (r["page_id"] is None or 1000 <= r["page_id"] <= 2000) for r in got)
+
+
+def test_url_scores_equal_a_plain_classifier(spark):
+    """Counts, classes and scores by plain dictionaries over collected rows."""
+    u = url_filter.ruled(url_filter.parsed(spark.read.parquet(f"{SF}/pages.parquet")))
+    costs = url_filter.unigram(spark.read.parquet(f"{SF}/pages.parquet"), url_filter.visible(F.col("html")))
+    segment, words, own = url_filter.Segmenter(costs), defaultdict(set), defaultdict(set)
+    rows = u.collect()
+    for r in rows:
+        own[r["host"]] = {(True, w) for w in map(url_filter.bucket, url_filter.split_words(r["host"], "", segment))}
+        words[r["host"]] |= own[r["host"]] | {(False, w) for w in map(url_filter.bucket, url_filter.split_words("", r["path"], segment))}
+    start = Counter(url_filter.bucket(w) for s in url_filter.SEED for w in s.split())
+    every = Counter(w for h in words.values() for _, w in h)
+    got, unwanted, usual = Counter(), set(), {w: n for w, n in every.items() if w not in start}
+    for _ in range(url_filter.ROUNDS + 1):
+        n = len(url_filter.SEED) / (len(own) - len(unwanted))
+        bad = {w: start[w] + n * usual.get(w, 0) + got[w] for w in set(start) | set(usual) | set(got)}
+        v = len(set(every) | set(start)) + 1
+        odds = {w: math.log((bad.get(w, 0) + 0.2) / (sum(bad.values()) + 0.2 * v)) - math.log((usual.get(w, 0) + 0.2) / (sum(usual.values()) + 0.2 * v)) for w in set(bad) | set(usual)}
+        unwanted = {h for h, x in own.items() if url_filter.PRIOR + sum(odds.get(w, 0) for _, w in x) > 0}
+        got = Counter(w for h in unwanted for _, w in words[h])
+        usual = {w: n - got[w] for w, n in every.items()}
+    for r in url_filter.judge(u, url_filter.learn(u, costs)).collect():
+        found = url_filter.split_words(r["host"], "", segment) + url_filter.split_words("", r["path"], segment)
+        assert r["words"] == " ".join(found) and math.isclose(r["score"], url_filter.PRIOR + sum(odds.get(url_filter.bucket(w), 0) for w in found), abs_tol=1e-6)
 
 
 def test_graph_recall_and_links(spark):
