@@ -2,10 +2,12 @@
 
 ``decode`` reads prefix codes (plain and per block), back-references and the
 colour cache, and inverts the predictor, cross-colour, subtract-green and
-palette transforms. Images of one prefix code with samples in green alone, as
-``encode_samples`` writes them, are decoded with arrays: the symbol that would
-start at every bit is looked up at once, and the chain of those that do is
-followed in strides.
+palette transforms. ``encode_samples`` stores samples in the green channel of
+one prefix code group: few distinct values become a palette with several to a
+pixel, samples that the one to the left or above foretells better than their own
+frequencies go through the predictor, and repeated runs become back-references.
+Such images are decoded with arrays: the step that a symbol would take is looked
+up at every bit at once, and the chain of symbols is followed in strides.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 
 # Fixed values of the format.
 MAGIC, MAX_SIDE, LITERALS, LENGTHS, DISTANCES, HASH = 0x2F, 1 << 14, 256, 24, 40, 0x1E35A7BD
@@ -31,6 +33,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Near pixels by distance: 8 columns to the right and 7 to the left in this row and the 7 above.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 WIDTH, UNIT, STRIDES, LONGEST = 64, 64, 3, 11
+#: Back-references of the encoder: least and greatest length, bytes that find them, and the farthest.
+LEAST_RUN, LONGEST_RUN, KEY, FARTHEST = 16, 4096, 8, (1 << 20) - 120
 
 
 class Bits:
@@ -134,35 +138,83 @@ def _extended(b: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + b.read(extra) + 1
 
 
-def _chain(b: Bits, green: Code, n: int) -> np.ndarray | None:
-    """n samples of one code from here on, or None if one is no literal."""
+def _extra(prefix: np.ndarray) -> np.ndarray:
+    """How many bits follow a prefix of a length or distance."""
+    return np.maximum((prefix - 2) >> 1, 0)
+
+
+def _field(raw: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fields of n bits (at most 24) from places of bits on."""
+    first = at >> 3
+    four = raw[first] | raw[first + 1] << 8 | raw[first + 2] << 16 | raw[first + 3] << 24
+    return (four.astype(np.int64) >> (at & 7)) & ((1 << n) - 1)
+
+
+def _stream(b: Bits, green: Code, distance: Code, n: int, width: int) -> np.ndarray:
+    """n samples of one code of literals and back-references, the last thing in the data."""
     first = b.at >> 3
     raw = np.frombuffer(b.data, np.uint8)[first:].astype(np.uint32)
     window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     index = ((window[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).ravel()
-    step = green.lengths[index]
-    end = len(step)
+    step, end, size = green.lengths[index], 8 * len(window), b.size - 8 * first
+    if (green.symbols >= LITERALS).any():
+        far = np.flatnonzero(green.symbols[index] >= LITERALS)
+        far = far[far < size]
+        prefix = green.symbols[index[far]] - LITERALS
+        at = np.minimum(far + step[far] + _extra(prefix), size)
+        code = distance.symbols[_field(raw, at, np.int64(distance.bits))] if distance.bits else np.full(len(at), distance.symbols[0])
+        bits = distance.lengths[_field(raw, at, np.int64(distance.bits))] if distance.bits else 0
+        step[far] = at - far + bits + _extra(code)
     jumps = [np.minimum(np.arange(end, dtype=np.int32) + step, end - 1)]
     for _ in range(STRIDES):
         jumps.append(jumps[-1][jumps[-1]])
-    stride, far = 1 << STRIDES, jumps[-1]
+    stride, leap = 1 << STRIDES, jumps[-1]
     at, starts = b.at & 7, []
     for _ in range(-(-n // stride)):
+        if at >= size:
+            break
         starts.append(at)
-        at = int(far[at])
+        at = int(leap[at])
     places = np.empty((len(starts), stride), np.int32)
     places[:, 0] = starts
     for k in range(STRIDES):  # the first 2^k places of each stride give the next 2^k
         places[:, 1 << k : 2 << k] = jumps[k][places[:, : 1 << k]]
     places = places.ravel()[:n]
-    out = green.symbols[index[places]]
-    stop = 8 * first + int(places[-1]) + int(step[places[-1]])
-    if stop > b.size:
+    symbols = green.symbols[index[places]]
+    runs = np.flatnonzero(symbols >= LITERALS)
+    lengths = np.ones(len(places), np.int64)
+    if len(runs):
+        prefix, at = symbols[runs] - LITERALS, places[runs] + green.lengths[index[places[runs]]]
+        at = np.minimum(at, size)
+        lengths[runs] = np.where(prefix < 4, prefix, (2 + (prefix & 1)) << _extra(prefix)) + _field(raw, at, _extra(prefix)) + 1
+        at = np.minimum(at + _extra(prefix), size)
+        code = distance.symbols[_field(raw, at, np.int64(distance.bits))] if distance.bits else np.full(len(at), distance.symbols[0])
+        at = np.minimum(at + (distance.lengths[_field(raw, at, np.int64(distance.bits))] if distance.bits else 0), size)
+        back = np.where(code < 4, code, (2 + (code & 1)) << _extra(code)) + _field(raw, at, _extra(code)) + 1
+    upto = lengths.cumsum()
+    last = int(np.searchsorted(upto, n))
+    if last >= len(upto) or 8 * first + int(places[last]) + int(step[places[last]]) > b.size:
         raise ValueError("the image ends early")
-    if out.max() >= LITERALS:
-        return None
-    b.at = stop
-    return out
+    if upto[last] != n:
+        raise ValueError("a back-reference leaves the image")
+    b.at = 8 * first + int(places[last]) + int(step[places[last]])
+    symbols, starts_out = symbols[: last + 1], (upto - lengths)[: last + 1]
+    if not len(runs):
+        return symbols
+    out = np.zeros(n, np.uint8)
+    plain = symbols < LITERALS
+    out[starts_out[plain]] = symbols[plain]
+    buffer, keep = bytearray(out), runs <= last
+    for p, length, d in zip(starts_out[runs[keep]].tolist(), lengths[runs[keep]].tolist(), back[keep].tolist(), strict=True):
+        if d > len(NEAR):
+            d -= len(NEAR)
+        else:
+            x, y = NEAR[d - 1]
+            d = max(1, x + y * width)
+        if d > p:
+            raise ValueError("a back-reference leaves the image")
+        buffer[p : p + length] = buffer[p - d : p - d + length] if d >= length else (buffer[p - d : p] * (length // d + 1))[:length]
+    return np.frombuffer(buffer, np.uint8)
 
 
 def read_pixels(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -179,12 +231,10 @@ def read_pixels(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     codes = [[read_code(b, s) for s in sizes] for _ in range(groups)]
     n = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and not cache_bits and green.bits and not (red.bits or blue.bits or alpha.bits):
-        found = _chain(b, green, n)
-        if found is not None:
-            rest = int(alpha.symbols[0]) << 24 | int(red.symbols[0]) << 16 | int(blue.symbols[0])
-            return (found.astype(np.uint32) << 8) | np.uint32(rest)
+    green, red, blue, alpha, distance = codes[0]
+    if main and groups == 1 and not cache_bits and green.bits and not (red.bits or blue.bits or alpha.bits):
+        rest = int(alpha.symbols[0]) << 24 | int(red.symbols[0]) << 16 | int(blue.symbols[0])
+        return (_stream(b, green, distance, n, width).astype(np.uint32) << 8) | np.uint32(rest)
     out: list[int] = []
     cache, kept = [0] * (1 << cache_bits), 0
     while len(out) < n:
@@ -262,6 +312,14 @@ def predict(mode: int, left, top, right, corner) -> list[int]:
 
 def unpredict(c: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
     height, width = c.shape[:2]
+    if modes.min() == modes.max() and modes.flat[0] in (1, 2):  # every pixel from the left, or from above: sums along a line
+        out = c.astype(np.int64)
+        out[0, 0, 3] += 255
+        if modes.flat[0] == 1:
+            out[:, 0] = out[:, 0].cumsum(0)
+            return (out.cumsum(1) & 0xFF).astype(np.int32)
+        out[0] = out[0].cumsum(0)
+        return (out.cumsum(0) & 0xFF).astype(np.int32)
     rows = c.tolist()
     for y in range(height):
         row, above = rows[y], rows[y - 1]
@@ -447,29 +505,134 @@ class Writer:
             self.put(extra, n)
 
 
+def repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of runs that occurred before, first come first served, found by the bytes they begin with."""
+    n = len(x) - KEY + 1
+    if n < LEAST_RUN:
+        return []
+    keys = np.lib.stride_tricks.as_strided(x, (n, KEY), (1, 1)).copy().view(np.uint64).ravel()
+    order = keys.argsort(kind="stable")
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    distance = np.zeros(n, np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    distance[distance > FARTHEST] = 0
+    cuts = np.flatnonzero(np.diff(distance, prepend=-1, append=-1))
+    lengths = np.diff(cuts) + KEY - 1
+    good = (distance[cuts[:-1]] > 0) & (lengths >= LEAST_RUN)
+    out, at = [], 0
+    for start, length, d in zip(cuts[:-1][good].tolist(), lengths[good].tolist(), distance[cuts[:-1][good]].tolist(), strict=True):
+        end, start = start + length, max(start, at)
+        while end - start >= LEAST_RUN:
+            take = min(end - start, LONGEST_RUN)
+            out.append((start, take, d))
+            start = at = start + take
+    return out
+
+
+def _prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, number of extra bits and these, of lengths or distances from 1 up."""
+    v = np.maximum(value - 1, 0)
+    top = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
+    extra = np.maximum(top - 1, 0)
+    prefix = np.where(v < 4, v, 2 * top + ((v >> extra) & 1))
+    return prefix, np.where(v < 4, 0, extra), np.where(v < 4, 0, v & ((1 << extra) - 1))
+
+
+def _entropy(x: np.ndarray) -> float:
+    n = np.bincount(x, minlength=256)
+    p = n[n > 0] / len(x)
+    return float(-(p * np.log2(p)).sum())
+
+
+def foretold(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """Predictor mode (0: none, 1: left, 2: above) and residuals of rows of samples: whichever needs fewest bits by far enough."""
+    first = np.concatenate([x[:1, :1], np.diff(x[:1], axis=1)], 1)
+    left = np.concatenate([np.concatenate([first[:, :1], np.diff(x[:, :1], axis=0)]), np.concatenate([first[:, 1:], np.diff(x[1:], axis=1)])], 1) if len(x) > 1 else first
+    above = np.concatenate([first, np.diff(x, axis=0)])
+    bits = [_entropy(x.ravel()), _entropy(left.ravel()), _entropy(above.ravel())]
+    best = int(np.argmin(bits))
+    return (best, (x, left, above)[best]) if best and (bits[0] - bits[best]) * x.size > 128 else (0, x)
+
+
 def encode_image(samples: np.ndarray, width: int = WIDTH) -> bytes:
-    """Samples, a multiple of width, as the green channel of a file with one prefix code."""
+    """Samples, a multiple of width, as the green channel of a file with one group of prefix codes."""
     w = Writer()
     w.put(MAGIC, 8)
     w.put(width - 1, 14)
     w.put(len(samples) // width - 1, 14)
-    w.put(0, 1 + 3 + 1 + 1 + 1)  # no alpha, version 0; no transform, cache or blocks
-    counts = np.bincount(samples, minlength=LITERALS + LENGTHS)
-    lengths = huffman(counts, LONGEST)
-    w.code(lengths)
-    for symbol, size in ((0, 256), (0, 256), (255, 256), (0, DISTANCES)):
-        one = np.zeros(size, np.int64)
-        one[symbol] = 1
-        w.code(one)
-    if np.count_nonzero(lengths) < 2:
+    w.put(0, 1 + 3)  # no alpha, version 0
+    alpha, x = 255, samples.reshape(-1, width)
+    values = np.unique(samples)
+    if len(values) <= 16:
+        each = 1 if len(values) <= 2 else 2 if len(values) <= 4 else 4
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(values) - 1, 8)
+        w.put(0, 1)  # no cache
+        # The colours' differences: the first has the alpha, all of them green.
+        steps = np.diff(values, prepend=0).astype(np.uint8)
+        alphas = np.zeros(256, np.int64)
+        alphas[[255, 0][: min(2, len(values))]] = 1
+        green = huffman(np.bincount(steps, minlength=LITERALS + LENGTHS), LONGEST)
+        for lengths, size in ((green, 0), (None, 256), (None, 256), (alphas, 0), (None, DISTANCES)):
+            w.code(np.eye(1, size, dtype=np.int64)[0] if lengths is None else lengths)
+        greens, alpha_codes = canonical(green).tolist(), canonical(alphas).tolist()
+        for i, v in enumerate(steps.tolist()):
+            if np.count_nonzero(green) > 1:
+                w.put(greens[v], int(green[v]))
+            if len(values) > 1:
+                w.put(alpha_codes[0 if i else 255], 1)
+        place = np.zeros(256, np.uint8)
+        place[values] = np.arange(len(values))
+        x = place[x].reshape(len(x), -1, 8 // each)
+        x = (x << (each * np.arange(8 // each, dtype=np.uint8))).sum(2).astype(np.uint8)
+        width = x.shape[1]
+    mode, x = foretold(x)
+    if mode:
+        w.put(1, 1)
+        w.put(PREDICTOR, 2)
+        w.put(7, 3)  # blocks of 512 pixels
+        w.put(0, 1)  # no cache
+        for symbol, size in ((mode, LITERALS + LENGTHS), (0, 256), (0, 256), (255, 256), (0, DISTANCES)):
+            w.code(np.eye(1, size, symbol, dtype=np.int64)[0])
+        alpha = 0
+    w.put(0, 1 + 1 + 1)  # no more transforms, no cache, no blocks
+    x = np.ascontiguousarray(x).ravel()
+    runs = np.array(repeats(x), np.int64).reshape(-1, 3)
+    literal = np.ones(len(x), bool)
+    for start, length, _ in runs.tolist():
+        literal[start : start + length] = False
+    plain = np.flatnonzero(literal)
+    length_prefix, length_bits, length_rest = _prefixed(runs[:, 1])
+    far_prefix, far_bits, far_rest = _prefixed(runs[:, 2] + len(NEAR))
+    counts = np.bincount(x[plain], minlength=LITERALS + LENGTHS) + np.bincount(LITERALS + length_prefix, minlength=LITERALS + LENGTHS)
+    green, far = huffman(counts, LONGEST), huffman(np.bincount(far_prefix, minlength=DISTANCES), LONGEST)
+    w.code(green)
+    for lengths in (np.eye(1, 256, dtype=np.int64)[0], np.eye(1, 256, dtype=np.int64)[0], np.eye(1, 256, alpha, dtype=np.int64)[0], far if len(runs) else np.eye(1, DISTANCES, dtype=np.int64)[0]):
+        w.code(lengths)
+    sizes = green if np.count_nonzero(green) > 1 else green * 0
+    far_sizes = far if np.count_nonzero(far) > 1 else far * 0
+    codes, far_codes = canonical(green), canonical(far)
+    # A literal has one field and a back-reference five, of which the distance's rest is cut in two.
+    if len(runs):
+        n = len(plain) + 5 * len(runs)
+        fields, bits = np.empty(n, np.int32), np.empty(n, np.int32)
+        spot = np.arange(len(plain)) + 5 * np.searchsorted(runs[:, 0], plain)
+        fields[spot], bits[spot] = codes[x[plain]], sizes[x[plain]]
+        spot = 5 * np.arange(len(runs)) + np.searchsorted(plain, runs[:, 0])
+        parts = ((codes[LITERALS + length_prefix], sizes[LITERALS + length_prefix]), (length_rest, length_bits), (far_codes[far_prefix], far_sizes[far_prefix]), (far_rest & 511, np.minimum(far_bits, 9)), (far_rest >> 9, np.maximum(far_bits - 9, 0)))
+        for k, (value, size) in enumerate(parts):
+            fields[spot + k], bits[spot + k] = value, size
+    else:
+        fields, bits = codes.astype(np.int32)[x], sizes.astype(np.int32)[x]
+    if not bits.sum():
         return wrap(w.value.to_bytes(-(-w.at // 8), "little"))
-    sizes = lengths.astype(np.int32)[samples]
-    ends = sizes.cumsum() + w.at
-    at = ends - sizes
-    codes = canonical(lengths)[samples] << (at & 15)
-    word = at >> 4
+    ends = bits.cumsum(dtype=np.int64) + w.at
+    starts = ends - bits
+    fields = fields * (bits > 0) << (starts & 15)
+    word = starts >> 4
     n = (int(ends[-1]) + 15) // 16 + 1
-    words = np.bincount(word, codes & 0xFFFF, n) + np.bincount(word + 1, codes >> 16, n + 1)[:n]
+    words = np.bincount(word, fields & 0xFFFF, n) + np.bincount(word + 1, fields >> 16, n + 1)[:n]
     head = w.value.to_bytes(2 * n, "little")
     body = words.astype("<u2").tobytes()
     data = (np.frombuffer(head, np.uint8) | np.frombuffer(body, np.uint8)).tobytes()
@@ -507,14 +670,19 @@ def feature(images: list[np.ndarray]) -> str:
 
 
 def media_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each whole text's bytes as lossless WebP; a null text is empty and gives one row of zeros."""
+    """(doc_id, media): each whole text's bytes as lossless WebP.
+
+    A null or empty text gives one row of zeros; a text of any length gives as
+    many images as it needs; equal texts give equal bytes; rows that repeat stay;
+    other columns are not read. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             media = [encode_samples(padded((t or "").encode())) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "media": media})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, media binary")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, media binary")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,5 +699,5 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(images)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = short_batches(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

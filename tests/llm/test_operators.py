@@ -589,6 +589,86 @@ def test_samples_round_trip(size):
     assert b"".join(i.tobytes() for i in webp.decode_samples(webp.encode_samples(noise))) == noise
 
 
+def _payloads():
+    rng = np.random.default_rng(9)
+    yield "zeros", bytes(64)
+    yield "two values", bytes(rng.integers(0, 2, 640).astype(np.uint8) * 65 + 32)
+    yield "sixteen values", bytes(rng.integers(97, 113, 6400).astype(np.uint8))
+    yield "seventeen values", bytes(rng.integers(97, 114, 6400).astype(np.uint8))
+    yield "all values", rng.bytes(64 * 700)
+    line = b"License: some words that come again and again; no warranty.\n"
+    yield "repeats", webp.padded(b"".join(line + rng.bytes(int(rng.integers(0, 90))) for _ in range(300)))
+    yield "one run", webp.padded(b"ab" * 20000)
+    yield "far", webp.padded(rng.bytes(400_000) + line * 3 + rng.bytes(700_000) + line)
+    yield "walk", bytes((rng.integers(-1, 2, 64 * 90).cumsum() & 255).astype(np.uint8))
+    yield "columns", bytes(((rng.integers(0, 256, 64)[None] + 7 * np.arange(120)[:, None]) & 255).astype(np.uint8).tobytes())
+
+
+def test_forms_of_stored_files_round_trip():
+    """Every way the encoder stores samples comes back, and each way is used."""
+    seen = set()
+    for name, payload in _payloads():
+        media = webp.encode_samples(payload)
+        assert b"".join(i.tobytes() for i in webp.decode_samples(media)) == payload, name
+        assert len(media) <= len(payload) + 600, name
+        x = np.frombuffer(payload, np.uint8)
+        seen |= {("palette", len(np.unique(x)) <= 16), ("mode", webp.foretold(x.reshape(-1, 64))[0]), ("runs", bool(webp.repeats(x)))}
+    assert seen >= {("palette", True), ("palette", False), ("mode", 0), ("mode", 1), ("mode", 2), ("runs", True), ("runs", False)}
+
+
+def test_fast_and_plain_decoding_agree(monkeypatch):
+    """The array decoder against the reader of one symbol after another."""
+    for name, payload in _payloads():
+        if len(payload) > 100_000:
+            continue
+        media = webp.encode_samples(payload)
+        read = webp.read_pixels
+        with monkeypatch.context() as m:
+            m.setattr(webp, "read_pixels", lambda b, w, h, main: _plain_pixels(b, w, h, main, read))
+            assert b"".join(i.tobytes() for i in webp.decode_samples(media)) == payload, name
+
+
+def _plain_pixels(b, width, height, main, read):
+    if not main:
+        return read(b, width, height, main)
+    assert b.read(1) == 0 and b.read(1) == 0
+    green, red, blue, alpha, far = (webp.read_code(b, n) for n in (280, 256, 256, 256, 40))
+    out = []
+    while len(out) < width * height:
+        s = green.read(b)
+        if s < 256:
+            r, bl = red.read(b), blue.read(b)
+            out.append(alpha.read(b) << 24 | r << 16 | s << 8 | bl)
+        else:
+            length = webp._extended(b, s - 256)
+            d = webp._extended(b, far.read(b)) - 120
+            assert d > 0
+            for _ in range(length):
+                out.append(out[-d])
+    return np.array(out, np.uint32)
+
+
+def test_a_file_of_another_encoder():
+    """A published one-pixel lossless file, known from feature tests of browsers."""
+    import base64
+
+    image = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert image.shape == (1, 1) and image.dtype == np.uint32
+
+
+def test_media_figures_equal_plain_ones(spark):
+    """Every column of the query from the texts alone, but for the stored form's, which decode to them."""
+    import hashlib
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    media = {r["doc_id"]: bytes(r["media"]) for r in webp.media_of(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for r in webp.op8(spark, SF).collect():
+        data = texts[r["doc_id"]]
+        whole = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media[r["doc_id"]]), hashlib.sha256(media[r["doc_id"]]).hexdigest())
+
+
 def _image(width, height, transforms, symbols, cache_bits=0, inner=()):
     """A file whose main image is symbols: ('px', argb), ('ref', length, distance code) or ('hit', cache index)."""
     w = webp.Writer()
