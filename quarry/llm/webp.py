@@ -35,6 +35,7 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 WIDTH, UNIT, STRIDES, LONGEST = 64, 64, 3, 11
 #: Back-references of the encoder: least and greatest length, bytes that find them, and the farthest.
 LEAST_RUN, LONGEST_RUN, KEY, FARTHEST = 16, 4096, 8, (1 << 20) - 120
+HASHER, _PLACES = 0x9E3779B97F4A7C15, np.uint64((1 << 20) - 1)
 
 
 class Bits:
@@ -102,14 +103,19 @@ def code_of(lengths: np.ndarray) -> Code:
     return Code(bits, both >> 4, both & 15)
 
 
+_NONE = np.zeros(1, np.int32)
+
+
 def read_code(b: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if b.read(1):
+        lengths = np.zeros(alphabet, np.int64)
         two = b.read(1)
         symbols = [b.read(8 if b.read(1) else 1)] + ([b.read(8)] if two else [])
+        if not two and symbols[0] < alphabet:
+            return Code(0, np.array(symbols, np.int32), _NONE)
         lengths[symbols] = 1
         return code_of(lengths)
-    how = np.zeros(19, np.int64)
+    lengths, how = np.zeros(alphabet, np.int64), np.zeros(19, np.int64)
     for k in ORDER[: 4 + b.read(4)]:
         how[k] = b.read(3)
     code = code_of(how)
@@ -156,10 +162,12 @@ def _stream(b: Bits, green: Code, distance: Code, n: int, width: int) -> np.ndar
     raw = np.frombuffer(b.data, np.uint8)[first:].astype(np.uint32)
     window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     index = ((window[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).ravel()
-    step, end, size = green.lengths[index], 8 * len(window), b.size - 8 * first
+    end, size = 8 * len(window), b.size - 8 * first
+    step = np.where(green.symbols >= LITERALS, 0, green.lengths).astype(np.int32).take(index)
     if (green.symbols >= LITERALS).any():
-        far = np.flatnonzero(green.symbols[index] >= LITERALS)
+        far = np.flatnonzero(step == 0)
         far = far[far < size]
+        step[far] = green.lengths[index[far]]
         prefix = green.symbols[index[far]] - LITERALS
         at = np.minimum(far + step[far] + _extra(prefix), size)
         code = distance.symbols[_field(raw, at, np.int64(distance.bits))] if distance.bits else np.full(len(at), distance.symbols[0])
@@ -167,14 +175,14 @@ def _stream(b: Bits, green: Code, distance: Code, n: int, width: int) -> np.ndar
         step[far] = at - far + bits + _extra(code)
     jumps = [np.minimum(np.arange(end, dtype=np.int32) + step, end - 1)]
     for _ in range(STRIDES):
-        jumps.append(jumps[-1][jumps[-1]])
-    stride, leap = 1 << STRIDES, jumps[-1]
+        jumps.append(jumps[-1].take(jumps[-1]))
+    stride, leap = 1 << STRIDES, jumps[-1].item
     at, starts = b.at & 7, []
     for _ in range(-(-n // stride)):
         if at >= size:
             break
         starts.append(at)
-        at = int(leap[at])
+        at = leap(at)
     places = np.empty((len(starts), stride), np.int32)
     places[:, 0] = starts
     for k in range(STRIDES):  # the first 2^k places of each stride give the next 2^k
@@ -448,6 +456,10 @@ class Writer:
         self.value |= value << self.at
         self.at += n
 
+    def single(self, symbol: int) -> None:
+        """The code of one symbol, which takes no bits."""
+        self.put(0b101 | symbol << 3, 11)
+
     def code(self, lengths: np.ndarray) -> None:
         """A prefix code: simple if it has one or two symbols that fit, else by its code lengths."""
         used = np.flatnonzero(lengths).tolist()
@@ -510,11 +522,16 @@ def repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(x) - KEY + 1
     if n < LEAST_RUN:
         return []
-    keys = np.lib.stride_tricks.as_strided(x, (n, KEY), (1, 1)).copy().view(np.uint64).ravel()
-    order = keys.argsort(kind="stable")
-    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    two = x[:-1].astype(np.uint16) | x[1:].astype(np.uint16) << 8
+    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << 16
+    keys = four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
+    # A hash of the bytes above the place, so that one sort of numbers lays equal bytes together by place; an image has at most 2^20 samples.
+    order = np.sort((keys * np.uint64(HASHER)) & ~_PLACES | np.arange(n, dtype=np.uint64))
+    alike = np.flatnonzero((order[1:] ^ order[:-1]) <= _PLACES)
+    here, before = (order[alike + 1] & _PLACES).astype(np.int64), (order[alike] & _PLACES).astype(np.int64)
+    same = keys[here] == keys[before]
     distance = np.zeros(n, np.int64)
-    distance[order[same + 1]] = order[same + 1] - order[same]
+    distance[here[same]] = (here - before)[same]
     distance[distance > FARTHEST] = 0
     cuts = np.flatnonzero(np.diff(distance, prepend=-1, append=-1))
     lengths = np.diff(cuts) + KEY - 1
@@ -546,9 +563,11 @@ def _entropy(x: np.ndarray) -> float:
 
 def foretold(x: np.ndarray) -> tuple[int, np.ndarray]:
     """Predictor mode (0: none, 1: left, 2: above) and residuals of rows of samples: whichever needs fewest bits by far enough."""
-    first = np.concatenate([x[:1, :1], np.diff(x[:1], axis=1)], 1)
-    left = np.concatenate([np.concatenate([first[:, :1], np.diff(x[:, :1], axis=0)]), np.concatenate([first[:, 1:], np.diff(x[1:], axis=1)])], 1) if len(x) > 1 else first
-    above = np.concatenate([first, np.diff(x, axis=0)])
+    left, above = x.copy(), x.copy()
+    left[1:, 0] -= x[:-1, 0]
+    left[:, 1:] -= x[:, :-1]
+    above[0, 1:] -= x[0, :-1]
+    above[1:] -= x[:-1]
     bits = [_entropy(x.ravel()), _entropy(left.ravel()), _entropy(above.ravel())]
     best = int(np.argmin(bits))
     return (best, (x, left, above)[best]) if best and (bits[0] - bits[best]) * x.size > 128 else (0, x)
@@ -574,8 +593,8 @@ def encode_image(samples: np.ndarray, width: int = WIDTH) -> bytes:
         alphas = np.zeros(256, np.int64)
         alphas[[255, 0][: min(2, len(values))]] = 1
         green = huffman(np.bincount(steps, minlength=LITERALS + LENGTHS), LONGEST)
-        for lengths, size in ((green, 0), (None, 256), (None, 256), (alphas, 0), (None, DISTANCES)):
-            w.code(np.eye(1, size, dtype=np.int64)[0] if lengths is None else lengths)
+        for lengths in (green, None, None, alphas, None):
+            w.single(0) if lengths is None else w.code(lengths)
         greens, alpha_codes = canonical(green).tolist(), canonical(alphas).tolist()
         for i, v in enumerate(steps.tolist()):
             if np.count_nonzero(green) > 1:
@@ -593,8 +612,8 @@ def encode_image(samples: np.ndarray, width: int = WIDTH) -> bytes:
         w.put(PREDICTOR, 2)
         w.put(7, 3)  # blocks of 512 pixels
         w.put(0, 1)  # no cache
-        for symbol, size in ((mode, LITERALS + LENGTHS), (0, 256), (0, 256), (255, 256), (0, DISTANCES)):
-            w.code(np.eye(1, size, symbol, dtype=np.int64)[0])
+        for symbol in (mode, 0, 0, 255, 0):
+            w.single(symbol)
         alpha = 0
     w.put(0, 1 + 1 + 1)  # no more transforms, no cache, no blocks
     x = np.ascontiguousarray(x).ravel()
@@ -608,8 +627,9 @@ def encode_image(samples: np.ndarray, width: int = WIDTH) -> bytes:
     counts = np.bincount(x[plain], minlength=LITERALS + LENGTHS) + np.bincount(LITERALS + length_prefix, minlength=LITERALS + LENGTHS)
     green, far = huffman(counts, LONGEST), huffman(np.bincount(far_prefix, minlength=DISTANCES), LONGEST)
     w.code(green)
-    for lengths in (np.eye(1, 256, dtype=np.int64)[0], np.eye(1, 256, dtype=np.int64)[0], np.eye(1, 256, alpha, dtype=np.int64)[0], far if len(runs) else np.eye(1, DISTANCES, dtype=np.int64)[0]):
-        w.code(lengths)
+    for symbol in (0, 0, alpha):
+        w.single(symbol)
+    w.code(far) if len(runs) else w.single(0)
     sizes = green if np.count_nonzero(green) > 1 else green * 0
     far_sizes = far if np.count_nonzero(far) > 1 else far * 0
     codes, far_codes = canonical(green), canonical(far)
