@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _settled(e: DataFrame) -> bool:
@@ -31,5 +31,6 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         large = staged(large, name)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = staged(small.where("u <> v").distinct(), name)
+        old, e = e, staged(small.where("u <> v").distinct(), name)
+        discard(old, large)
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -29,11 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, short_batches, staged, table
+from .common import discard, fresh, short_batches, staged, table
 from .components import components
 
 WORDS, THRESHOLD, BANDS, ROWS, SEED = 5, 0.8, 20, 5, 1
 REMEMBERED = 60_000
+#: Keys of more rows than this meet their few partners by broadcast, of which there may be so many rows; beyond that by an ordinary join.
+HOT, HOT_ROWS = 1000, 200_000
 _U = np.uint64
 _P = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
@@ -190,6 +192,20 @@ def _merged(label: DataFrame | None, step: DataFrame) -> DataFrame:
     return staged(moved.unionByName(step.join(label.select("node"), "node", "left_anti")), "labels")
 
 
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left joined with right on key, where right has a column n, the rows that left has of the key.
+
+    The rows of a frequent key stay where they are and their partners come to
+    them, so that no task gets all of them.
+    """
+    hot = right.where(F.col("n") > HOT)
+    rows = hot.count()
+    if not 0 < rows <= HOT_ROWS:
+        return left.join(right, "key")
+    often = F.broadcast(hot)
+    return left.join(often, "key").unionByName(left.join(F.broadcast(hot.select("key").distinct()), "key", "left_anti").join(right.where(F.col("n") <= HOT), "key"))
+
+
 def rare_first(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(key, node, size, at, short): a row for each shingle that may be the rarest one a similar pair shares.
 
@@ -205,15 +221,15 @@ def rare_first(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
 
     some = sets.join(nodes.hint("shuffle_hash"), "node", "left_semi").mapInPandas(run, "node long, size int, keys array<int>")
     each = staged(some.select("node", "size", F.explode("keys").alias("key")), "rare-shingles")
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "rare-counts")
     # Shingles of one node alone come first and meet nothing; the others follow them.
-    mine = each.join(often, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    mine = beside(each, often).groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
     room = lambda t: (F.col("size") - F.ceil(F.col("size") * F.lit(t) - F.lit(1e-9)) + 1).cast("int")
     alone = F.col("size") - F.size("shared")
     rows = mine.select("node", "size", alone.alias("alone"), room(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(room(threshold) - alone, F.lit(0)))).alias("at", "x"))
     rows = staged(rows.select(F.col("x.key").cast("long").alias("key"), "node", "size", (F.col("alone") + F.col("at")).alias("at"), (F.col("alone") + F.col("at") < F.col("short")).alias("short")), "rare-first")
-    useful = rows.groupBy("key").agg(F.max("short").alias("s"), F.count(F.lit(1)).alias("n")).where("s and n > 1").select("key")
-    return rows.join(useful, "key")
+    useful = staged(rows.groupBy("key").agg(F.max("short").alias("s"), F.count(F.lit(1)).alias("n")).where("s and n > 1").select("key", "n"), "rare-keys")
+    return beside(rows, useful)
 
 
 def _relabelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -224,25 +240,30 @@ def _relabelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
 
 def _open(members: DataFrame) -> DataFrame:
     """Members of buckets of several classes that still have a leader to offer."""
-    open_ = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("short").alias("s")).where("x < y and s").select("key")
-    return staged(members.join(open_, "key").select("key", "node", "label", "size", "at", "short"), "members")
+    open_ = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("short").alias("s"), F.count(F.lit(1)).alias("n"))
+    open_ = staged(open_.where("x < y and s").select("key", "n"), "open")
+    out = staged(beside(members.drop("n"), open_).select("key", "node", "label", "size", "at", "short", "n"), "members")
+    discard(open_)
+    return out
 
 
 def _round(members: DataFrame, label: DataFrame | None, sets: DataFrame, threshold: float, leaders_each: int) -> tuple[DataFrame, DataFrame | None]:
     """Compare members with their buckets' leaders, the smaller sets of pairs; what is still open, and the labels."""
     part = F.pmod(F.xxhash64("node"), F.lit(leaders_each))
     one = F.struct(F.col("node").alias("id"), "label", "size", "at")
-    lead = members.where("short").groupBy("key", part.alias("part")).agg(F.min(one).alias("lead")).select("key", "lead")
+    lead = staged(members.where("short").groupBy("key", part.alias("part")).agg(F.min(one).alias("lead"), F.max("n").alias("n")).select("key", "lead", "n"), "leaders")
     # If this shingle is the first that a pair shares, the pair shares no more than what follows it.
     enough = F.expr("1 + least(size - at - 1, lead.size - lead.at - 1)") >= (F.expr("size + lead.size") * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     near = F.expr("label <> lead.label and size >= lead.size") & enough
-    pairs = members.join(lead, "key").where(near).withColumn("member", one)
+    pairs = beside(members.drop("n"), lead).where(near).withColumn("member", one)
     new = staged(_linked(pairs.select(F.least("lead", "member").alias("p"), F.greatest("lead", "member").alias("q")).distinct(), sets, threshold), "links")
     if not new.isEmpty():
         label = _merged(label, components(new))
     used = lead.select("key", F.col("lead.id").alias("node"), F.lit(True).alias("used"))
     rest = members.join(used, ["key", "node"], "left").withColumn("short", F.col("short") & F.col("used").isNull()).drop("used")
-    return _open(_relabelled(rest, label)), label
+    out = _open(_relabelled(rest, label))
+    discard(lead, new, members)
+    return out, label
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -255,8 +276,8 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
     sigs = staged(signatures(docs, words, bands, rows), "signatures")
     reps = staged(sigs.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "representatives")
     keys = reps.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = staged(keys.join(buckets.select("key"), "key").select("key", "node", F.col("node").alias("label"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(True).alias("short")), "members")
+    buckets = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = staged(beside(keys, buckets).select("key", "node", F.col("node").alias("label"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(True).alias("short"), "n"), "members")
     sets = staged(shingle_sets(docs, members.select("node").distinct(), words), "shingles")
     members, label = _round(members, None, sets, threshold, 1)
     if not members.isEmpty():
@@ -270,7 +291,9 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, b
         label = reps.select("node", F.col("node").alias("label")).limit(0)
     found = reps.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     named = sigs.select("doc_id", "digest").join(found, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return staged(named, "classes")
+    out = staged(named, "classes")
+    discard(sigs, reps, buckets, sets, members, label)
+    return out
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,11 +305,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without near copies: of each class the row with the class's id stays (one of them, if several have that id).
+    """docs without near copies: of each class the rows with the class's id stay, one of those alike in id and text.
 
-    Rows without doc_id or text stay.
+    Rows without doc_id or text stay. An empty table gives no rows.
     """
-    key = fresh(docs, "key")[0]
+    key, digest = fresh(docs, "key", "digest")
     first = classes(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias(key))
-    whole = docs.where("doc_id is not null and text is not null").join(first, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    whole = docs.where("doc_id is not null and text is not null").join(first, F.col("doc_id") == F.col(key), "left_semi")
+    whole = whole.withColumn(digest, F.md5("text")).dropDuplicates(["doc_id", digest]).drop(digest)
     return whole.unionByName(docs.where("doc_id is null or text is null"))

@@ -325,6 +325,21 @@ def test_near_duplicates_on_hard_rows(hard, none):
     assert neardup.classes(none).count() == 0
 
 
+def test_frequent_keys_are_not_dealt_by_key(spark, monkeypatch):
+    """With every bucket above the bound the classes are the same; unlike texts under one id both stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, neardup.classes(docs).collect()))
+    monkeypatch.setattr(neardup, "HOT", 2)
+    assert sorted(map(tuple, neardup.classes(docs).collect())) == want
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1)], "key long, x int")
+    right = spark.createDataFrame([(1, 50, "a"), (1, 50, "b"), (2, 1, "c")], "key long, n long, y string")
+    assert neardup.beside(left, right).count() == 101
+    plan = neardup.beside(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    two = spark.createDataFrame([(1, "one text here of some words indeed", "x"), (1, "quite another text with other words", "x"), (1, "quite another text with other words", "x")], "doc_id long, text string, key string")
+    assert neardup.keep_one(two).count() == 2 and neardup.keep_one(two).columns == two.columns
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 40).astype(np.uint64)
