@@ -550,6 +550,31 @@ def test_graph_recall_and_links(spark):
     assert got[953]["component_id"] == 5 and got[954]["n_links"] == 0 and 950 not in got and 951 not in got and 952 not in got
 
 
+def test_regions_leave_no_link_out(spark):
+    """Clusters: counts and components equal brute force, and far regions are not asked."""
+    rng = np.random.default_rng(11)
+    x = vectors.unit(np.repeat(rng.normal(size=(30, 16)), 20, 0) + 0.12 * rng.normal(size=(600, 16)))
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, node int")
+    got = {r["vec_id"]: r for r in vectors.components_of(df, 12).collect()}
+    near = x @ x.T >= 0.9
+    up = np.arange(600)
+    for _ in range(20):
+        up = np.array([up[near[i]].min() for i in range(600)])
+    assert [got[i]["n_links"] for i in range(600)] == (near.sum(1) - 1).tolist() and [got[i]["component_id"] for i in range(600)] == up.tolist()
+    placed, middles = vectors.regions(df.select(F.lit(16).alias("dim"), F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("vector")), 12)
+    shape = {(16, r["region"]): (r["a"], 1) for r in placed.groupBy("region").agg(F.max("angle").alias("a")).collect()}
+    asked = vectors.routes(placed, middles, shape).agg(F.sum(F.size("shards"))).first()[0]
+    assert asked < 0.9 * 600 * len(shape)
+
+
+def test_vectors_of_wide_numbers_and_empty_tables(spark):
+    rows = [(1, [1e200, 1e199]), (2, [1.0, 0.1]), (3, [1e-200, 1e-201]), (4, [0.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.components_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+    assert vectors.components_of(spark.createDataFrame([], "vec_id long, embedding array<float>, k1 int")).count() == 0
+
+
 def test_audit_leaves_out_matches_with_oneself():
     """256 members that find themselves do not hide that 2 of 5 links are missed."""
 
