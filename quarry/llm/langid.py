@@ -109,7 +109,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 for s in {script(c) for c in w}:
                     seen[s] += n
             keys = list(counts) + [f"script {s}" for s in seen]
-            yield pd.DataFrame({"lang": lang, "gram": keys, "n": [*counts.values(), *seen.values()]})
+            if keys:
+                yield pd.DataFrame({"lang": lang, "gram": keys, "n": [*counts.values(), *seen.values()]})
 
     rows = picked.mapInPandas(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(have)

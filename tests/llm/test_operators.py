@@ -822,6 +822,67 @@ def test_media_on_hard_rows(spark, hard, none):
     assert webp.media_of(none).count() == 0
 
 
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_on_hard_rows(spark, hard, none, number):
+    """Nulls, empty and long texts, repeats, clashing columns and no rows: defined results, and the columns of documents from all but the last."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[number]
+    clash = hard.withColumns({c: F.lit("y") for c in ("score", "lang_pred", "n_runs", "digest", "n", "i", "place", "class", "copies_", "found")})
+    out = stage(spark, clash, SF)
+    rows = out.collect()
+    if number < 4:
+        assert out.columns == clash.columns
+        assert stage(spark, none, SF).columns == none.columns
+    assert stage(spark, none, SF).count() == 0
+    ids = Counter(r["doc_id"] for r in rows)
+    if name == "language_id":
+        assert not {1, 2, 3, 7} & set(ids)
+    if name == "near_dedup":
+        assert ids == Counter({1: 1, 2: 1, 4: 1, 5: 1, 6: 1, 7: 1, None: 1})
+    if name == "secret_scan":
+        assert len(rows) == 10 and "hunter2hunter" not in "".join(r["text"] or "" for r in rows) and [r["text"] for r in rows if r["doc_id"] == 1] == [None]
+    if name == "mixing":
+        assert all(n <= 4 for n in ids.values())
+    if name == "packing":
+        assert ids[1] == 1 and ids[4] == 2 and ids[None] == 1 and ids[5] > 20
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Every query in a session whose workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).getOrCreate()
+seen = spark.range(1).selectExpr("1 as x").mapInPandas(lambda b: b, "x int").count()
+from pyspark.sql import functions as F
+@F.udf("string")
+def can(x):
+    try:
+        import quarry
+        return "yes"
+    except ImportError:
+        return "no"
+assert spark.range(1).select(can("id")).first()[0] == "no"
+for name, q in __spark_entry__.queries().items():
+    if name == "pipeline" or name[:2] == "op" and name[2].isdigit():
+        print(name, q(spark, {SF!r}).count(), flush=True)
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert len([x for x in done.stdout.splitlines() if x.startswith(("op", "pipeline"))]) == 11
+
+
 def test_pipeline_equals_a_plain_version(spark):
     """The stages' own decisions one after another, on collected rows."""
     import corpus_pipeline
