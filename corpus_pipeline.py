@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hide secrets in the texts; n_chars follows the new text."""
-    hidden = docs.withColumn("text", secrets.redacted(F.col("text")))
+    hidden = common.short_batches(docs).withColumn("text", secrets.redacted(F.col("text")))
     return hidden.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
