@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import paths
-from .operators import hdl, retrieval
+from .operators import corpus, facts, retrieval
 from .plans import design, telemetry
 from .plans.relations import RELATIONS
 from .plans.sqlkit import expand, spark_query
@@ -17,13 +17,22 @@ from .streaming import telemetry as streams
 SQL = {name: expand(sql, RELATIONS) for part in (telemetry.S, design.S) for name, sql in part.items()}
 
 
+_PARTS = (facts, retrieval, paths, ndjson, streams)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["a13_overall_health"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: spark_query(sql) for name, sql in SQL.items()} | hdl.QUERIES | retrieval.QUERIES | paths.QUERIES | ndjson.QUERIES | streams.QUERIES
+    out = {name: spark_query(sql) for name, sql in SQL.items()}
+    for part in _PARTS:
+        out |= part.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | hdl.ORACLE | retrieval.ORACLE | paths.ORACLE | ndjson.ORACLE | streams.ORACLE
+    out = dict(SQL)
+    for part in _PARTS:
+        out |= {name: expand(sql, corpus.FACTS) for name, sql in part.ORACLE.items()}
+    return out
