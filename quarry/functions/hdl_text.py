@@ -35,7 +35,7 @@ KINDS = {
     "binding": "interface type; modport",
     "generate": "explicit, for, if or case; condition",
     "block": "module; clocks; cyclomatic, deepest nesting, cognitive, lines",
-    "block_more": "module; -; boolean operators, cases, cases without default, 0",
+    "block_more": "module; -; boolean operators, cases, cases without default, blocking assignments",
     "scope": "-; -; comment lines, blank lines, code lines, directives",
 }
 #: Words that begin statements and so are no type of an instance.
@@ -58,7 +58,7 @@ _BLOCK = re.compile(r"\b(always_ff|always_comb|always_latch|always|initial)\b")
 _EDGE = re.compile(r"\b(?:posedge|negedge)\s+([A-Za-z_]\w*)")
 _DECISION = re.compile(r"\b(?:if|for|while|repeat|forever|case[xz]?|wait)\b|\?")
 _BOOL = re.compile(r"&&|\|\||!(?!=)")
-_WORD = re.compile(r"\b(?:begin|end|case[xz]?|endcase|fork|join\w*)\b")
+_BLOCKING = re.compile(r"[^<>=!\s]\s*=(?!=)")
 
 
 def masked(text: str) -> tuple[str, str]:
@@ -294,7 +294,7 @@ def facts(text: str | None) -> Iterator[tuple]:
         body = bare[m.start() : block_end(bare, start)]
         x = block_metrics(body)
         add("block", m[1], scope, m.start(), scope, ",".join(sorted(set(_EDGE.findall(body)))), x["cc"], x["nesting"], x["cognitive"], x["loc"])
-        add("block_more", m[1], scope, m.start(), scope, None, x["bool"], x["cases"], x["no_default"], 0)
+        add("block_more", m[1], scope, m.start(), scope, None, x["bool"], x["cases"], x["no_default"], len(_BLOCKING.findall(re.sub(r"\([^()]*\)", "", body))))
     yield from sorted(out, key=lambda r: (r[3], r[0], r[1] or ""))
 
 

@@ -38,11 +38,11 @@ def design(part: DataFrame) -> DataFrame:
         F.lit("  */"),
         _text("  m", 2 * k, when(k % 7 == 0, " #(.W(\"z\"))", " #(.W(16))"), " u_left (.clk(clk), .a(a));"),
         _text("  m", when(k % 24 == 8, F.floor(k / 2), 2 * k + 1), " u_right (clk);"),
-        F.lit("  always @(posedge clk) begin"),
+        when(k % 11 == 0, "  always @(posedge clk or negedge rst_n) begin", "  always @(posedge clk) begin"),
         when(k % 4 == 0, "\tif (rst_n) q <= a; // TODO tidy", "    if (rst_n && a) q <= a;"),
         F.lit("    else begin"),
         F.lit("      case (a)"),
-        F.lit("        8'd1: q <= 1;"),
+        when(k % 9 == 0, "        8'd1: q = 1;", "        8'd1: q <= 1;"),
         when(k % 3 == 1, "        8'd2: q <= 2;", "        default: q <= 0;"),
         F.lit("      endcase"),
         F.lit("    end"),

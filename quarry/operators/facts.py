@@ -83,7 +83,7 @@ def blocks(f: DataFrame) -> DataFrame:
     """Procedural blocks with their metrics; two rows of facts make one."""
     key = ["file_id", "scope", "name", "line"]
     one = f.where("kind = 'block'").select(*key, F.col("value").alias("clocks"), F.col("n1").alias("cc"), F.col("n2").alias("nesting"), F.col("n3").alias("cognitive"), F.col("n4").alias("loc"))
-    two = f.where("kind = 'block_more'").select(*key, F.col("n1").alias("bool_ops"), F.col("n2").alias("cases"), F.col("n3").alias("no_default"))
+    two = f.where("kind = 'block_more'").select(*key, F.col("n1").alias("bool_ops"), F.col("n2").alias("cases"), F.col("n3").alias("no_default"), F.col("n4").alias("blocking"))
     # A line may hold several blocks: they are told apart by their order, which both kinds of rows share.
     return one.join(two, key).withColumnsRenamed({"scope": "module", "name": "block"})
 
@@ -129,7 +129,7 @@ QUERIES = {
     "x09_symbols": lambda s, d: symbols(of(s, d)),
     "x10_module_info": lambda s, d: module_info(of(s, d)).select("file_id", "module", "lines", "ports", "params", "blocks"),
     "x11_module_complexity": lambda s, d: module_info(of(s, d)).select("module", "cc", "nesting"),
-    "x12_blocks": lambda s, d: blocks(of(s, d)),
+    "x12_blocks": lambda s, d: blocks(of(s, d)).drop("blocking"),
     "x15_macros": lambda s, d: macros(of(s, d)),
     "w01_lines": lambda s, d: lines(corpus.files(s, d)).groupBy("file_id").agg(F.max("line_no").alias("n_lines")),
     "w02_comment_state": lambda s, d: line_counts(of(s, d)),
@@ -162,7 +162,7 @@ ORACLE = {
         UNION ALL SELECT p_partkey, 'signal', 'tb_m' || (p_partkey // 8 * 8) || '.clk' FROM {_T}""",
     "x10_module_info": "SELECT file_id, name AS module, last - line + 1 AS lines, ports, params, 1 AS blocks FROM f_def WHERE kind = 'module'",
     "x11_module_complexity": "SELECT name AS module, CASE WHEN name LIKE 'tb%' THEN 1 ELSE 3 END AS cc, CASE WHEN name LIKE 'tb%' THEN 1 ELSE 2 END AS nesting FROM f_def WHERE kind = 'module'",
-    "x12_blocks": f"SELECT p_partkey AS file_id, {_M} AS module, 'always' AS block, 16 AS line, 'clk' AS clocks, 3 AS cc, 2 AS nesting, 5 AS cognitive, 9 AS loc, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS bool_ops, 1 AS cases, CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END AS no_default FROM {_R} UNION ALL SELECT p_partkey, 'tb_m' || (p_partkey // 8 * 8), 'initial', 5, '', 1, 1, 0, 3, 0, 0, 0 FROM {_T}",
+    "x12_blocks": f"SELECT p_partkey AS file_id, {_M} AS module, 'always' AS block, 16 AS line, CASE WHEN p_partkey % 11 = 0 THEN 'clk,rst_n' ELSE 'clk' END AS clocks, 3 AS cc, 2 AS nesting, 5 AS cognitive, 9 AS loc, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS bool_ops, 1 AS cases, CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END AS no_default FROM {_R} UNION ALL SELECT p_partkey, 'tb_m' || (p_partkey // 8 * 8), 'initial', 5, '', 1, 1, 0, 3, 0, 0, 0 FROM {_T}",
     "x15_macros": "SELECT p_partkey AS file_id, 'WIDTH' || p_partkey AS macro, '8' AS body, 8 AS value FROM part WHERE p_partkey % 8 = 4 UNION ALL SELECT p_partkey, 'LONG' || p_partkey, '(1 + 2)', 3 FROM part WHERE p_partkey % 8 = 4 UNION ALL SELECT p_partkey, 'GUARD', '', NULL FROM part WHERE p_partkey % 16 = 4",
     "w01_lines": "SELECT p_partkey AS file_id, CASE WHEN p_partkey % 8 < 4 THEN 35 WHEN p_partkey % 8 = 4 THEN 7 WHEN p_partkey % 8 = 5 THEN CASE WHEN p_partkey % 3 = 0 THEN 11 ELSE 10 END WHEN p_partkey % 8 = 6 THEN 6 ELSE 10 END AS n_lines FROM part",
     "w02_comment_state": """SELECT p_partkey AS file_id, CASE WHEN p_partkey % 8 < 4 THEN 5 ELSE 0 END AS comment,
