@@ -159,18 +159,18 @@ ORACLE = {
         UNION ALL SELECT p_partkey, u.kind, 'p' || p_partkey || '.' || u.n FROM part, (VALUES ('parameter', 'DEPTH'), ('parameter', 'MASK'), ('typedef', 'state_t'), ('typedef', 'pair_t'), ('typedef', 'byte_t'), ('enum', 'state_t'), ('struct', 'pair_t'), ('function', 'twice')) u(kind, n) WHERE p_partkey % 8 = 5
         UNION ALL SELECT p_partkey, 'task', 'p' || p_partkey || '.idle' FROM {_P} AND p_partkey % 3 = 0
         UNION ALL SELECT p_partkey, u.kind, 'i' || p_partkey || '.' || u.n FROM part, (VALUES ('port', 'clk'), ('parameter', 'N'), ('signal', 'data'), ('signal', 'valid')) u(kind, n) WHERE p_partkey % 8 = 6
-        UNION ALL SELECT p_partkey, 'signal', 'tb_m' || (p_partkey // 8 * 8) || '.clk' FROM {_T}""",
-    "x10_module_info": "SELECT file_id, name AS module, last - line + 1 AS lines, ports, params, 1 AS blocks FROM f_def WHERE kind = 'module'",
-    "x11_module_complexity": "SELECT name AS module, CASE WHEN name LIKE 'tb%' THEN 1 ELSE 3 END AS cc, CASE WHEN name LIKE 'tb%' THEN 1 ELSE 2 END AS nesting FROM f_def WHERE kind = 'module'",
+        UNION ALL SELECT p_partkey, 'signal', 'tb_m' || (p_partkey // 8 * 8) || '.clk' FROM {_T} UNION ALL SELECT p_partkey, 'signal', 'tb_m' || (p_partkey // 8 * 8) || '.bus' FROM {_T} AND p_partkey % 5 = 2""",
+    "x10_module_info": "SELECT file_id, name AS module, last - line + 1 AS lines, ports, params, CASE WHEN name LIKE 'lone%' THEN 0 ELSE 1 END AS blocks FROM f_def WHERE kind = 'module'",
+    "x11_module_complexity": "SELECT name AS module, CASE WHEN name LIKE 'm%' THEN 3 ELSE 1 END AS cc, CASE WHEN name LIKE 'tb%' THEN 1 WHEN name LIKE 'lone%' THEN 0 ELSE 2 END AS nesting FROM f_def WHERE kind = 'module'",
     "x12_blocks": f"SELECT p_partkey AS file_id, {_M} AS module, 'always' AS block, 16 AS line, CASE WHEN p_partkey % 11 = 0 THEN 'clk,rst_n' ELSE 'clk' END AS clocks, 3 AS cc, 2 AS nesting, 5 AS cognitive, 9 AS loc, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS bool_ops, 1 AS cases, CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END AS no_default FROM {_R} UNION ALL SELECT p_partkey, 'tb_m' || (p_partkey // 8 * 8), 'initial', 5, '', 1, 1, 0, 3, 0, 0, 0 FROM {_T}",
     "x15_macros": "SELECT p_partkey AS file_id, 'WIDTH' || p_partkey AS macro, '8' AS body, 8 AS value FROM part WHERE p_partkey % 8 = 4 UNION ALL SELECT p_partkey, 'LONG' || p_partkey, '(1 + 2)', 3 FROM part WHERE p_partkey % 8 = 4 UNION ALL SELECT p_partkey, 'GUARD', '', NULL FROM part WHERE p_partkey % 16 = 4",
-    "w01_lines": "SELECT p_partkey AS file_id, CASE WHEN p_partkey % 8 < 4 THEN 35 WHEN p_partkey % 8 = 4 THEN 7 WHEN p_partkey % 8 = 5 THEN CASE WHEN p_partkey % 3 = 0 THEN 11 ELSE 10 END WHEN p_partkey % 8 = 6 THEN 6 ELSE 10 END AS n_lines FROM part",
+    "w01_lines": "SELECT p_partkey AS file_id, CASE WHEN p_partkey % 8 < 4 THEN 35 WHEN p_partkey % 8 = 4 THEN 7 WHEN p_partkey % 8 = 5 THEN CASE WHEN p_partkey % 3 = 0 OR p_partkey % 24 = 5 THEN 11 ELSE 10 END WHEN p_partkey % 8 = 6 THEN 6 ELSE 10 END AS n_lines FROM part",
     "w02_comment_state": """SELECT p_partkey AS file_id, CASE WHEN p_partkey % 8 < 4 THEN 5 ELSE 0 END AS comment,
         CASE WHEN p_partkey % 8 < 4 THEN CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 1 END WHEN p_partkey % 8 = 4 THEN CASE WHEN p_partkey % 16 = 4 THEN 0 ELSE 3 END WHEN p_partkey % 8 = 5 THEN CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END WHEN p_partkey % 8 = 6 THEN 0 ELSE (p_partkey % 16 <> 7)::INT + (p_partkey % 24 <> 7)::INT END AS blank,
-        CASE WHEN p_partkey % 8 < 4 THEN 30 - CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 1 END WHEN p_partkey % 8 = 4 THEN CASE WHEN p_partkey % 16 = 4 THEN 7 ELSE 4 END WHEN p_partkey % 8 = 5 THEN CASE WHEN p_partkey % 3 = 0 THEN 11 ELSE 9 END WHEN p_partkey % 8 = 6 THEN 6 ELSE 10 - (p_partkey % 16 <> 7)::INT - (p_partkey % 24 <> 7)::INT END AS code,
+        CASE WHEN p_partkey % 8 < 4 THEN 30 - CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 1 END WHEN p_partkey % 8 = 4 THEN CASE WHEN p_partkey % 16 = 4 THEN 7 ELSE 4 END WHEN p_partkey % 8 = 5 THEN CASE WHEN p_partkey % 3 = 0 THEN 11 WHEN p_partkey % 24 = 5 THEN 10 ELSE 9 END WHEN p_partkey % 8 = 6 THEN 6 ELSE 10 - (p_partkey % 16 <> 7)::INT - (p_partkey % 24 <> 7)::INT END AS code,
         CASE WHEN p_partkey % 8 < 4 THEN 1 WHEN p_partkey % 8 = 4 THEN CASE WHEN p_partkey % 16 = 4 THEN 6 ELSE 3 END ELSE 0 END AS directives FROM part""",
     "w03_depth": f"SELECT p_partkey AS file_id, 2 AS deepest, 5 AS cognitive FROM {_R} UNION ALL SELECT p_partkey, 1, 0 FROM {_T}",
     "w04_block_ranges": f"SELECT p_partkey AS file_id, 'always' AS block, 16 AS line, 9 AS loc FROM {_R} UNION ALL SELECT p_partkey, 'initial', 5, 3 FROM {_T}",
-    "g11_blocks_by_module": "SELECT name AS module, CASE WHEN name LIKE 'tb%' THEN 'initial' ELSE 'always' END AS blocks FROM f_def WHERE kind = 'module'",
+    "g11_blocks_by_module": "SELECT name AS module, CASE WHEN name LIKE 'tb%' THEN 'initial' ELSE 'always' END AS blocks FROM f_def WHERE kind = 'module' AND name NOT LIKE 'lone%'",
     "g10_modport_usage": "SELECT u.port, string_agg('i' || p_partkey || '.' || u.m, ',' ORDER BY 'i' || p_partkey || '.' || u.m) AS used_by FROM part, (VALUES ('clk', 'src'), ('data', 'src'), ('valid', 'src'), ('data', 'dst'), ('valid', 'dst')) u(port, m) WHERE p_partkey % 8 = 6 GROUP BY u.port",
 }

@@ -12,6 +12,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import hdl_text, scalars
 from . import corpus, facts
@@ -88,10 +89,14 @@ MARKS = (
 SYSTEM_PACKAGES = ("uvm_pkg", "std", "ovm_pkg", "vmm_pkg")
 
 
-@F.pandas_udf("string")
-def uncommented(sources: pd.Series) -> pd.Series:
-    """Without comments; newlines stay, so that line numbers hold."""
-    return sources.map(lambda t: t if t is None else hdl_text.masked(t)[0])
+def uncommented(source: str) -> Column:
+    """The column without comments; newlines stay, so that line numbers hold."""
+
+    @F.pandas_udf(StringType())
+    def run(sources: pd.Series) -> pd.Series:
+        return sources.map(lambda t: t if t is None else hdl_text.masked(t)[0])
+
+    return run(F.col(source))
 
 
 def suffix(path: Column) -> Column:
@@ -354,7 +359,7 @@ _QUALITY = f"""SELECT p_partkey AS file_id, 'HDL001' AS rule, 'high' AS severity
 _STYLE = f"SELECT p_partkey AS file_id, 33 AS line_no, 'STYLE-LINELENGTH' AS rule FROM {_R} AND p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 17, 'STYLE-TABS' FROM {_R} AND p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 17, 'STYLE-TODO' FROM {_R} AND p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 26, 'STYLE-TRAILWS' FROM {_R} AND p_partkey % 6 = 0"
 _SAFETY = f"SELECT p_partkey AS file_id, 'HDL-DRC-003' AS rule, 'high' AS severity, 16 AS line FROM {_R} UNION ALL SELECT p_partkey, 'HDL-DRC-004', 'critical', 16 FROM {_R} AND p_partkey % 11 = 0 UNION ALL SELECT p_partkey, 'HDL-DRC-006', 'medium', 10 FROM {_R} UNION ALL SELECT p_partkey, 'HDL-DRC-006', 'medium', 2 FROM {_T} UNION ALL SELECT p_partkey, 'HDL-DRC-008', 'high', 16 FROM {_R}"
 _LINT = f"""SELECT p_partkey AS file_id, 5 AS line_no, 'HDL-005' AS rule, 'medium' AS severity FROM {_T} UNION ALL SELECT p_partkey, 1, 'HDL-006', 'low' FROM {_T} UNION ALL SELECT p_partkey, 6, 'HDL-007', 'medium' FROM {_T} UNION ALL SELECT p_partkey, 9, 'HDL-006', 'low' FROM {_T} AND p_partkey % 24 = 7
-    UNION ALL SELECT p_partkey, 1, 'HDL-006', 'low' FROM {_P} UNION ALL SELECT p_partkey, 9, 'HDL-006', 'low' FROM {_P} AND p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 7, 'HDL-014', 'low' FROM {_P}
+    UNION ALL SELECT p_partkey, 1, 'HDL-006', 'low' FROM {_P} UNION ALL SELECT p_partkey, 9, 'HDL-006', 'low' FROM {_P} AND p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 11, 'HDL-006', 'low' FROM {_P} AND p_partkey % 24 = 5 UNION ALL SELECT p_partkey, 7, 'HDL-014', 'low' FROM {_P}
     UNION ALL SELECT p_partkey, u.l, 'HDL-014', 'low' FROM part, (VALUES (1), (4), (5)) u(l) WHERE p_partkey % 8 = 6 UNION ALL SELECT p_partkey, 4, 'HDL-019', 'high' FROM {_I}
     UNION ALL SELECT p_partkey, 19, 'HDL-008', 'medium' FROM {_R} UNION ALL SELECT p_partkey, 17, 'HDL-009', 'low' FROM {_R} UNION ALL SELECT p_partkey, 32, 'HDL-014', 'low' FROM {_R}
     UNION ALL SELECT p_partkey, 16, 'HDL-011', 'medium' FROM {_R} AND p_partkey % 11 = 0 UNION ALL SELECT p_partkey, 26, 'HDL-015', 'medium' FROM {_R} AND p_partkey % 6 = 0"""
@@ -376,9 +381,9 @@ ORACLE = {
     "r06_case_defaults": f"SELECT p_partkey AS file_id, 16 AS line FROM {_R} AND p_partkey % 3 = 1",
     "r07_drivers": f"SELECT p_partkey AS file_id, 'w1' AS target, 2 AS drivers FROM {_R} AND p_partkey % 6 = 0",
     "r08_formatting": "SELECT p_partkey AS file_id, CASE WHEN r AND p_partkey % 10 = 0 THEN 1 ELSE 0 END AS long_lines, CASE WHEN r AND p_partkey % 4 = 0 THEN 1 ELSE 0 END AS tabs, CASE WHEN r AND p_partkey % 6 = 0 THEN 1 ELSE 0 END AS trailing, CASE WHEN r AND p_partkey % 4 = 0 THEN 1 ELSE 0 END AS todos, p_partkey % 16 = 4 AS guard, r AND p_partkey % 3 = 1 AS case_without_default FROM (SELECT *, p_partkey % 8 < 4 AS r FROM part)",
-    "r09_documentation": f"SELECT p_partkey AS file_id, true AS header, false AS ports_documented, 4 AS ports, 2 AS params, 0 AS params_documented FROM {_R} UNION ALL SELECT p_partkey, false, false, 0, 0, 0 FROM {_T}",
+    "r09_documentation": f"SELECT p_partkey AS file_id, true AS header, false AS ports_documented, 4 AS ports, 2 AS params, 0 AS params_documented FROM {_R} UNION ALL SELECT p_partkey, false, false, 0, 0, 0 FROM {_T} UNION ALL SELECT p_partkey, false, false, 0, 1, 0 FROM {_P} AND p_partkey % 24 = 5",
     "r10_verification": f"SELECT p_partkey AS file_id, CASE WHEN p_partkey % 16 = 7 THEN 'sva' ELSE '' END AS frameworks, CASE WHEN p_partkey % 16 = 7 THEN 1 ELSE 0 END AS assertions, CASE WHEN p_partkey % 24 = 7 THEN 1 ELSE 0 END AS coverage FROM {_T}",
-    "r13_complexity_flags": "SELECT name AS module, 'low' AS severity FROM f_def WHERE kind = 'module' AND name NOT LIKE 'tb%'",
+    "r13_complexity_flags": "SELECT name AS module, 'low' AS severity FROM f_def WHERE kind = 'module' AND name LIKE 'm%'",
     "r15_type_mismatch": f"""SELECT p_partkey AS file_id, 'm' || p_partkey AS parent, 'm' || (2 * p_partkey) AS child, 'W' AS param, '"z"' AS value, '8' AS "default" FROM {_R} AND p_partkey % 7 = 0 AND 2 * p_partkey % 8 < 4 AND 2 * p_partkey <= (SELECT max(p_partkey) FROM part)""",
     "x13_clocks": f"SELECT 'clk' AS clock, count(*) AS blocks FROM {_R} UNION ALL SELECT 'rst_n', count(*) FROM {_R} AND p_partkey % 11 = 0",
     "x14_drivers": f"SELECT 'w1' AS target, count(*) AS files FROM {_R} AND p_partkey % 6 = 0",
@@ -386,9 +391,11 @@ ORACLE = {
     "a05_complexity": f"WITH b AS (SELECT 3 AS cc FROM {_R} UNION ALL SELECT 1 FROM {_T}), o AS (SELECT cc, row_number() OVER (ORDER BY cc) - 1 AS r, count(*) OVER () AS n FROM b) SELECT count(*) AS blocks, avg(cc) AS avg_cc, median(cc) AS median_cc, max(cc) AS max_cc, 5 AS max_cognitive, 2 AS max_nesting, 0 AS long, 0 AS bool_heavy, max(cc) FILTER (WHERE r = floor(0.9 * (n - 1))) AS p90_cc, 100.0 AS score FROM o",
     "a07_safety_score": f"WITH v AS (SELECT file_id, CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END AS p FROM ({_SAFETY})), e AS (SELECT file_id, sum(p) AS points, max(p) AS worst FROM v GROUP BY file_id) SELECT (SELECT count(*) FROM part) AS files, count(*) FILTER (WHERE worst >= 6) AS risky, count(*) FILTER (WHERE worst >= 10) AS critical, sum(points)::DOUBLE AS points, least(50.0, greatest(0, 100 - 10 * sqrt(sum(points) / (SELECT count(*) FROM part)))) AS score FROM e",
     "a08_maintainability_score": "SELECT count(*) AS files, round(avg(CASE WHEN p_partkey % 8 < 4 THEN CASE WHEN p_partkey % 4 = 0 THEN 4 ELSE 5 END ELSE 1 END), 6) AS avg_cc, true AS low, true AS high FROM part",
-    "a09_documentation_score": f"WITH s AS (SELECT (SELECT count(*) FROM {_R}) AS r, (SELECT count(*) FROM {_T}) AS t, (SELECT count(*) FROM {_R}) AS headers) SELECT r + t AS modules, headers, 4 * r AS ports, 2 * r AS params, 0.4 * CASE WHEN headers / (7 * r + t) >= 0.2 THEN 45 ELSE 25 END + 0.25 * CASE WHEN headers / (r + t) >= 0.8 THEN 100 WHEN headers / (r + t) >= 0.6 THEN 85 WHEN headers / (r + t) >= 0.4 THEN 65 WHEN headers / (r + t) >= 0.2 THEN 45 ELSE 25 END + 0.2 * 25 + 0.15 * 25 AS score FROM s",
+    "a09_documentation_score": f"WITH s AS (SELECT (SELECT count(*) FROM {_R}) AS r, (SELECT count(*) FROM {_T}) AS t, (SELECT count(*) FROM {_R}) AS headers, (SELECT count(*) FROM {_P} AND p_partkey % 24 = 5) AS l) SELECT r + t + l AS modules, headers, 4 * r AS ports, 2 * r + l AS params, 0.4 * CASE WHEN headers / (7 * r + t + 2 * l) >= 0.2 THEN 45 ELSE 25 END + 0.25 * CASE WHEN headers / (r + t + l) >= 0.8 THEN 100 WHEN headers / (r + t + l) >= 0.6 THEN 85 WHEN headers / (r + t + l) >= 0.4 THEN 65 WHEN headers / (r + t + l) >= 0.2 THEN 45 ELSE 25 END + 0.2 * 25 + 0.15 * 25 AS score FROM s",
     "a10_verification_score": f"WITH s AS (SELECT count(*) AS benches, count(*) FILTER (WHERE p_partkey % 16 = 7) AS assertions, count(*) FILTER (WHERE p_partkey % 24 = 7) AS coverage FROM {_T}) SELECT (SELECT count(*) FROM part) - benches AS rtl, benches, assertions, coverage, 0.3 * 30 + 25 + 0.2 * 50 + 15 + 5 AS score FROM s",
     "a11_synthesis_score": f"WITH s AS (SELECT (SELECT count(*) FROM {_R} AND p_partkey % 11 = 0) AS cdc, (SELECT count(*) FROM {_R}) + (SELECT count(*) FROM {_R} AND p_partkey % 3 = 1) AS uninit, (SELECT count(*) FROM {_R} AND p_partkey % 6 = 0) AS integrity) SELECT *, greatest(0, 100 - 20 * cdc - 15 * uninit - 8 * integrity) AS score FROM s",
     "a18_lint_score": f"WITH s AS (SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM ({_LINT})) SELECT *, greatest(0.0, 100 - 15 * critical - 5 * high - 2 * medium - 0.5 * low) AS score FROM s",
     "a46_distinct_clocks": "SELECT 'clk,rst_n' AS clocks",
 }
+_SCORED = " UNION ALL ".join(f"SELECT '{k}' AS metric, score::DOUBLE AS score, {WEIGHTS[k]}::DOUBLE AS w FROM ({ORACLE[q]})" for k, q in (("quality", "a04_quality_score"), ("lint", "a18_lint_score"), ("synthesis_risk", "a11_synthesis_score"), ("documentation", "a09_documentation_score"), ("verification", "a10_verification_score"), ("complexity", "a05_complexity")))
+ORACLE["a13_health"] = f"WITH s AS ({_SCORED}), m AS (SELECT sum(score * w) / sum(w) AS mean, min(CASE WHEN metric = 'synthesis_risk' AND score < 50 THEN 45 WHEN metric = 'lint' AND score < 40 THEN 40 WHEN metric = 'quality' AND score < 40 THEN 50 ELSE 100 END) AS cap FROM s), r AS (SELECT round(mean, 6) AS mean, round(least(mean, cap), 1) AS score FROM m) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM r"

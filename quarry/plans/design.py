@@ -2,51 +2,14 @@
 
 S = {}
 
-_DEGREES = """degrees AS (SELECT n.id, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) AS fan_in FROM (SELECT id FROM modules) n LEFT JOIN (SELECT parent, count(*) AS n FROM edges GROUP BY parent) o ON n.id = o.parent LEFT JOIN (SELECT child, count(*) AS n FROM edges GROUP BY child) i ON n.id = i.child)"""
-S["g01_degrees"] = f"WITH {_DEGREES} SELECT id, fan_in, fan_out FROM degrees"
-S["g02_roots_leaves"] = f"WITH {_DEGREES} SELECT d.id, CASE WHEN fan_in = 0 AND fan_out = 0 THEN 'orphan' WHEN fan_in = 0 THEN 'root' ELSE 'leaf' END AS kind FROM degrees d JOIN modules m ON d.id = m.id WHERE (fan_in = 0 OR fan_out = 0) AND m.module NOT LIKE 'tb%'"
-S["g12_isolated"] = f"WITH {_DEGREES} SELECT id FROM degrees WHERE fan_in = 0 AND fan_out = 0"
-S["j02_implicit_nodes"] = "SELECT DISTINCT e.child FROM edges e LEFT JOIN modules m ON e.child = m.id WHERE m.id IS NULL"
-S["j04_unresolved_includes"] = "SELECT i.file_key, i.line_no FROM include_rows i LEFT JOIN modules m ON CAST(floor(i.target) AS BIGINT) = m.id WHERE m.id IS NULL AND NOT i.is_package"
-S["j05_unresolved_packages"] = "SELECT i.file_key, CAST(floor(i.target) AS BIGINT) AS package FROM include_rows i LEFT JOIN modules m ON CAST(floor(i.target) AS BIGINT) = m.id WHERE m.id IS NULL AND i.is_package AND CAST(floor(i.target) AS BIGINT) % 5 <> 0"
-S["j06_wildcard_import"] = "SELECT i.file_key, s.symbol FROM include_rows i JOIN (SELECT id, concat('sym', CAST(n.j AS STRING)) AS symbol FROM modules CROSS JOIN (VALUES (1), (2)) AS n(j)) s ON CAST(floor(i.target) AS BIGINT) = s.id WHERE i.is_package"
-S["j10_orphan_modules"] = "SELECT m.id, m.module FROM modules m LEFT JOIN (SELECT DISTINCT child FROM edges) e ON m.id = e.child LEFT JOIN (SELECT DISTINCT parent FROM edges) p ON m.id = p.parent WHERE e.child IS NULL AND p.parent IS NULL AND m.module NOT LIKE 'tb%'"
-S["j12_collisions"] = "SELECT owner, nesting, cc, file, previous FROM (SELECT owner, nesting, cc, file, lag(file) OVER (PARTITION BY owner, nesting, cc ORDER BY id) AS previous FROM modules) t WHERE previous IS NOT NULL AND previous <> file"
-S["g05_depth"] = "WITH RECURSIVE walk AS (SELECT id AS root, id AS node, 0 AS depth FROM modules WHERE id <= 3 UNION ALL SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN (SELECT p_partkey AS parent, 2 * p_partkey AS child FROM part) e ON w.node = e.parent WHERE w.depth < 20) SELECT root, max(depth) AS depth FROM walk GROUP BY root"
-S["g06_reachable"] = "WITH RECURSIVE walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT e.child, w.depth + 1 FROM walk w JOIN (SELECT p_partkey AS parent, 2 * p_partkey AS child FROM part UNION ALL SELECT p_partkey, 2 * p_partkey + 1 FROM part) e ON w.node = e.parent WHERE w.depth < 24) SELECT DISTINCT node FROM walk"
-S["g07_include_closure"] = "WITH RECURSIVE closure AS (SELECT p_partkey AS file, 3 * p_partkey AS included, 1 AS depth FROM part UNION ALL SELECT c.file, 3 * p.p_partkey, c.depth + 1 FROM closure c JOIN part p ON c.included = p.p_partkey WHERE c.depth < 20) SELECT file, included, min(depth) AS depth FROM closure GROUP BY file, included"
-S["g03_two_cycles"] = "SELECT a.x AS a, a.y AS b FROM (SELECT p_partkey AS x, (p_partkey * 7) % 1000 AS y FROM part) a JOIN (SELECT p_partkey AS x, (p_partkey * 7) % 1000 AS y FROM part) b ON a.y = b.x AND b.y = a.x WHERE a.x < a.y"
-S["u02_unreachable"] = "SELECT id FROM modules EXCEPT SELECT child FROM edges"
 S["a01_structure_summary"] = "SELECT split_part(file, '.', 2) AS suffix, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, avg(lines) AS avg_lines FROM modules GROUP BY 1"
 S["a01_source_header_ratio"] = "SELECT round(CAST(count(*) FILTER (WHERE file LIKE '%.v' OR file LIKE '%.sv') AS DOUBLE) / greatest(1, count(*) FILTER (WHERE file LIKE '%.vh' OR file LIKE '%.svh')), 4) AS ratio FROM modules"
 S["a02_top_includes"] = "SELECT CAST(floor(target) AS BIGINT) AS target, count(*) AS n FROM include_rows WHERE NOT is_package GROUP BY 1 ORDER BY n DESC, target LIMIT 10"
 S["a03_module_stats"] = "SELECT owner, count(*) AS n, avg(ports) AS avg_ports, max(ports) AS max_ports, min(ports) AS min_ports FROM modules GROUP BY owner"
-S["a04_quality"] = "SELECT file_key, count(*) AS violations, CAST(sum(CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM findings GROUP BY file_key"
-S["a05_complexity"] = "SELECT round(avg(cc), 4) AS avg_cc, max(cc) AS max_cc, count(*) FILTER (WHERE cc > 10) AS over_10, (SELECT cc FROM (SELECT cc, row_number() OVER (ORDER BY cc, id) - 1 AS r, count(*) OVER () AS n FROM modules) t WHERE r = CAST(floor(0.9 * (n - 1)) AS BIGINT)) AS p90 FROM modules"
 S["a06_complexity_score"] = "SELECT owner, round(greatest(0.0, 100.0 - least(40.0, avg(cc) * 3) - least(30.0, 2.0 * count(*) FILTER (WHERE cc > 10)) - least(30.0, count(*) FILTER (WHERE nesting > 4))), 4) AS score FROM modules GROUP BY owner"
-S["a07_safety"] = "SELECT count(*) AS files, count(*) FILTER (WHERE worst >= 6) AS risky, CAST(sum(points) AS BIGINT) AS points, round(greatest(0.0, 100.0 - 10.0 * sqrt(CAST(sum(points) AS DOUBLE) / count(*))), 4) AS score FROM (SELECT file_key, sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END) AS points, max(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END) AS worst FROM findings GROUP BY file_key) t"
-S["a08_maintainability"] = "SELECT owner, round(avg(mi), 4) AS avg_mi, round(min(mi), 4) AS min_mi, round(max(mi), 4) AS max_mi FROM (SELECT owner, greatest(0.0, 171.0 - 0.23 * cc - 16.2 * ln(greatest(lines, 1))) AS mi FROM modules) t GROUP BY owner"
-S["a09_documentation"] = "SELECT owner, CASE WHEN r >= 0.8 THEN 100 WHEN r >= 0.5 THEN 70 WHEN r >= 0.2 THEN 40 ELSE 10 END AS score FROM (SELECT owner, CAST(count(*) FILTER (WHERE ports % 3 = 0) AS DOUBLE) / count(*) AS r FROM modules GROUP BY owner) t"
-S["a10_verification"] = "SELECT round(CAST(count(*) FILTER (WHERE module LIKE 'tb%') AS DOUBLE) / count(*), 6) AS tb_ratio, count(*) FILTER (WHERE module LIKE 'tb%') AS benches FROM modules"
-S["a11_risk_score"] = "SELECT category, greatest(0, 100 - 20 * count(*) FILTER (WHERE severity = 'critical' AND line_start = 7) - 15 * count(*) FILTER (WHERE severity = 'high' AND line_start = 7) - 8 * count(*) FILTER (WHERE severity = 'low' AND line_start = 7)) AS score FROM findings GROUP BY category"
-S["a12_hierarchy_score"] = f"WITH {_DEGREES} SELECT greatest(0, 100 - least(30, 2 * count(*) FILTER (WHERE fan_out > 20)) - least(20, count(*) FILTER (WHERE fan_in > 10))) AS score FROM degrees"
-S["a13_overall_health"] = "SELECT owner, round(least(CASE WHEN min(s) < 30 THEN 60.0 ELSE 100.0 END, sum(s * w) / sum(w)), 4) AS health FROM (SELECT owner, 100.0 - 5.0 * cc AS s, 3.0 AS w FROM modules UNION ALL SELECT owner, 100.0 - 10.0 * nesting, 2.0 FROM modules) t GROUP BY owner"
-S["a14_hierarchy_metrics"] = f"WITH {_DEGREES} SELECT avg(fan_in) AS avg_in, avg(fan_out) AS avg_out, max(fan_in) AS max_in, max(fan_out) AS max_out, count(*) FILTER (WHERE fan_out > 15) AS wide FROM degrees"
-S["a15_unused_modules"] = "SELECT count(*) AS unused, (SELECT count(*) FROM modules) AS total FROM modules m LEFT JOIN (SELECT DISTINCT child FROM edges) e ON m.id = e.child WHERE e.child IS NULL"
 S["a16_module_metrics"] = "SELECT count(*) AS modules, CAST(sum(ports) AS BIGINT) AS ports, count(*) FILTER (WHERE ports > 30) AS over_30_ports, count(*) FILTER (WHERE lines > 800) AS over_800_lines, count(*) FILTER (WHERE has_latch) AS latches FROM modules"
 S["a17_upper_median"] = "SELECT owner, cc FROM (SELECT owner, cc, row_number() OVER (PARTITION BY owner ORDER BY cc, id) - 1 AS r, count(*) OVER (PARTITION BY owner) AS n FROM modules) t WHERE r = CAST(floor(n / 2) AS BIGINT)"
-S["a18_lint_score"] = "SELECT category, round(greatest(0.0, 100.0 - 15.0 * count(*) FILTER (WHERE severity = 'critical' AND file_key % 500 = 1) - 5.0 * count(*) FILTER (WHERE severity = 'high' AND file_key % 500 = 1) - 2.0 * count(*) FILTER (WHERE severity = 'medium' AND file_key % 500 = 1)), 2) AS score FROM findings GROUP BY category"
-S["a19_dependency_score"] = "SELECT 100 - least(20, count(*) FILTER (WHERE line_no = 3)) - least(15, 2 * count(*) FILTER (WHERE is_package)) AS score, count(*) AS includes FROM include_rows"
-S["a39_dependency_docs"] = "SELECT file_key, count(*) AS n FROM include_rows GROUP BY file_key ORDER BY n DESC, file_key LIMIT 10"
 S["o01_top_blocks"] = "SELECT id, cc, nesting, lines FROM modules ORDER BY cc DESC, nesting DESC, lines DESC, id LIMIT 10"
 S["o02_top_files"] = "SELECT owner, round(avg(cc), 4) AS avg_cc, max(cc) AS max_cc FROM modules GROUP BY owner ORDER BY avg_cc DESC, max_cc DESC, owner LIMIT 10"
-S["o06_top_fan_out"] = "SELECT parent, count(*) AS n FROM edges GROUP BY parent ORDER BY n DESC, parent LIMIT 20"
-S["o08_graph_slice"] = "SELECT parent, child FROM (SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY child) AS r FROM edges) t WHERE r <= 5"
 S["r11_thresholds"] = "SELECT id, CASE WHEN cc > 20 THEN 'critical' WHEN cc > 10 THEN 'high' WHEN nesting > 4 THEN 'medium' ELSE 'low' END AS severity FROM modules WHERE cc > 10 OR nesting > 4 OR ports > 50"
 S["r12_module_design"] = "SELECT id, 'ports' AS rule, CASE WHEN ports > 80 THEN 'high' ELSE 'medium' END AS severity FROM modules WHERE ports > 30 UNION ALL SELECT id, 'lines', CASE WHEN lines > 800 THEN 'high' ELSE 'medium' END FROM modules WHERE lines > 300 UNION ALL SELECT id, 'latch', 'high' FROM modules WHERE has_latch"
-S["r14_graph_findings"] = "SELECT e.child AS id, 'DEP-002' AS rule, 'high' AS severity FROM edges e LEFT JOIN modules m ON e.child = m.id WHERE m.id IS NULL UNION SELECT parent, 'DEP-004', 'medium' FROM edges GROUP BY parent HAVING count(*) > 20"
-S["f01_language"] = "SELECT id, CASE WHEN file LIKE '%.sv' OR file LIKE '%.svh' THEN 'systemverilog' WHEN file LIKE '%.vh' THEN 'verilog_header' WHEN nesting > 3 THEN 'systemverilog' ELSE 'verilog' END AS language FROM modules"
-S["f03_suffix_filter"] = "SELECT id, file FROM modules WHERE lower(file) LIKE '%.v' OR lower(file) LIKE '%.svh'"
-S["f20_testbench"] = "SELECT id, module LIKE 'tb%' OR file LIKE '%_tb.v' AS is_testbench FROM modules"
-S["f22_system_packages"] = "SELECT file_key, CAST(floor(target) AS BIGINT) AS package FROM include_rows WHERE is_package AND CAST(floor(target) AS BIGINT) % 5 <> 0"
-S["w07_first_definition"] = "SELECT owner, nesting, id FROM (SELECT owner, nesting, id, row_number() OVER (PARTITION BY owner, nesting ORDER BY file) AS r FROM modules) t WHERE r = 1"
