@@ -12,18 +12,33 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k most alike for each query, ties by vec_id.
+def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2))), F.lit(0.0), lambda s, v: s + v))
 
-    The queries are a small stated set, sent to all vectors; each partition keeps
-    its own best k of each query before rows move.
+
+#: Queries that meet all vectors at a time: what is broadcast has this bound, whatever the number of queries.
+BLOCK = 1000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, metric: str = "cosine") -> DataFrame:
+    """(query_id, vec_id, score, rank): the k most alike for each query, by falling cosine or rising distance, ties by vec_id.
+
+    Queries go against all vectors in blocks of a bounded size; each partition
+    keeps its own best k of each query before rows move.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    scored = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks = max(1, -(-q.count() // BLOCK))
+    score = F.round(cosine(F.col("embedding"), F.col("query")), 6) if metric == "cosine" else F.round(distance(F.col("embedding"), F.col("query")), 6)
+    best = F.desc("score") if metric == "cosine" else F.asc("score")
+    out = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
+        if least is not None:
+            scored = scored.where(F.col("score") >= least)
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "vec_id"))).where(F.col("rank") <= k)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
 def _vectors(spark, d):
@@ -32,7 +47,7 @@ def _vectors(spark, d):
 
 def _knn(spark, d, k=2, least=None):
     v = _vectors(spark, d)
-    return nearest(v, v.where("vec_id < 5"), k, least)
+    return nearest(v, v.where("vec_id % 100 = 0"), k, least)
 
 
 QUERIES = {
@@ -41,7 +56,7 @@ QUERIES = {
     "v03_knn_then_filter": lambda spark, d: _knn(spark, d, 20).join(_vectors(spark, d).where("label = 1").select("vec_id"), "vec_id").select("query_id", "vec_id", "rank"),
 }
 
-_SQL = "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score, v.label FROM embeddings v JOIN embeddings q ON q.vec_id < 5 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s{where}) SELECT query_id, vec_id, rank::INTEGER AS rank FROM r WHERE {keep}"
+_SQL = "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score, v.label FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s{where}) SELECT query_id, vec_id, rank::INTEGER AS rank FROM r WHERE {keep}"
 ORACLE = {
     "v01_knn": _SQL.format(where="", keep="rank <= 2"),
     "v02_knn_threshold": _SQL.format(where=" WHERE score >= 0.3", keep="rank <= 250"),
