@@ -36,9 +36,11 @@ def expand(sql: str, relations: dict[str, str]) -> str:
 
 
 def spark_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    tables = sorted(_names(sql) & set(TABLES))
+    # Tables are arguments of the text, so that no view of the session is touched.
+    text = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(tables or ['-'])})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in _names(sql) & set(TABLES):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(sql)
+        return spark.sql(text, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in tables})
 
     return run

@@ -38,7 +38,7 @@ S["o03_top_violations"] = """SELECT severity, rule_key, count(*) AS n FROM findi
 S["o04_top_lint_categories"] = """SELECT category, count(*) AS n FROM findings WHERE severity IN ('critical', 'high') GROUP BY category ORDER BY n DESC, category LIMIT 5"""
 S["o07_worst_first"] = """SELECT file_key, line_start, severity FROM findings WHERE severity = 'critical' ORDER BY file_key, run_id, line_start LIMIT 10"""
 S["s26_run_finish"] = """SELECT r.run_id, coalesce(u.status, r.status) AS status, coalesce(u.n, 0) AS n_findings FROM runs r LEFT JOIN (SELECT run_id, 'finished' AS status, count(*) AS n FROM findings GROUP BY run_id) u ON r.run_id = u.run_id"""
-S["f04_findings_filter"] = """SELECT run_id, line_start, severity, category FROM findings WHERE severity IN ('critical', 'high') AND category IN ('R', 'A') AND file_key % 10 = 3"""
+S["f04_findings_filter"] = """SELECT run_id, line_start, severity, category FROM findings WHERE severity IN ('critical', 'high') AND category IN ('R', 'A')"""
 S["f06_audit_counts"] = """SELECT file_path, count(*) FILTER (WHERE action = 'FIX') AS accepted, count(*) FILTER (WHERE action = 'SKIP') AS rejected, count(*) FILTER (WHERE action = 'FIX_WITH_CONSTRAINTS') AS partial FROM decisions GROUP BY file_path"""
 S["f07_decision_filter"] = """SELECT id, file_path, action, decided_at FROM decisions WHERE file_path LIKE '%e%' AND action = 'FIX' ORDER BY decided_at DESC, id DESC LIMIT 200"""
 S["f08_point_lookup"] = """SELECT id, issue_type, action FROM decisions WHERE issue_type = 'src3'"""
@@ -47,7 +47,7 @@ S["f14_active_tasks"] = """SELECT action <> 'SKIP' AS active, count(*) AS n FROM
 S["f16_directives"] = """SELECT id, CASE action WHEN 'FIX' THEN 'apply' WHEN 'NEEDS_REVIEW' THEN 'review' ELSE 'apply_with_limits' END AS directive FROM decisions WHERE action <> 'SKIP'"""
 S["f18_infer_action"] = """SELECT doc_id, CASE WHEN lower(text) LIKE '%skip%' OR lower(text) LIKE '%false positive%' THEN 'SKIP' WHEN lower(text) LIKE '%only%' THEN 'FIX_WITH_CONSTRAINTS' WHEN lower(text) LIKE '%review%' THEN 'NEEDS_REVIEW' ELSE 'FIX' END AS action FROM documents"""
 S["f23_phase"] = """SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%scan%' THEN 'scan' WHEN lower(text) LIKE '%the%' THEN 'analyse' WHEN lower(text) LIKE '%report%' THEN 'report' ELSE 'other' END AS phase FROM turns"""
-S["f28_followup"] = """SELECT conv_id, turn FROM turns WHERE role = 'assistant' AND (lower(text) LIKE 'could%' OR text LIKE '%?%')"""
+S["f28_followup"] = """SELECT conv_id, turn FROM (SELECT conv_id, turn, role, concat(text, CASE WHEN turn % 3 = 1 THEN '?' ELSE '' END) AS text FROM turns) t WHERE role = 'assistant' AND (lower(text) LIKE 'could%' OR text LIKE '%?%')"""
 S["j07_skip_history"] = """SELECT DISTINCT d.issue_type FROM decisions d JOIN (SELECT DISTINCT issue_type FROM decisions WHERE action = 'SKIP') s ON d.issue_type = s.issue_type"""
 S["j08_new_uuids"] = """SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.vec_id IS NULL"""
 S["j15_new_finding_gate"] = """SELECT f.run_id, f.line_start, f.line_no FROM findings f WHERE EXISTS (SELECT 1 FROM hunks h WHERE h.file_key = f.run_id AND f.line_no BETWEEN h.new_start - 3 AND h.new_start + h.new_count - 1 + 3)"""
@@ -59,7 +59,7 @@ S["j20_traceability"] = """SELECT r.run_id, coalesce(a.status, f.status, 'PENDIN
 S["j21_candidates"] = """SELECT id, issue_type FROM decisions WHERE issue_type = 'src1' UNION SELECT id, issue_type FROM decisions WHERE file_path LIKE '%fr%'"""
 S["j22_rule_applicability"] = """SELECT t.conv_id, t.turn, r.rule_id FROM turns t JOIN rules r ON lower(split_part(t.text, ' ', 1)) = r.first_word"""
 S["j28_write_back"] = """SELECT d.id, coalesce(e.action, d.action) AS action FROM decisions d LEFT JOIN (SELECT file_path, issue_type, max(action) AS action FROM decisions WHERE id % 5 = 0 GROUP BY file_path, issue_type) e ON trim(d.file_path) = trim(e.file_path) AND trim(d.issue_type) = trim(e.issue_type)"""
-S["w05_first_wins"] = """SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents) t WHERE r = 1"""
+S["w05_first_wins"] = """SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source, lang"""
 S["w06_last_wins"] = """SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM tel_events) t WHERE r = 1"""
 S["w09_patch_offset"] = """SELECT run_id, line_start, CAST(coalesce(sum(line_no % 7 - 3) OVER (PARTITION BY run_id ORDER BY line_start, file_key, rule_key, line_no, category, created_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM findings"""
 S["w10_budget"] = """SELECT source, doc_id FROM (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) t WHERE used <= 6000"""
@@ -72,7 +72,6 @@ S["u01_union_findings"] = """SELECT severity, count(*) AS n FROM (SELECT severit
 S["u08_union_dedup"] = """SELECT id FROM decisions WHERE action = 'FIX' UNION SELECT id FROM decisions WHERE id % 2 = 0"""
 S["f10_valid_records"] = """SELECT doc_id FROM documents WHERE coalesce(text, '') <> '' OR coalesce(lang, '') <> '' OR coalesce(source, '') <> ''"""
 S["f26_target_issues"] = """SELECT file_key, count(*) AS n FROM findings WHERE CAST(file_key AS STRING) LIKE '%12%' GROUP BY file_key"""
-S["s05_ndjson_objects"] = """SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k FROM events WHERE trim(props) LIKE '{%}'"""
 S["s21_change_detection"] = """SELECT d.doc_id, md5(d.text) AS digest FROM documents d LEFT JOIN (SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id % 2 = 0) o ON d.doc_id = o.doc_id AND md5(d.text) = o.digest WHERE o.doc_id IS NULL"""
 S["s24_readme_excerpt"] = """SELECT page_id, CASE WHEN length(html) > 1000 THEN concat(substr(html, 1, 1000), '...') ELSE html END AS excerpt FROM pages"""
 S["v11_documents_by_type"] = """SELECT lang AS type, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang"""

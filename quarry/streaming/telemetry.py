@@ -9,23 +9,12 @@ the days of others, and the state kept is a row for each batch, day and type.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LATE = "10 minutes"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of this machine's only where none is set, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
+from ..staging import shared_dir
 
 def event_stream(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
     """The event files at path as a stream, a bounded number of files a batch."""
@@ -34,8 +23,10 @@ def event_stream(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def fresh_events(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Each event once, however often it was sent within the watermark."""
+def fresh_events(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Each event once. With a watermark the state is bounded, and what comes later than it is lost; without one nothing is."""
+    if late is None:
+        return events.withColumn("ts", F.col("ts").cast("timestamp")).dropDuplicates(["event_id"])
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
