@@ -199,7 +199,7 @@ QUERIES = {
     "j23_paths": lambda s, d: resolved(corpus.files(s, d).where("file_id % 8 = 2").select(F.col("file_id").alias("entry"), F.concat(F.lit("work/copy/"), F.col("path")).alias("path")), corpus.files(s, d)),
     "w08_chunk_tails": lambda s, d: tails(chunked(corpus.files(s, d).where("file_id % 8 < 4"), 400), 2).where("before is null").select("file_id", "chunk"),
     "x20_numbered": lambda s, d: corpus.files(s, d).where("file_id % 8 = 6").select("file_id", F.split(numbered(F.col("source"), F.array(F.lit(2))), "\n")[1].alias("second")),
-    "x21_chunks": lambda s, d: chunked(corpus.files(s, d), 12_000).groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("letters")),
+    "x21_chunks": lambda s, d: chunked(corpus.files(s, d), 12_000).groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("letters")).join(corpus.files(s, d), "file_id").select("file_id", "chunks", (F.col("letters") == F.length("source")).alias("whole")),
     "r16_fix_checks": lambda s, d: validated(patched(corpus.files(s, d), _patches(s, d))),
     "r17_integrity": lambda s, d: integrity(corpus.files(s, d)),
     "u01_all_findings": lambda s, d: _finds(s, d).select("category").unionByName(rules.by_line(corpus.files(s, d), rules.STYLE).select(F.col("rule").alias("category"))).groupBy("category").agg(F.count(F.lit(1)).alias("n")),
@@ -232,6 +232,7 @@ ORACLE = {
     "j23_paths": "SELECT file_id AS entry, 'work/copy/' || path AS path, path AS found FROM f_path WHERE file_id % 8 = 2",
     "w08_chunk_tails": f"SELECT p_partkey AS file_id, 1 AS chunk FROM {_R}",
     "x20_numbered": "SELECT p_partkey AS file_id, '>>>     2 |   logic [N-1:0] data;' AS second FROM part WHERE p_partkey % 8 = 6",
+    "x21_chunks": "SELECT p_partkey AS file_id, 1 AS chunks, true AS whole FROM part",
     "r16_fix_checks": f"SELECT p_partkey AS file_id, '' AS fails, CASE WHEN p_partkey % 9 = 1 THEN 'new macros' ELSE '' END AS warnings FROM {_R}",
     "r17_integrity": "SELECT p_partkey AS file_id, false AS empty, false AS nul, true AS balanced FROM part",
     "u01_all_findings": f"SELECT 'Style' AS category, count(*) AS n FROM {_F} UNION ALL SELECT rule, count(*) FROM ({rules.ORACLE['r02_style']}) GROUP BY rule",
