@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, ngram_lm, packing, secrets, sharding, url_filter, vectors, webp
+from . import langid, mixing, neardup, ngram_lm, packing, secrets, sharding, toxicity, url_filter, vectors, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lossless_webp": webp.op8,
         "op9_secrets": secrets.op9,
         "op10_hnsw": vectors.op10,
+        "op11_ftrl_toxicity": toxicity.op11,
     }
 
 
