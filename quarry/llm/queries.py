@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, ngram_lm, packing, secrets, sharding, toxicity, url_filter, vectors, webp
+from . import langid, lexical, mixing, neardup, ngram_lm, packing, phrases, secrets, sharding, toxicity, url_filter, vectors, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": secrets.op9,
         "op10_hnsw": vectors.op10,
         "op11_ftrl_toxicity": toxicity.op11,
+        "op12_phrase_growth": phrases.op12,
+        "op13_threshold_search": lexical.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL}
+    return {"op6_mixing": mixing.OP6_SQL, "op12_phrase_growth": phrases.OP12_SQL, "op13_threshold_search": lexical.OP13_SQL}
