@@ -1,6 +1,6 @@
 """Facts of one hardware-description source text, in plain Python for an Arrow function that sees each file once.
 
-``facts`` yields rows (kind, name, scope, line, target, value, n1, n2, n3, n4);
+``facts`` yields rows (kind, name, scope, line, target, value, n1 to n8);
 what the columns mean by kind is listed at ``KINDS``. Comments are blanked with
 their newlines kept, so that line numbers hold; strings stay, but what looks
 like a comment or bracket inside one is none.
@@ -12,8 +12,8 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-COLUMNS = "kind string, name string, scope string, line int, target string, value string, n1 int, n2 int, n3 int, n4 int"
-#: kind: target; value; n1 to n4.
+COLUMNS = "kind string, name string, scope string, line int, target string, value string, n1 int, n2 int, n3 int, n4 int, n5 int, n6 int, n7 int, n8 int"
+#: kind: target; value; n1 and on.
 KINDS = {
     "module": "-; -; ports, parameters, last line",
     "interface": "-; -; ports, parameters, last line",
@@ -34,8 +34,7 @@ KINDS = {
     "modport": "-; ports as direction name",
     "binding": "interface type; modport",
     "generate": "explicit, for, if or case; condition",
-    "block": "module; clocks; cyclomatic, deepest nesting, cognitive, lines",
-    "block_more": "module; -; boolean operators, cases, cases without default, blocking assignments",
+    "block": "module; clocks; cyclomatic, deepest nesting, cognitive, lines, boolean operators, cases, cases without default, blocking assignments",
     "scope": "-; -; comment lines, blank lines, code lines, directives",
 }
 #: Words that begin statements and so are no type of an instance.
@@ -192,9 +191,9 @@ def facts(text: str | None) -> Iterator[tuple]:
     out: list[tuple] = []
 
     def add(kind, name, scope, at, target=None, value=None, *n):
-        out.append((kind, name, scope, line(at), target, value, *n, *[None] * (4 - len(n))))
+        out.append((kind, name, scope, line(at), target, value, *n, *[None] * (8 - len(n))))
 
-    out.append(("scope", None, None, 1, None, None, *line_counts(text)))
+    out.append(("scope", None, None, 1, None, None, *line_counts(text), *[None] * 4))
     scopes: list[tuple[int, int, str]] = []
 
     def scope_of(at: int) -> str | None:
@@ -293,8 +292,8 @@ def facts(text: str | None) -> Iterator[tuple]:
             start = closing(bare, h.end() - 1) + 1 if bare[h.end() - 1] == "(" else h.end()
         body = bare[m.start() : block_end(bare, start)]
         x = block_metrics(body)
-        add("block", m[1], scope, m.start(), scope, ",".join(sorted(set(_EDGE.findall(body)))), x["cc"], x["nesting"], x["cognitive"], x["loc"])
-        add("block_more", m[1], scope, m.start(), scope, None, x["bool"], x["cases"], x["no_default"], len(_BLOCKING.findall(re.sub(r"\([^()]*\)", "", body))))
+        blocking = len(_BLOCKING.findall(re.sub(r"\([^()]*\)", "", body)))
+        add("block", m[1], scope, m.start(), scope, ",".join(sorted(set(_EDGE.findall(body)))), x["cc"], x["nesting"], x["cognitive"], x["loc"], x["bool"], x["cases"], x["no_default"], blocking)
     yield from sorted(out, key=lambda r: (r[3], r[0], r[1] or ""))
 
 

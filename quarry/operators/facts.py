@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arith, hdl_text
+from ..staging import staged
 from . import corpus
 
 SCHEMA = f"file_id long, {hdl_text.COLUMNS}"
@@ -20,7 +21,7 @@ def extract(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(i, *row) for i, text in zip(batch["file_id"], batch["source"], strict=True) for row in hdl_text.facts(text)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({f"n{i}": "Int32" for i in range(1, 5)})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({f"n{i}": "Int32" for i in range(1, 9)})
 
     return files.select("file_id", "source").mapInPandas(run, SCHEMA)
 
@@ -29,6 +30,11 @@ def of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(corpus.files(spark, sf_dir))
 
 
+def kept(files: DataFrame) -> DataFrame:
+    """The facts of files for what reads them more than once: parsed in one pass, and staged."""
+    return staged(extract(files), "facts")
+
+
 def definitions(f: DataFrame) -> DataFrame:
     kinds = ["module", "interface", "package", "task", "function"]
     return f.where(F.col("kind").isin(kinds)).select("file_id", "kind", "name", "line", F.col("n1").alias("ports"), F.col("n2").alias("params"), F.col("n3").alias("last"))
@@ -80,12 +86,9 @@ def symbols(f: DataFrame) -> DataFrame:
 
 
 def blocks(f: DataFrame) -> DataFrame:
-    """Procedural blocks with their metrics; two rows of facts make one."""
-    key = ["file_id", "scope", "name", "line"]
-    one = f.where("kind = 'block'").select(*key, F.col("value").alias("clocks"), F.col("n1").alias("cc"), F.col("n2").alias("nesting"), F.col("n3").alias("cognitive"), F.col("n4").alias("loc"))
-    two = f.where("kind = 'block_more'").select(*key, F.col("n1").alias("bool_ops"), F.col("n2").alias("cases"), F.col("n3").alias("no_default"), F.col("n4").alias("blocking"))
-    # A line may hold several blocks: they are told apart by their order, which both kinds of rows share.
-    return one.join(two, key).withColumnsRenamed({"scope": "module", "name": "block"})
+    """Procedural blocks with their metrics, a row each, however many a line holds."""
+    n = ("cc", "nesting", "cognitive", "loc", "bool_ops", "cases", "no_default", "blocking")
+    return f.where("kind = 'block'").select("file_id", F.col("scope").alias("module"), F.col("name").alias("block"), "line", F.col("value").alias("clocks"), *[F.col(f"n{i}").alias(c) for i, c in enumerate(n, 1)])
 
 
 def module_info(f: DataFrame) -> DataFrame:

@@ -7,13 +7,19 @@ with the number of ways, and no state is on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..staging import staged
+from ..staging import Pile, discard, staged
 from . import corpus, facts, rules
 
+#: Edges that one task solves at once, when rounds have left no more.
+FEW_EDGES = 200_000
+
 
 def edges(f: DataFrame) -> DataFrame:
     """(parent, child): a module and the types it instantiates, once each."""
@@ -40,76 +46,237 @@ def degrees(e: DataFrame, nodes: DataFrame) -> DataFrame:
 def reached(e: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(name, steps): nodes that a walk from the start reaches, with the fewest steps; to a fixpoint unless most steps are given."""
     e = staged(e, "edges")
-    seen = staged(start.select("name").distinct().withColumn("steps", F.lit(0)), "seen")
-    front, step = seen, 0
+    seen = Pile(e.sparkSession, "name string, steps int", "seen")
+    front, step = seen.add(start.select("name").distinct().withColumn("steps", F.lit(0))), 0
     while most is None or step < most:
         step += 1
-        new = front.join(e, front["name"] == e["parent"]).select(F.col("child").alias("name")).distinct().join(seen.select("name"), "name", "left_anti")
-        front = staged(new.withColumn("steps", F.lit(step)), "front")
+        new = front.join(e, front["name"] == e["parent"]).select(F.col("child").alias("name")).distinct().join(seen.all().select("name"), "name", "left_anti")
+        front = seen.add(new.withColumn("steps", F.lit(step)))
         if front.isEmpty():
             break
-        seen = staged(seen.unionByName(front), "seen")
-    return seen
-
-
-def core(e: DataFrame) -> DataFrame:
-    """The edges left when nodes without a way in or out are taken away until there are none: those on cycles and between them."""
-    e = staged(e.distinct(), "core")
-    n = e.count()
-    while n:
-        kept = e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("parent", "child")
-        e = staged(kept, "core")
-        n, before = e.count(), n
-        if n == before:
+    return seen.all()
+
+
+def trimmed(e: DataFrame) -> DataFrame:
+    """The edges that are left after one round of taking away nodes without a way in or out."""
+    return e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("parent", "child")
+
+
+def chains(e: DataFrame) -> DataFrame | None:
+    """(name, head, tail) of nodes with one way in and one way out: the nearest nodes before and after them that are not such.
+
+    Pointers double their reach each round. A ring of such nodes has neither
+    end: its least node is both. None if there are no such nodes.
+    """
+    ins = e.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("before"))
+    outs = e.groupBy(F.col("parent").alias("name")).agg(F.count(F.lit(1)).alias("m"), F.min("child").alias("after"))
+    own = staged(ins.join(outs, "name").where("n = 1 and m = 1").select("name", "before", "after"), "chain-links")
+    if own.isEmpty():
+        return None
+
+    def ends(pointer: str) -> DataFrame:
+        """(name, least, end, open) by doubling: while the end is itself a link the walk goes on; least is the least link passed."""
+        links = own.select(F.col("name").alias("end")).withColumn("open", F.lit(True))
+        at = staged(own.select("name", F.col("name").alias("least"), F.col(pointer).alias("end")).join(links, "end", "left").select("name", "least", "end", F.coalesce("open", F.lit(False)).alias("open")), "chain-ends")
+        size, reach = own.count(), 1
+        while reach < size and not at.where("open").isEmpty():
+            onward = at.select(F.col("name").alias("end"), F.col("least").alias("least2"), F.col("end").alias("end2"), F.col("open").alias("open2"))
+            walked = at.where("open").join(onward, "end").select("name", F.least("least", "least2").alias("least"), F.col("end2").alias("end"), F.col("open2").alias("open"))
+            more = staged(at.where("not open").unionByName(walked), "chain-ends")
+            discard(at)
+            at, reach = more, 2 * reach
+        return at
+
+    heads, tails = ends("before"), ends("after")
+    # What is still open after as many steps as there are links walks in a ring.
+    out = heads.select("name", F.when(F.col("open"), F.col("least")).otherwise(F.col("end")).alias("head")).join(tails.select("name", F.when(F.col("open"), F.col("least")).otherwise(F.col("end")).alias("tail")), "name")
+    out = staged(out, "chains")
+    discard(own, heads, tails)
+    return out
+
+
+def _with_loops(known: DataFrame, loops: DataFrame) -> DataFrame:
+    single = loops.join(known.select("name"), "name", "left_anti")
+    return staged(known.unionByName(single.select("name", F.col("name").alias("component"))), "components")
+
+
+def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of more than one node of the edges in one task, by one depth-first walk that notes how far back each node reaches."""
+    ways: dict[str, list[str]] = {}
+    for batch in batches:
+        for a, b in zip(batch["parent"], batch["child"], strict=True):
+            ways.setdefault(a, []).append(b)
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    out: list[tuple[str, str]] = []
+    done: set[str] = set()
+    for start in ways:
+        todo = [] if start in order else [(start, iter(ways[start]))]
+        while todo:
+            v, rest = todo[-1]
+            if v not in order:
+                order[v] = low[v] = len(order)
+                held.append(v)
+            for w in rest:
+                if w not in order:
+                    todo.append((w, iter(ways.get(w, ()))))
+                    break
+                if w not in done:
+                    low[v] = min(low[v], order[w])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == order[v]:
+                    members = [held.pop()]
+                    while members[-1] != v:
+                        members.append(held.pop())
+                    done.update(members)
+                    if len(members) > 1:
+                        least = min(members)
+                        out += [(x, least) for x in members]
+    yield pd.DataFrame(out, columns=["name", "component"], dtype=object)
+
+
+def components(e: DataFrame, small: int = FEW_EDGES) -> DataFrame:
+    """(name, component) of all nodes on cycles: strongly connected components, named by their least node; staged.
+
+    Chains are drawn together to one edge, nodes without a way in or out are
+    taken away, and on what is left each node takes the greatest name that reaches it;
+    those that the node of that name is reached from, within the color, are its
+    component. Work goes by edges and rounds, never by pairs of nodes. Once no
+    more than ``small`` edges are left, one task solves them at once.
+    """
+    spark = e.sparkSession
+    loops = Pile(spark, "name string", "loops")
+    found = Pile(spark, "name string, component string", "components")
+    drawn: list[DataFrame] = []
+    e = staged(e.distinct(), "component-edges")
+
+    def replaced(new: DataFrame, old: DataFrame) -> DataFrame:
+        """The new edges, without those from a node to itself, which are noted."""
+        every = staged(new.distinct(), "component-edges")
+        discard(old)
+        if every.where("parent = child").isEmpty():
+            return every
+        loops.add(every.where("parent = child").select(F.col("parent").alias("name")))
+        out = staged(every.where("parent <> child"), "component-edges")
+        discard(every)
+        return out
+
+    e = replaced(e, e)
+    while e.count() > small:
+        n = -1
+        while n > small or n < 0:  # chains and ends go until neither is left
+            c = chains(e)
+            if c is not None:
+                drawn.append(c)
+                rest = e.join(c.select(F.col("name").alias("parent")), "parent", "left_anti").join(c.select(F.col("name").alias("child")), "child", "left_anti")
+                e = replaced(rest.select("parent", "child").unionByName(c.select(F.col("head").alias("parent"), F.col("tail").alias("child"))), e)
+            before = e.count()
+            e = replaced(trimmed(e), e)
+            n = e.count()
+            if n == before and c is None:
+                break
+        if n <= small:
             break
-    return e
+        color = _colors(e)
+        roots = color.where("name = color")
+        # Back from each root, within its color.
+        back = e.join(color.select(F.col("name").alias("child"), F.col("color").alias("to")), "child").join(color.select(F.col("name").alias("parent"), F.col("color").alias("of")), "parent").where("to = of")
+        back = staged(back.select("parent", "child", F.col("of").alias("color")), "component-back")
+        mine = Pile(spark, "name string, color string", "component-members")
+        front = mine.add(roots.select("name", "color"))
+        while not front.isEmpty():
+            new = front.select(F.col("name").alias("child"), "color").join(back, ["child", "color"]).select(F.col("parent").alias("name"), "color").distinct()
+            front = mine.add(new.join(mine.all(), ["name", "color"], "left_anti"))
+        members = mine.all()
+        found.add(members.join(members.groupBy("color").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("component")).where("size > 1"), "color").select("name", "component"))
+        done = members.select("name")
+        e = replaced(e.join(done.select(F.col("name").alias("parent")), "parent", "left_anti").join(done.select(F.col("name").alias("child")), "child", "left_anti").select("parent", "child"), e)
+        discard(color, back)
+    if not e.isEmpty():
+        found.add(e.coalesce(1).mapInPandas(_solved, "name string, component string"))
+    # A node with a way to itself alone is a component, unless it was drawn into a chain that lies in one.
+    looped = staged(loops.all().distinct(), "loops")
+    known, later = found.all(), looped
+    for c in drawn:
+        later = later.join(c.select("name"), "name", "left_anti")
+    known = _with_loops(known, later)
+    for c in reversed(drawn):  # a chain belongs to the component that has both its ends
+        ends = c.join(known.select(F.col("name").alias("head"), "component"), "head").join(known.select(F.col("name").alias("tail"), F.col("component").alias("other")), "tail")
+        inside = staged(known.unionByName(ends.where("component = other").select("name", "component")), "components")
+        known = _with_loops(inside, looped.join(c.select("name"), "name", "left_semi"))
+        discard(inside, c)
+    # Names by the least node, chains included.
+    out = staged(known.join(known.groupBy("component").agg(F.min("name").alias("least")), "component").select("name", F.col("least").alias("component")), "components")
+    discard(known, e)
+    return out
+
+
+def _colors(e: DataFrame) -> DataFrame:
+    """(name, color): the greatest name among the nodes that reach a node, itself included. Only nodes whose color rose pass it on."""
+    color = staged(e.select(F.col("parent").alias("name")).unionByName(e.select(F.col("child").alias("name"))).distinct().withColumn("color", F.col("name")), "colors")
+    front = color
+    while True:
+        raised = front.join(e, front["name"] == e["parent"]).groupBy(F.col("child").alias("name")).agg(F.max("color").alias("new"))
+        raised = staged(raised.join(color, "name").where("new > color").select("name", F.col("new").alias("color")), "colors-front")
+        if raised.isEmpty():
+            return color
+        newer = staged(color.join(raised.select("name"), "name", "left_anti").unionByName(raised), "colors")
+        discard(color, None if front is color else front)
+        color, front = newer, raised
+
 
+def on_cycles(comp: DataFrame) -> DataFrame:
+    """(name): nodes that reach themselves."""
+    return comp.select("name")
 
-def closure(e: DataFrame) -> DataFrame:
-    """(a, b): all pairs with a way from a to b, doubling its length each round. For small graphs such as a core."""
-    pairs = staged(e.select(F.col("parent").alias("a"), F.col("child").alias("b")).distinct(), "pairs")
-    n, before = pairs.count(), -1
-    while n != before:
-        more = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        pairs = staged(pairs.unionByName(more).distinct(), "pairs")
-        n, before = pairs.count(), n
-    return pairs
 
+def within(e: DataFrame, comp: DataFrame) -> DataFrame:
+    """The edges inside components."""
+    both = e.join(comp.select(F.col("name").alias("parent"), F.col("component").alias("a")), "parent").join(comp.select(F.col("name").alias("child"), F.col("component").alias("b")), "child")
+    return both.where("a = b").select("parent", "child").distinct()
 
-def on_cycles(e: DataFrame) -> DataFrame:
-    """(name): nodes that reach themselves."""
-    return closure(core(e)).where("a = b").select(F.col("a").alias("name"))
 
+def cycles(e: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+    """(cycle): every simple cycle as an array that begins with its least node; only ways inside a component are followed.
 
-def cycles(e: DataFrame) -> DataFrame:
-    """(cycle): every simple cycle as an array that begins with its least node. Their number may grow beyond any bound with the core."""
-    e = core(e).join(on_cycles(e).select(F.col("name").alias("parent")), "parent", "left_semi")
-    e = staged(e, "cycle-edges")
+    Their number may grow beyond any bound with the size of a component; each round holds the open ways of one length.
+    """
+    e = staged(within(e, components(e) if comp is None else comp), "cycle-edges")
+    found = Pile(e.sparkSession, "cycle array<string>", "cycles")
     paths = staged(e.where("parent <= child").select(F.array("parent").alias("path"), F.col("child").alias("at")), "paths")
-    found = None
     while not paths.isEmpty():
-        done = paths.where("at = path[0]").select(F.col("path").alias("cycle"))
-        found = staged(done if found is None else found.unionByName(done), "cycles")
+        found.add(paths.where("at = path[0]").select(F.col("path").alias("cycle")))
         grown = paths.where("at > path[0] and not array_contains(path, at)").select(F.concat("path", F.array("at")).alias("path"), "at")
-        paths = staged(grown.join(e, grown["at"] == e["parent"]).select("path", F.col("child").alias("at")).where("at >= path[0]"), "paths")
-    return found if found is not None else e.select(F.array("parent").alias("cycle")).limit(0)
-
-
-def depths(e: DataFrame, roots: DataFrame) -> DataFrame:
-    """(name, depth): the longest way from a root, in edges; edges within a cycle are left out, so that every way ends."""
-    within = closure(core(e))
-    both = within.join(within.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).select(F.col("a").alias("parent"), F.col("b").alias("child")).distinct()
-    dag = staged(e.join(both, ["parent", "child"], "left_anti"), "dag")
-    front = staged(roots.select("name").distinct().withColumn("depth", F.lit(0)), "front")
-    every, step = front, 0
-    while True:
+        more = staged(grown.join(e, grown["at"] == e["parent"]).select("path", F.col("child").alias("at")).where("at >= path[0]"), "paths")
+        discard(paths)
+        paths = more
+    return found.all()
+
+
+def depths(e: DataFrame, roots: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+    """(name, depth): the longest way from a root, in edges; edges within a component are left out, so that every way ends.
+
+    What the roots reach is peeled: a node's round is the first after that of the last of its parents, and each edge is met once.
+    """
+    comp = components(e) if comp is None else comp
+    e = e.distinct()
+    dag = staged(e.join(within(e, comp), ["parent", "child"], "left_anti"), "dag")
+    met = reached(dag, roots).select("name")
+    dag = staged(dag.join(met.select(F.col("name").alias("parent")), "parent", "left_semi"), "dag-reached")
+    need = staged(dag.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("need")), "dag-need")
+    done = Pile(e.sparkSession, "name string, depth int", "depths")
+    front, step = done.add(met.join(need, "name", "left_anti").withColumn("depth", F.lit(0))), 0
+    while not front.isEmpty():
         step += 1
-        front = staged(front.join(dag, front["name"] == dag["parent"]).select(F.col("child").alias("name")).distinct().withColumn("depth", F.lit(step)), "front")
-        if front.isEmpty():
-            break
-        # A node's depth is that of the last round that met it.
-        every = staged(every.unionByName(front).groupBy("name").agg(F.max("depth").alias("depth")), "depths")
-    return every
+        child = dag.join(front.select(F.col("name").alias("parent")), "parent", "left_semi").select(F.col("child").alias("name")).distinct()
+        ways = dag.join(child.select(F.col("name").alias("child")), "child", "left_semi").join(done.all().select(F.col("name").alias("parent")), "parent")
+        ready = ways.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("have")).join(need, "name").where("have = need")
+        front = done.add(ready.select("name", F.lit(step).alias("depth")))
+    return done.all()
 
 
 def roots_of(e: DataFrame, known: DataFrame) -> DataFrame:
@@ -129,19 +296,16 @@ def include_edges(f: DataFrame, files: DataFrame) -> DataFrame:
     return includes(f, files).where("path is not null").join(files.select("file_id", F.col("path").alias("parent")), "file_id").select("parent", F.col("path").alias("child")).distinct()
 
 
-def include_closure(e: DataFrame, most: int = 20) -> DataFrame:
-    """(file, included, depth): what each file includes, directly or not, at its least depth, by rounds over pairs not seen yet."""
+def include_closure(e: DataFrame, most: int | None = None) -> DataFrame:
+    """(file, included, depth): what each file includes, directly or not, at its least depth, by rounds over pairs not seen yet; at most that deep, if given."""
     e = staged(e, "includes")
-    seen = staged(e.select(F.col("parent").alias("file"), F.col("child").alias("included"), F.lit(1).alias("depth")), "closure")
-    front, step = seen, 1
-    while step < most:
+    seen = Pile(e.sparkSession, "file string, included string, depth int", "closure")
+    front, step = seen.add(e.select(F.col("parent").alias("file"), F.col("child").alias("included"), F.lit(1).alias("depth"))), 1
+    while (most is None or step < most) and not front.isEmpty():
         step += 1
-        new = front.join(e, front["included"] == e["parent"]).select("file", F.col("child").alias("included")).distinct().join(seen.select("file", "included"), ["file", "included"], "left_anti")
-        front = staged(new.withColumn("depth", F.lit(step)), "closure-front")
-        if front.isEmpty():
-            break
-        seen = staged(seen.unionByName(front), "closure")
-    return seen
+        new = front.join(e, front["included"] == e["parent"]).select("file", F.col("child").alias("included")).distinct().join(seen.all().select("file", "included"), ["file", "included"], "left_anti")
+        front = seen.add(new.withColumn("depth", F.lit(step)))
+    return seen.all()
 
 
 def bindings(f: DataFrame) -> DataFrame:
@@ -157,22 +321,24 @@ def collisions(f: DataFrame) -> DataFrame:
     return s.withColumn("previous", before).where("previous is not null and previous <> file_id")
 
 
-def metrics(e: DataFrame, known: DataFrame) -> DataFrame:
+def metrics(e: DataFrame, known: DataFrame, comp: DataFrame | None = None) -> DataFrame:
     """One row: counts and means of degrees, cycles, depth, and the graph's score."""
     nodes = staged(known.select("name").unionByName(implicit(e, known)), "nodes")
     d = degrees(e, nodes)
     s = d.agg(F.count(F.lit(1)).alias("modules"), F.sum("fan_out").alias("edges"), F.max("fan_in").alias("max_fan_in"), F.max("fan_out").alias("max_fan_out"), F.count(F.when(F.col("fan_in") > 20, 1)).alias("high_fan_in"), F.count(F.when(F.col("fan_out") > 15, 1)).alias("high_fan_out"), F.count(F.when(F.col("fan_out") == 0, 1)).alias("leaves"), F.count(F.when(F.col("fan_in") == 0, 1)).alias("roots"))
-    c = on_cycles(e).agg(F.count(F.lit(1)).alias("cyclic"))
-    m = depths(e, roots_of(e, nodes)).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
+    comp = components(e) if comp is None else comp
+    c = on_cycles(comp).agg(F.count(F.lit(1)).alias("cyclic"))
+    m = depths(e, roots_of(e, nodes), comp).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
     s = s.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(m))
     return s.withColumn("score", scalars.clamp(100.0 - 2 * F.col("high_fan_in") - 3 * F.col("high_fan_out") - 10 * F.col("cyclic") - F.greatest(F.lit(0), F.col("depth") - 10)))
 
 
 def hierarchy_score(e: DataFrame, known: DataFrame) -> DataFrame:
     """Capped penalties: cycles 10 each to 40, fan-out above 20 to 20, missing definitions 3 each to 15, depth above 10 half each to 10."""
-    m = metrics(e, known)
+    comp = components(e)
+    m = metrics(e, known, comp)
     n = implicit(e, known).agg(F.count(F.lit(1)).alias("missing"))
-    c = cycles(e).agg(F.count(F.lit(1)).alias("cycles"))
+    c = cycles(e, comp).agg(F.count(F.lit(1)).alias("cycles"))
     s = m.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(c))
     off = F.least(F.lit(40.0), 10.0 * F.col("cycles")) + F.when(F.col("max_fan_out") > 20, F.least(F.lit(20.0), F.col("max_fan_out") - 20.0)).otherwise(0.0) + F.least(F.lit(15.0), 3.0 * F.col("missing")) + F.when(F.col("depth") > 10, F.least(F.lit(10.0), (F.col("depth") - 10) * 0.5)).otherwise(0.0)
     return s.select("cycles", "max_fan_out", "missing", "depth", scalars.clamp(100 - off).alias("score"))
@@ -181,11 +347,11 @@ def hierarchy_score(e: DataFrame, known: DataFrame) -> DataFrame:
 def dependency_score(f: DataFrame, files: DataFrame) -> DataFrame:
     """Eight capped penalties, and the counts they stand on."""
     e, known = staged(edges(f), "edges"), staged(defined(f), "defined")
-    inc = staged(include_edges(f, files), "include-edges")
+    inc, comp = staged(include_edges(f, files), "include-edges"), components(e)
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     parts = [
-        one(cycles(e), "cycles"), one(cycles(inc), "circular_includes"), one(includes(f, files).where("path is null"), "unresolved_includes"), one(degrees(e, known).where("fan_out > 15"), "high_fan_out"),
-        one(collisions(f), "collisions"), one(rules.mismatches(f), "mismatches"), one(isolated(e, known), "orphans"), depths(e, roots_of(e, known)).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth")),
+        one(cycles(e, comp), "cycles"), one(cycles(inc), "circular_includes"), one(includes(f, files).where("path is null"), "unresolved_includes"), one(degrees(e, known).where("fan_out > 15"), "high_fan_out"),
+        one(collisions(f), "collisions"), one(rules.mismatches(f), "mismatches"), one(isolated(e, known), "orphans"), depths(e, roots_of(e, known), comp).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth")),
     ]
     s = parts[0]
     for p in parts[1:]:
@@ -204,13 +370,14 @@ def findings(f: DataFrame, files: DataFrame) -> DataFrame:
     """(rule, subject, severity): cycles, unresolved includes and packages, fan-out, collisions, mismatches and depth."""
     e, known = staged(edges(f), "edges"), staged(defined(f), "defined")
     row = lambda df, rule, subject, severity: df.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), F.lit(severity).alias("severity"))
-    out = row(cycles(e), "DEP-001", F.array_join("cycle", ">"), "critical")
+    comp = components(e)
+    out = row(cycles(e, comp), "DEP-001", F.array_join("cycle", ">"), "critical")
     out = out.unionByName(row(cycles(include_edges(f, files)), "DEP-002", F.array_join("cycle", ">"), "high"))
     out = out.unionByName(row(includes(f, files).where("path is null"), "DEP-003", F.col("target"), "high"))
     out = out.unionByName(row(degrees(e, known).where("fan_out > 15"), "DEP-004", F.col("name"), "medium"))
     out = out.unionByName(row(collisions(f), "DEP-005", F.col("qualified"), "medium"))
     out = out.unionByName(row(rules.mismatches(f), "DEP-006", F.concat_ws(".", "parent", "child", "param"), "high"))
-    return out.unionByName(row(depths(e, roots_of(e, known)).where("depth > 10"), "DEP-007", F.col("name"), "low"))
+    return out.unionByName(row(depths(e, roots_of(e, known), comp).where("depth > 10"), "DEP-007", F.col("name"), "low"))
 
 
 def unresolved_packages(f: DataFrame) -> DataFrame:
@@ -226,15 +393,19 @@ def expanded_imports(f: DataFrame) -> DataFrame:
     return wild.unionByName(i.where("symbol <> '*'").select("file_id", "symbol")).distinct()
 
 
-def _e(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    files = corpus.files(s, d)
-    f = facts.extract(files)
-    return f, files, edges(f), defined(f)
+def _on(f) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the design's facts, files, edges and definitions, from one pass of the parser."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        files = corpus.files(s, d)
+        found = facts.kept(files)
+        return f(found, files, edges(found), defined(found))
+
+    return run
 
 
-def _reach(s: SparkSession, d: str) -> DataFrame:
+def _reach(e: DataFrame, known: DataFrame) -> DataFrame:
     """What testbenches reach: the entry points."""
-    f, _, e, known = _e(s, d)
     return reached(e, known.where(rules.testbench_name(F.col("name"))))
 
 
@@ -243,44 +414,44 @@ def _top(df: DataFrame, n: int, *by: Column) -> DataFrame:
 
 
 QUERIES = {
-    "j01_edges": lambda s, d: _e(s, d)[2],
-    "j02_implicit_nodes": lambda s, d: implicit(*_e(s, d)[2:]),
-    "j03_include_resolution": lambda s, d: includes(*_e(s, d)[:2]),
-    "j04_unresolved_includes": lambda s, d: includes(*_e(s, d)[:2]).where("path is null").select("file_id", "target"),
-    "j05_unresolved_packages": lambda s, d: unresolved_packages(_e(s, d)[0]),
-    "j06_wildcard_import": lambda s, d: expanded_imports(_e(s, d)[0]),
-    "j09_override_defaults": lambda s, d: facts.overrides(_e(s, d)[0]).join(_e(s, d)[0].where("kind = 'parameter'").select(F.col("scope").alias("child"), F.col("name").alias("param"), F.col("value").alias("default")), ["child", "param"], "left").select("parent", "child", "param", "value", "default"),
-    "j10_orphan_modules": lambda s, d: isolated(*_e(s, d)[2:]),
-    "j11_unconnected_interfaces": lambda s, d: _e(s, d)[0].where("kind = 'interface'").select("name").join(bindings(_e(s, d)[0]).select(F.col("interface").alias("name")), "name", "left_anti"),
-    "j12_collisions": lambda s, d: collisions(_e(s, d)[0]),
-    "j13_propagated_symbols": lambda s, d: include_closure(include_edges(*_e(s, d)[:2])).join(facts.symbols(_e(s, d)[0]).join(corpus.files(s, d).select("file_id", F.col("path").alias("included")), "file_id").select("included", "qualified"), "included").select("file", "qualified").distinct(),
-    "j14_bindings": lambda s, d: bindings(_e(s, d)[0]),
-    "j26_neighbours": lambda s, d: _e(s, d)[2].join(_e(s, d)[3].select(F.col("name").alias("child"), F.concat_ws("::", F.col("file_id").cast("string"), "name").alias("key")), "child").select("parent", "key"),
-    "g01_degrees": lambda s, d: degrees(*_e(s, d)[2:]),
-    "g02_roots_leaves": lambda s, d: degrees(*_e(s, d)[2:]).where("fan_in = 0 or fan_out = 0").where(~rules.testbench_name(F.col("name"))).select("name", F.when((F.col("fan_in") == 0) & (F.col("fan_out") == 0), "orphan").when(F.col("fan_in") == 0, "root").otherwise("leaf").alias("kind")),
-    "g03_cycles": lambda s, d: cycles(_e(s, d)[2]).select(F.array_join("cycle", ">").alias("cycle")),
-    "g04_cyclic_nodes": lambda s, d: on_cycles(_e(s, d)[2]),
-    "g05_depths": lambda s, d: depths(_e(s, d)[2], roots_of(*_e(s, d)[2:])),
-    "g06_reachable": lambda s, d: _reach(s, d).select("name"),
-    "g07_include_closure": lambda s, d: include_closure(include_edges(*_e(s, d)[:2]), 1 << 30),
-    "g07_circular_includes": lambda s, d: cycles(include_edges(*_e(s, d)[:2])).select(F.array_join("cycle", ">").alias("cycle")),
-    "g08_context_includes": lambda s, d: include_closure(include_edges(*_e(s, d)[:2]), 2).select("file", "included"),
-    "g09_children_parents": lambda s, d: _e(s, d)[2].groupBy("child").agg(F.array_join(F.array_sort(F.collect_set("parent")), ",").alias("parents")),
-    "g12_isolated": lambda s, d: degrees(_e(s, d)[2], _e(s, d)[0].where(F.col("kind").isin("module", "package", "interface")).select("name").distinct()).where("fan_in = 0 and fan_out = 0").select("name"),
-    "u02_unreachable": lambda s, d: _e(s, d)[3].select("name").join(_reach(s, d).select("name"), "name", "left_anti"),
-    "w07_first_definition": lambda s, d: _e(s, d)[3],
-    "a12_hierarchy_score": lambda s, d: hierarchy_score(*_e(s, d)[2:]),
-    "a14_hierarchy_metrics": lambda s, d: metrics(*_e(s, d)[2:]),
-    "a15_unused_modules": lambda s, d: _e(s, d)[3].join(_reach(s, d).select("name", F.lit(1).alias("hit")), "name", "left").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("hit").isNull(), 1)).alias("unused")).withColumn("score", scalars.clamp(100 - 100.0 * F.col("unused") / F.greatest("total", F.lit(1)))),
-    "a19_dependency_score": lambda s, d: dependency_score(*_e(s, d)[:2]),
-    "a39_dependency_documents": lambda s, d: _top(facts.dependencies(_e(s, d)[0]).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")), 10, F.desc("n"), F.col("file_id")),
-    "a44_package_importers": lambda s, d: facts.imports(_e(s, d)[0]).groupBy("package").agg(F.countDistinct("file_id").alias("importers")),
-    "a45_proposals": lambda s, d: _top(degrees(*_e(s, d)[2:]).where("fan_out > 2").select(F.lit("split").alias("step"), "name", "fan_out"), 3, F.desc("fan_out"), F.col("name")),
-    "r14_graph_findings": lambda s, d: findings(*_e(s, d)[:2]),
-    "r18_graph_validation": lambda s, d: metrics(*_e(s, d)[2:]).select(F.explode(F.array(F.struct(F.lit("cycles").alias("check"), (F.col("cyclic") == 0).alias("ok")), F.struct(F.lit("depth").alias("check"), (F.col("depth") <= 10).alias("ok")), F.struct(F.lit("fan_out").alias("check"), (F.col("high_fan_out") == 0).alias("ok")))).alias("x")).select("x.*"),
-    "o06_top_fan_out": lambda s, d: _top(degrees(*_e(s, d)[2:]).select("name", "fan_out"), 20, F.desc("fan_out"), F.col("name")),
-    "o06_top_includers": lambda s, d: _top(facts.includes(_e(s, d)[0]).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")), 15, F.desc("n"), F.col("file_id")),
-    "o08_graph_slice": lambda s, d: _top(_e(s, d)[2].withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("child"))).where("r <= 2").select("parent", "child"), 50, F.col("parent"), F.col("child")),
+    "j01_edges": _on(lambda f, files, e, known: e),
+    "j02_implicit_nodes": _on(lambda f, files, e, known: implicit(e, known)),
+    "j03_include_resolution": _on(lambda f, files, e, known: includes(f, files)),
+    "j04_unresolved_includes": _on(lambda f, files, e, known: includes(f, files).where("path is null").select("file_id", "target")),
+    "j05_unresolved_packages": _on(lambda f, files, e, known: unresolved_packages(f)),
+    "j06_wildcard_import": _on(lambda f, files, e, known: expanded_imports(f)),
+    "j09_override_defaults": _on(lambda f, files, e, known: facts.overrides(f).join(f.where("kind = 'parameter'").select(F.col("scope").alias("child"), F.col("name").alias("param"), F.col("value").alias("default")), ["child", "param"], "left").select("parent", "child", "param", "value", "default")),
+    "j10_orphan_modules": _on(lambda f, files, e, known: isolated(e, known)),
+    "j11_unconnected_interfaces": _on(lambda f, files, e, known: f.where("kind = 'interface'").select("name").join(bindings(f).select(F.col("interface").alias("name")), "name", "left_anti")),
+    "j12_collisions": _on(lambda f, files, e, known: collisions(f)),
+    "j13_propagated_symbols": _on(lambda f, files, e, known: include_closure(include_edges(f, files)).join(facts.symbols(f).join(files.select("file_id", F.col("path").alias("included")), "file_id").select("included", "qualified"), "included").select("file", "qualified").distinct()),
+    "j14_bindings": _on(lambda f, files, e, known: bindings(f)),
+    "j26_neighbours": _on(lambda f, files, e, known: e.join(known.select(F.col("name").alias("child"), F.concat_ws("::", F.col("file_id").cast("string"), "name").alias("key")), "child").select("parent", "key")),
+    "g01_degrees": _on(lambda f, files, e, known: degrees(e, known)),
+    "g02_roots_leaves": _on(lambda f, files, e, known: degrees(e, known).where("fan_in = 0 or fan_out = 0").where(~rules.testbench_name(F.col("name"))).select("name", F.when((F.col("fan_in") == 0) & (F.col("fan_out") == 0), "orphan").when(F.col("fan_in") == 0, "root").otherwise("leaf").alias("kind"))),
+    "g03_cycles": _on(lambda f, files, e, known: cycles(e).select(F.array_join("cycle", ">").alias("cycle"))),
+    "g04_cyclic_nodes": _on(lambda f, files, e, known: on_cycles(components(e))),
+    "g05_depths": _on(lambda f, files, e, known: depths(e, roots_of(e, known))),
+    "g06_reachable": _on(lambda f, files, e, known: _reach(e, known).select("name")),
+    "g07_include_closure": _on(lambda f, files, e, known: include_closure(include_edges(f, files))),
+    "g07_circular_includes": _on(lambda f, files, e, known: cycles(include_edges(f, files)).select(F.array_join("cycle", ">").alias("cycle"))),
+    "g08_context_includes": _on(lambda f, files, e, known: include_closure(include_edges(f, files), 2).select("file", "included")),
+    "g09_children_parents": _on(lambda f, files, e, known: e.groupBy("child").agg(F.array_join(F.array_sort(F.collect_set("parent")), ",").alias("parents"))),
+    "g12_isolated": _on(lambda f, files, e, known: degrees(e, f.where(F.col("kind").isin("module", "package", "interface")).select("name").distinct()).where("fan_in = 0 and fan_out = 0").select("name")),
+    "u02_unreachable": _on(lambda f, files, e, known: known.select("name").join(_reach(e, known).select("name"), "name", "left_anti")),
+    "w07_first_definition": _on(lambda f, files, e, known: known),
+    "a12_hierarchy_score": _on(lambda f, files, e, known: hierarchy_score(e, known)),
+    "a14_hierarchy_metrics": _on(lambda f, files, e, known: metrics(e, known)),
+    "a15_unused_modules": _on(lambda f, files, e, known: known.join(_reach(e, known).select("name", F.lit(1).alias("hit")), "name", "left").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("hit").isNull(), 1)).alias("unused")).withColumn("score", scalars.clamp(100 - 100.0 * F.col("unused") / F.greatest("total", F.lit(1))))),
+    "a19_dependency_score": _on(lambda f, files, e, known: dependency_score(f, files)),
+    "a39_dependency_documents": _on(lambda f, files, e, known: _top(facts.dependencies(f).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")), 10, F.desc("n"), F.col("file_id"))),
+    "a44_package_importers": _on(lambda f, files, e, known: facts.imports(f).groupBy("package").agg(F.countDistinct("file_id").alias("importers"))),
+    "a45_proposals": _on(lambda f, files, e, known: _top(degrees(e, known).where("fan_out > 2").select(F.lit("split").alias("step"), "name", "fan_out"), 3, F.desc("fan_out"), F.col("name"))),
+    "r14_graph_findings": _on(lambda f, files, e, known: findings(f, files)),
+    "r18_graph_validation": _on(lambda f, files, e, known: metrics(e, known).select(F.explode(F.array(F.struct(F.lit("cycles").alias("check"), (F.col("cyclic") == 0).alias("ok")), F.struct(F.lit("depth").alias("check"), (F.col("depth") <= 10).alias("ok")), F.struct(F.lit("fan_out").alias("check"), (F.col("high_fan_out") == 0).alias("ok")))).alias("x")).select("x.*")),
+    "o06_top_fan_out": _on(lambda f, files, e, known: _top(degrees(e, known).select("name", "fan_out"), 20, F.desc("fan_out"), F.col("name"))),
+    "o06_top_includers": _on(lambda f, files, e, known: _top(facts.includes(f).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")), 15, F.desc("n"), F.col("file_id"))),
+    "o08_graph_slice": _on(lambda f, files, e, known: _top(e.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("child"))).where("r <= 2").select("parent", "child"), 50, F.col("parent"), F.col("child"))),
 }
 
 _DEG = "deg AS (SELECT n.name, (SELECT count(*) FROM f_edge e WHERE e.child = n.name) AS fan_in, (SELECT count(*) FROM f_edge e WHERE e.parent = n.name) AS fan_out FROM f_mod n)"
@@ -306,7 +477,7 @@ ORACLE = {
     "j10_orphan_modules": f"WITH {_DEG} SELECT name FROM deg WHERE fan_in = 0 AND fan_out = 0 AND name NOT LIKE 'tb%'",
     "j11_unconnected_interfaces": "SELECT name FROM f_def WHERE kind = 'interface' AND name NOT IN (SELECT child FROM f_inst WHERE instance = 'bus')",
     "j12_collisions": _COLL,
-    "j13_propagated_symbols": f"WITH {_CLOSE.format(20)} SELECT DISTINCT c.file, u.n || p.file_id AS qualified FROM c JOIN f_path p ON p.path = c.included, (VALUES ('WIDTH'), ('LONG')) u(n) UNION ALL SELECT DISTINCT c.file, CASE WHEN p.file_id > 0 THEN 'GUARD' END || CASE WHEN false THEN p.path ELSE '' END FROM c JOIN f_path p ON p.path = c.included WHERE p.file_id % 16 = 4",
+    "j13_propagated_symbols": f"WITH {_CLOSE.format(400)} SELECT DISTINCT c.file, u.n || p.file_id AS qualified FROM c JOIN f_path p ON p.path = c.included, (VALUES ('WIDTH'), ('LONG')) u(n) UNION ALL SELECT DISTINCT c.file, CASE WHEN p.file_id > 0 THEN 'GUARD' END || CASE WHEN false THEN p.path ELSE '' END FROM c JOIN f_path p ON p.path = c.included WHERE p.file_id % 16 = 4",
     "j14_bindings": "SELECT i.file_id, i.parent AS module, i.instance, i.child AS interface FROM f_inst i WHERE i.instance = 'bus' AND i.child IN (SELECT name FROM f_def WHERE kind = 'interface')",
     "j26_neighbours": "SELECT e.parent, m.file_id || '::' || m.name AS key FROM f_edge e JOIN f_mod m ON e.child = m.name",
     "g01_degrees": f"WITH {_DEG} SELECT * FROM deg",

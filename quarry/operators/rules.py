@@ -276,7 +276,7 @@ def maintainability_score(files: DataFrame) -> DataFrame:
 
 
 def complexity(f: DataFrame) -> DataFrame:
-    """Over all blocks: mean, median, lower-nearest 90th percentile by counts of equal values, maxima, thresholds and score."""
+    """Over all blocks of kept facts: mean, median, lower-nearest 90th percentile by counts of equal values, maxima, thresholds and score."""
     b = facts.blocks(f)
     s = b.agg(F.count(F.lit(1)).alias("blocks"), F.avg("cc").alias("avg_cc"), F.percentile("cc", F.lit(0.5)).alias("median_cc"), F.max("cc").alias("max_cc"), F.max("cognitive").alias("max_cognitive"), F.max("nesting").alias("max_nesting"), F.count(F.when(F.col("loc") >= 80, 1)).alias("long"), F.count(F.when(F.col("bool_ops") >= 8, 1)).alias("bool_heavy"))
     # A row for each distinct complexity, of which there are few.
@@ -316,6 +316,10 @@ def _f(spark: SparkSession, d: str) -> DataFrame:
     return hdl_only(corpus.files(spark, d))
 
 
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    return facts.kept(corpus.files(s, d))
+
+
 QUERIES = {
     "f01_language": lambda s, d: corpus.files(s, d).select("file_id", language(F.col("path"), F.col("source")).alias("language")),
     "f02_by_language": lambda s, d: corpus.files(s, d).select(language(F.col("path"), F.col("source")).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n")),
@@ -341,13 +345,13 @@ QUERIES = {
     "x13_clocks": lambda s, d: facts.blocks(facts.of(s, d)).select(F.explode(F.split("clocks", ",")).alias("clock")).where("clock <> ''").groupBy("clock").agg(F.count(F.lit(1)).alias("blocks")),
     "x14_drivers": lambda s, d: drivers(_f(s, d)).groupBy("target").agg(F.count(F.lit(1)).alias("files")),
     "a04_quality_score": lambda s, d: quality_score(_f(s, d), facts.of(s, d)),
-    "a05_complexity": lambda s, d: complexity(facts.of(s, d)),
+    "a05_complexity": lambda s, d: complexity(_kept(s, d)),
     "a07_safety_score": lambda s, d: safety_score(_f(s, d)),
     "a08_maintainability_score": lambda s, d: maintainability_score(_f(s, d)).select("files", F.round("avg_cc", 6).alias("avg_cc"), (F.col("min_mi") <= F.col("avg_mi")).alias("low"), (F.col("avg_mi") <= F.col("max_mi")).alias("high")),
     "a09_documentation_score": lambda s, d: documentation_score(_f(s, d)),
     "a10_verification_score": lambda s, d: verification_score(_f(s, d)),
-    "a11_synthesis_score": lambda s, d: synthesis_score(facts.of(s, d), _f(s, d)),
-    "a13_health": lambda s, d: health(all_scores(facts.of(s, d), _f(s, d))),
+    "a11_synthesis_score": lambda s, d: synthesis_score(_kept(s, d), _f(s, d)),
+    "a13_health": lambda s, d: health(all_scores(_kept(s, d), _f(s, d))),
     "a18_lint_score": lambda s, d: lint_score(_f(s, d)),
     "a46_distinct_clocks": lambda s, d: facts.blocks(facts.of(s, d)).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split("clocks", ","), lambda x: x != ""))))), ",").alias("clocks")),
 }
