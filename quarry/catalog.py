@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import paths
-from .operators import corpus, facts, graphs, patches, records, retrieval, rules
+from .operators import corpus, facts, graphs, patches, records, retrieval, rules, trees
 from .plans import design, telemetry
 from .plans.relations import RELATIONS
 from .plans.sqlkit import expand, spark_query
@@ -17,7 +17,7 @@ from .streaming import telemetry as streams
 SQL = {name: expand(sql, RELATIONS) for part in (telemetry.S, design.S) for name, sql in part.items()}
 
 
-_PARTS = (facts, rules, graphs, patches, scan, records, retrieval, paths, ndjson, streams)
+_PARTS = (facts, rules, graphs, trees, patches, scan, records, retrieval, paths, ndjson, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
