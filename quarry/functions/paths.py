@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,16 @@ def glob_pattern(glob: str) -> str:
     return f"(?s)^{out}$"
 
 
+def glob_column(globs: Column) -> Column:
+    """Each glob of a column as a regular expression, by the rule of ``glob_pattern``; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda g: None if g is None else glob_pattern(g))
+
+    return run(globs)
+
+
 def excluded(path: Column, directories: Iterable[str] = (), globs: Iterable[str] = ()) -> Column:
     """Whether a component of the path is one of the directories, or the lower-cased path fits a glob; a null path is not excluded."""
     tests = [F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in directories]))] if directories else []

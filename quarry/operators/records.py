@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from . import corpus, retrieval
+from . import corpus, matching, retrieval
 from . import rules as catalog
 
 #: An analyzer takes (file_id, path, source) and gives findings; others may register theirs.
@@ -150,15 +150,16 @@ def layers(files: DataFrame, notes: DataFrame) -> DataFrame:
 def applicable(issues: DataFrame, rules: DataFrame) -> DataFrame:
     """(issue_id, rule_id): rules whose id is in the issue's type, or that share a word of four letters or more with it, or a glob of whose fits its path.
 
-    Words meet by equality; ids and globs are tried against the distinct types
-    and paths only.
+    Words meet by equality; ids and globs meet distinct types and paths by their
+    grams (see ``matching``).
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]{4,}"), F.lit(0)))
     shared = issues.select("issue_id", F.explode(words("issue_type")).alias("word")).join(rules.select("rule_id", F.explode(words("description")).alias("word")), "word").select("issue_id", "rule_id")
-    types = issues.select("issue_type").distinct().join(rules.select("rule_id"), F.contains(F.lower("issue_type"), F.lower(F.col("rule_id").cast("string")))).select("issue_type", "rule_id")
-    by_id = issues.join(types, "issue_type").select("issue_id", "rule_id")
-    globs = rules.where("pattern is not null").select("rule_id", F.concat(F.lit("^"), F.replace(F.replace("pattern", F.lit("."), F.lit("\\.")), F.lit("*"), F.lit(".*")), F.lit("$")).alias("regex"))
-    by_path = issues.join(issues.select("path").distinct().join(globs, F.expr("path rlike regex")).select("path", "rule_id"), "path").select("issue_id", "rule_id")
+    low = F.lower(F.col("rule_id").cast("string"))
+    types = matching.contained(issues.select(F.lower("issue_type").alias("text")), rules.select(low.alias("needle")))
+    by_id = issues.join(types, F.lower("issue_type") == F.col("text")).join(rules.withColumn("needle", low), "needle").select("issue_id", "rule_id")
+    fits = matching.fitting(issues.select(F.col("path").alias("text")), rules.select(F.col("pattern").alias("glob")))
+    by_path = issues.join(fits, F.col("path") == F.col("text")).join(rules, F.col("pattern") == F.col("glob")).select("issue_id", "rule_id")
     return shared.unionByName(by_id).unionByName(by_path).distinct()
 
 
@@ -316,10 +317,10 @@ _FI = "(SELECT l_orderkey AS run_id, l_linenumber AS line, l_partkey AS file_key
 _D = "(SELECT doc_id AS id, lang AS file_path, source AS issue_type, CASE WHEN toxic = 1 THEN 'SKIP' WHEN quality = 1 THEN 'FIX' WHEN doc_id % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'FIX_WITH_CONSTRAINTS' END AS action, n_chars AS decided_at, CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM labels JOIN documents USING (doc_id))"
 _I = "(SELECT n_nationkey AS issue_id, 'src' || (n_nationkey % 20) AS issue_type, ['en', 'fr', 'xx'][n_nationkey % 3 + 1] AS path, CASE WHEN n_nationkey % 4 = 0 THEN 'critical' ELSE 'high' END AS severity FROM nation)"
 _RULES = "(SELECT 'c1' || r_regionkey AS rule_id, CASE r_regionkey WHEN 0 THEN 'e' WHEN 4 THEN 'f' WHEN 2 THEN 'x?' END AS head FROM region)"
-_AP = f"(SELECT DISTINCT i.issue_id, r.rule_id FROM {_I} i, {_RULES} r WHERE contains(i.issue_type, r.rule_id) OR (r.head IN ('e', 'f') AND starts_with(i.path, r.head)))"
+_AP = f"(SELECT DISTINCT i.issue_id, r.rule_id FROM {_I} i, {_RULES} r WHERE contains(i.issue_type, r.rule_id) OR (r.head IN ('e', 'f') AND starts_with(i.path, r.head)) OR (r.head = 'x?' AND i.path GLOB 'x?'))"
 _DIR = "(SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 <> 0 THEN 'a.v' WHEN o_orderkey % 14 = 0 THEN 'b.v' END AS file_path, CASE WHEN o_orderkey % 5 = 0 THEN 'SKIP' WHEN o_orderkey % 3 = 0 THEN 'FIX_WITH_CONSTRAINTS' WHEN o_orderkey % 5 = 2 THEN 'NEEDS_REVIEW' ELSE 'FIX' END AS action, CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'medium' END AS severity FROM orders)"
 _DIR = f"(SELECT * FROM {_DIR} WHERE file_path IS NOT NULL AND action <> 'SKIP')"
-_V = "SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score, round(sqrt(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))), 6) AS far FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id"
+_V = "SELECT q.vec_id AS query_id, v.vec_id, (list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))) AS score, (sqrt(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))))) AS far FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id"
 _K = "(props::JSON ->> '$.k')::INT"
 ORACLE = {
     "s06_records": "SELECT '{\"a\": 1}' AS value",

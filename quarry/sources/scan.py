@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,26 +22,52 @@ def with_defaults(directories: tuple[str, ...] = ()) -> tuple[str, ...]:
     return tuple(dict.fromkeys(PRUNED + tuple(directories)))
 
 
+def _inside(path: Column, root: str) -> Column:
+    """A file's path below root, from the encoded form that readers give; root itself if it is a file: its name."""
+    plain = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    top = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
+    below = F.regexp_replace(plain, r"^\w+:/+(?:[^/]+:\d+/+)?", "/")
+    return F.when(F.contains(below, F.lit(top)), F.substring(below, F.locate(top, below) + len(top), F.length(below))).otherwise(F.element_at(F.split(below, "/"), -1))
+
+
+def names(spark: SparkSession, root: str, suffixes: tuple[str, ...] = corpus.SUFFIXES, directories: tuple[str, ...] = PRUNED, globs: tuple[str, ...] = ()) -> DataFrame:
+    """(path, size_bytes) of the files under root that a scan keeps: from the listing alone, no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return listed.where(_kept(F.col("_metadata.file_path"), root, suffixes, directories, globs)).select(_inside(F.col("_metadata.file_path"), root).alias("path"), F.col("length").alias("size_bytes"))
+
+
+def _kept(path: Column, root: str, suffixes: tuple[str, ...], directories: tuple[str, ...], globs: tuple[str, ...]) -> Column:
+    inside = _inside(path, root)
+    return (rules.suffix(inside).isin(*suffixes) if suffixes else F.lit(True)) & ~paths.excluded(inside, directories, globs)
+
+
 def tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = corpus.SUFFIXES, directories: tuple[str, ...] = PRUNED, globs: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """(path, source, size_bytes) of the files under root, or of root itself if it is a file.
 
-    Bytes that are no UTF-8 are left out. Files go by path; ``most``, if given,
-    keeps the first ones. Only names are read of files that are passed over.
+    Which files are kept is asked of their names while the scan is planned, so
+    that what is passed over is never opened, and the rest goes to tasks by size.
+    ``most``, if given, keeps the first files by path: their last name is found
+    first, among names alone. Bytes that are no UTF-8 are left out. Spark's
+    listing leaves out files without a byte and names that begin with a dot or an
+    underscore, and so do these relations.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.col("path"), r"^file:/+", "/")
-    inside = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))).otherwise(F.element_at(F.split(path, "/"), -1))
-    kept = listed.withColumn("path", inside).where(F.col("length") > 0)
-    kept = kept.where(rules.suffix(F.col("path")).isin(*suffixes)) if suffixes else kept
-    kept = kept.where(~paths.excluded(F.col("path"), directories, globs))
+    kept = listed.where(_kept(F.col("_metadata.file_path"), root, suffixes, directories, globs))
+    if most is not None:
+        last = names(spark, root, suffixes, directories, globs).orderBy("path").limit(most).agg(F.max("path")).first()[0] if most > 0 else None
+        kept = kept.where(_inside(F.col("_metadata.file_path"), root) <= F.lit(last)) if last is not None else kept.where("false")
 
     @F.pandas_udf(StringType())
     def text(blobs: pd.Series) -> pd.Series:
         return blobs.map(lambda b: bytes(b).decode("utf-8", "ignore").replace("\r\n", "\n"))
 
-    if most is not None:
-        kept = kept.orderBy("path").limit(most)
-    return kept.select("path", text("content").alias("source"), F.col("length").alias("size_bytes"))
+    return kept.select(_inside(F.col("_metadata.file_path"), root).alias("path"), text("content").alias("source"), F.col("length").alias("size_bytes"))
+
+
+def regular(cached: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """The cached rows (by path) that are still regular files with a byte at least under root; no file is opened."""
+    there = names(spark, root, (), ()).select("path").distinct()
+    return cached.join(there, "path", "left_semi")
 
 
 def changed(files: DataFrame, sidecar: DataFrame) -> DataFrame:
@@ -126,10 +154,17 @@ def _sheets(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/orders.parquet").select(sheet.alias("sheet"), F.col("o_orderkey").alias("row_id"), F.when(o == 2, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("cell"))
 
 
+def _cached(s: SparkSession, d: str) -> DataFrame:
+    """Cached entries: all files of the folder, and as many names that are none."""
+    there = names(s, d, (".parquet",)).withColumn("size", F.col("size_bytes")).drop("size_bytes")
+    cached = there.unionByName(there.withColumn("path", F.concat(F.lit("gone/"), "path"))).unionByName(s.read.parquet(f"{d}/region.parquet").select(F.concat("r_name", F.lit(".sv")).alias("path"), F.lit(1).cast("long").alias("size")))
+    return regular(cached, s, d).select(F.regexp_replace("path", r"\.parquet.*$", "").alias("name")).distinct()
+
+
 QUERIES = {
     "s01_scan": lambda s, d: tree(s, d, (".parquet",)).select(F.regexp_replace("path", r"\.parquet.*$", "").alias("name")).distinct(),
     "s03_single_file": lambda s, d: tree(s, f"{d}/region.parquet", (".parquet",)).select("path"),
-    "s04_regular_files": lambda s, d: tree(s, d, (".parquet",), most=100_000).where("size_bytes > 0").select(F.regexp_replace("path", r"\.parquet.*$", "").alias("name")).distinct(),
+    "s04_regular_files": _cached,
     "s09_analysis_sheets": lambda s, d: sheets(_sheets(s, d), "static_").groupBy("sheet").agg(F.count(F.lit(1)).alias("n")),
     "s10_renamed_columns": lambda s, d: _sheets(s, d).withColumnsRenamed({"cell": "Feedback"}).select("row_id", scalars.filled(F.col("Feedback"), "APPROVE").alias("Action")),
     "s11_static_titles": lambda s, d: sheets(_sheets(s, d), "static_").where("sheet <> 'Analysis' and cell is not null").select("title").distinct(),

@@ -36,3 +36,25 @@ def test_rollup_runs_again_without_counting_twice(spark, tmp_path):
             telemetry.rollup(telemetry.event_stream(spark, str(tmp_path / "events")), str(tmp_path / "roll"))
         got = telemetry.report(spark, str(tmp_path / "roll")).collect()
         assert [(r["n"], r["last_event"]) for r in got] == [(3 * part, 10 * part + 2)]
+
+
+def test_what_a_scan_passes_over_is_never_opened(spark, tmp_path):
+    """A file too large for any row lies in a pruned folder and under a suffix that is not asked for; names with blanks and signs come back as they are."""
+    from quarry.sources import scan
+
+    top = tmp_path / "a b"
+    for name, text in (("rtl/m+1 %41.sv", "module m;\r\nendmodule"), ("z.v", b"\xff ok"), ("rtl/e.sv", "e"), ("rtl/skip_tb.sv", "x"), ("build/y.sv", "x"), ("n.md", "x")):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    for name in (".git/huge.sv", "huge.bin", "build/huge.v"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        with open(top / name, "wb") as f:
+            f.truncate(3 << 30)
+    got = scan.tree(spark, str(top), globs=("*_tb.sv",))
+    assert sorted(map(tuple, got.collect())) == [("rtl/e.sv", "e", 1), ("rtl/m+1 %41.sv", "module m;\nendmodule", 20), ("z.v", " ok", 4)]
+    assert sorted(r["path"] for r in scan.names(spark, str(top), (), ()).collect()) == sorted(["rtl/m+1 %41.sv", "z.v", "rtl/e.sv", "rtl/skip_tb.sv", "build/y.sv", "n.md", "huge.bin", "build/huge.v"])
+    assert [r["path"] for r in scan.tree(spark, str(top), most=2).orderBy("path").collect()] == ["rtl/e.sv", "rtl/m+1 %41.sv"]
+    assert scan.tree(spark, str(top), most=0).count() == 0
+    assert [r["path"] for r in scan.tree(spark, str(top / "z.v")).collect()] == ["z.v"]
+    cached = spark.createDataFrame([("z.v", 1), ("gone.v", 2), ("rtl", 3), ("rtl/e.sv", 4)], "path string, digest int")
+    assert sorted(r["path"] for r in scan.regular(cached, spark, str(top)).collect()) == ["rtl/e.sv", "z.v"]
