@@ -48,10 +48,11 @@ def docs():
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"block_words": 50}, {"task_windows": 30}, {"task_windows": 1}, {"best": 5}])
+@pytest.mark.parametrize("how", [{}, {"block_words": 50}, {"common": 40}, {"common": 0}, {"best": 5}])
 def test_mining_equals_a_plain_count(spark, docs, how, monkeypatch):
     monkeypatch.setattr(phrases, "ROW_TOKENS", 100)
     monkeypatch.setattr(phrases, "RANKED", 50)
+    monkeypatch.setattr(phrases, "PART_BYTES", 10_000)
     df = spark.createDataFrame(docs, DOCS).repartition(3).withColumns({c: F.lit("x") for c in ("word", "n", "block", "a", "phrase", "words")})
     got = phrases.mine(df, least=6, **how)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -75,7 +76,7 @@ def test_scores_beyond_64_bits(spark):
     a, n = 3 * 10**11 + 7, 9 * 10**13 + 1
     found = spark.createDataFrame([([1, 2, 3], a, n, "en"), ([4, 5], 100, 10**15, "en")], "words array<long>, a long, n long, lang string")
     sizes = {(1,): a + 5, (2, 3): a + 9, (1, 2): a + 9, (3,): a + 5, (4,): 10**14, (5,): 10**12}
-    counts = spark.createDataFrame([([*k], v) for k, v in sizes.items()], "words array<long>, a long")
+    counts = spark.createDataFrame([("en", [*k], v) for k, v in sizes.items()], "lang string, words array<long>, a long")
     got = {tuple(r["words"]): r for r in phrases.cut_scores(found, counts).collect()}
     assert got[1, 2, 3]["score"] == 1000 * a * n // ((a + 5) * (a + 9)) and (got[1, 2, 3]["l"], got[1, 2, 3]["r"]) == (a + 5, a + 9)
     assert got[4, 5]["score"] == 0
