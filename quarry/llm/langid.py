@@ -113,9 +113,12 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 yield pd.DataFrame({"lang": lang, "gram": keys, "n": [*counts.values(), *seen.values()]})
 
     rows = picked.mapInPandas(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(have)
-    at = {x: i for i, x in enumerate(langs)}
+    # A language none of whose sampled texts has a letter teaches nothing, and is not predicted.
     is_script = rows["gram"].str.startswith("script ")
+    langs = sorted(set(rows["lang"][~is_script]))
+    if not langs:
+        return Model([], [], {}, np.zeros(0))
+    at = {x: i for i, x in enumerate(langs)}
     used: list[set[str]] = [set() for _ in langs]
     for lang, g in zip(rows["lang"][is_script], rows["gram"][is_script], strict=True):
         used[at[lang]].add(g.removeprefix("script "))

@@ -49,7 +49,7 @@ _OP = re.compile(r"[:=]")
 _NAME = r"[A-Za-z_$][\w$.-]*"
 _LEFT = re.compile(rf"""(?:(?P<bare>{_NAME})|(?P<quote>["'])(?P<quoted>[^"'\n]+)(?P=quote)|\[[ \t]*["'](?P<item>[^"'\n]+)["'][ \t]*\])(?P<kind>[ \t]*:[ \t]*[A-Za-z_][\w.\[\]<>]*)?[ \t]*$""")
 _TERM = re.compile(rf"""[ \t]*(?:[bBrRfFuUL@]{{0,2}}(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`\n]*)`)|\$\{{(?P<brace>\w+)[^}}\n]*\}}|\$(?P<dollar>\w+)|(?P<ref>{_NAME})(?=[ \t]*(?:[+;,)\]}}\n]|$))|(?P<bare>[^\s"'`,;)\]}}]+))""")
-_JOIN = re.compile(r"[ \t]*(?:\+|&)(?:\s|\\\r?\n)*(?=[\"'`$A-Za-z_(\[])|[ \t]*\.\.?[ \t]*(?=[\"'`$A-Za-z_])|\s*\n\s*(?:\+|&|\.\.?)[ \t]*(?=[\"'`])|[ \t]*(?:\\\r?\n[ \t]*)?(?=[\"'])")
+_JOIN = re.compile(r"[ \t]*(?:\+|&)(?:\s|\\\r?\n)*(?=[\"'`$A-Za-z_(\[])|[ \t]*\.\.?[ \t]*(?=[\"'`$A-Za-z_])|[^\S\n]*\n\s*(?:\+|&|\.\.?)[ \t]*(?=[\"'`])|[ \t]*(?:\\\r?\n[ \t]*)?(?=[\"'])")
 _SKIP = re.compile(r"(?:[ \t]|\\\r?\n)*(?:\r?\n\s*(?=[bBrRfFuUL@]{0,2}[\"'`]|[(\[{]))?")
 _OPEN = re.compile(r"(?:new[ \t]+|await[ \t]+)*(?:\[\])?(?:[A-Za-z_$][\w$.:]*(?:<[^>\n]*>)?(?:\[\])?!?)?[ \t]*(?P<open>[(\[{])")
 _CHAIN = re.compile(r"\s*\.[ \t]*(?=[A-Za-z_]\w*\()")
@@ -107,15 +107,43 @@ class Brackets:
                 self.strings.append((m.start(), *m.span(m.lastgroup)))
         self.starts = [x[0] for x in self.strings]
 
-    def values(self, a: int, b: int) -> list[tuple[int, int]]:
-        """Literals between two places, without keys of look-ups and objects and values of harmless names."""
-        out = []
-        for start, i, j in self.strings[bisect_left(self.starts, a) : bisect_left(self.starts, b)]:
-            before = self.text[max(a - 32, start - 64, 0) : start]
+    def any_in(self, a: int, b: int) -> bool:
+        return bisect_left(self.starts, b) > bisect_left(self.starts, a)
+
+    def values(self, ranges: set[tuple[int, int]]) -> list[Pair]:
+        """A pair for each range: the literals in it that no range within it holds, and references to those next within it.
+
+        Ranges lie within each other or apart, so one pass over ranges and
+        literals finds the innermost range of each. Keys of look-ups and objects
+        and values of harmless names are left out.
+        """
+        order = sorted(ranges, key=lambda r: (r[0], -r[1]))
+        own: dict[tuple[int, int], list[tuple[int, int]]] = {r: [] for r in order}
+        within: dict[tuple[int, int], list[str]] = {r: [] for r in order}
+        held: list[tuple[int, int]] = []
+        k = 0
+        for start, i, j in self.strings:
+            while k < len(order) and order[k][0] <= start:
+                while held and held[-1][1] <= order[k][0]:
+                    held.pop()
+                if held:
+                    within[held[-1]].append(bracket_name(*order[k]))
+                held.append(order[k])
+                k += 1
+            while held and held[-1][1] <= start:
+                held.pop()
+            if not held:
+                continue
+            before = self.text[max(held[-1][0] - 32, start - 64, 0) : start]
             inner = _INNER.search(before)
             if not _KEYED.search(before) and not _COLON.match(self.text, j) and not (inner and name_score(inner[1]) < 0):
-                out += _lines(self.text, i, j)
-        return out
+                own[held[-1]] += _lines(self.text, i, j)
+        return [Pair(bracket_name(*r), tuple(own[r]), tuple(within[r])) for r in order]
+
+
+def bracket_name(a: int, b: int) -> str:
+    """What stands for a bracket among names; it has no word in it, and so no score of its own."""
+    return f"\0{a}:{b}"
 
 
 _COLON = re.compile(r"""["'`]\s*(?::|=>)""")
@@ -182,7 +210,7 @@ def _left_name(text: str, line: int, i: int) -> str | None:
 def pairs(text: str) -> list[Pair]:
     """The name-literal pairs of a text, in order."""
     out: list[Pair] = []
-    brackets = None
+    brackets, ranges = None, set()
     line = last = 0
     for m in _OP.finditer(text):
         i, j = m.start(), m.end()
@@ -220,9 +248,9 @@ def pairs(text: str) -> list[Pair]:
             if head := _OPEN.match(text, here):
                 brackets = brackets or Brackets(text)
                 end = brackets.close.get(head.start("open"))
-                inside = brackets.values(here, end) if end else []
-                if end and (inside or bisect_left(brackets.starts, end) > bisect_left(brackets.starts, here)):
-                    literals += inside
+                if end and brackets.any_in(here, end):
+                    ranges.add((here, end))
+                    refs.append(bracket_name(here, end))
                     more = _CHAIN.match(text, end + 1) or _JOIN.match(text, end + 1)
                     if not more:
                         break
@@ -249,6 +277,8 @@ def pairs(text: str) -> list[Pair]:
             at = more.end()
         if literals or refs:
             out.append(Pair(name, tuple(literals), tuple(refs)))
+    if ranges:
+        out += brackets.values(ranges)
     if "(" in text:
         out += [Pair(m["name"], (m.span("value"),), ()) for m in _CALL.finditer(text) if name_score(m["name"]) > 0]
     if "-" in text:
