@@ -31,17 +31,29 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return elements.select("record").unionByName(objects(rest).select("record"))
 
 
-def write_ndjson(records: DataFrame, path: str, keep: Column | None = None) -> dict[str, int]:
-    """Write the rows that keep holds for; counts of all, written and skipped rows come from the same pass."""
+def write_ndjson(records: DataFrame, path: str, keep: Column | None = None, transform: dict[str, Column] | None = None) -> dict[str, int]:
+    """Write the rows that keep holds for, with columns replaced or added as told; counts of all, written and skipped rows come from the same pass."""
     keep = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    mark = "_keep"
+    while mark in records.columns or mark in (transform or {}):
+        mark = "_" + mark
     seen = Observation()
-    marked = records.select("*", keep.alias("_keep"))
-    marked = marked.observe(seen, F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("_keep"), 1)).alias("written"))
-    marked.where("_keep").drop("_keep").write.mode("overwrite").json(path)
+    marked = records.withColumn(mark, keep).observe(seen, F.count(F.lit(1)).alias("total"), F.count(F.when(keep, 1)).alias("written"))
+    marked.where(F.col(mark)).drop(mark).withColumns(transform or {}).write.mode("overwrite").json(path)
     n = seen.get
     return {"total": n["total"], "written": n["written"], "skipped": n["total"] - n["written"]}
 
 
+def split_lines(lines: DataFrame, schema: str, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Lines as records of the schema, and the lines that are none: broken ones, those that hold no object, and those with a field of another kind. Blank lines are neither."""
+    wide = f"{schema}, _bad string"
+    some = lines.where(F.trim(line) != "")
+    parsed = some.withColumn("_record", F.from_json(line, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), F.lit(False))
+    bad = ~is_object | F.col("_record").isNull() | F.col("_record._bad").isNotNull()
+    return parsed.where(~bad).select("_record.*").drop("_bad"), parsed.where(bad).select(line)
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     e, m = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id") % 5
     line = F.when(m == 0, F.col("props")).when(m == 1, "  ").when(m == 2, '{"k": ').when(m == 3, "[1, 2]").otherwise(F.concat(F.lit(" "), "props"))
