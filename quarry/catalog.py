@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import paths
-from .operators import budget, corpus, facts, graphs, matching, patches, records, retrieval, rules, store, trees
+from .operators import budget, corpus, facts, graphs, integrity, matching, patches, records, retrieval, rules, store, trees
 from .plans import design, telemetry
 from .plans.relations import RELATIONS
 from .plans.sqlkit import expand, spark_query
@@ -17,7 +17,7 @@ from .streaming import telemetry as streams
 SQL = {name: expand(sql, RELATIONS) for part in (telemetry.S, design.S) for name, sql in part.items()}
 
 
-_PARTS = (facts, rules, graphs, trees, store, matching, budget, patches, scan, records, retrieval, paths, ndjson, sinks, streams)
+_PARTS = (facts, rules, graphs, trees, store, matching, budget, integrity, patches, scan, records, retrieval, paths, ndjson, sinks, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
