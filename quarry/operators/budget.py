@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..staging import new_folder, staged
 
 #: Letters that the head and the foot of a context take, beside its own lines.
 FRAME = 105
-MANIFEST = "batch long, state string, rows long, bad long"
+MANIFEST = "batch long, state string, rows long, bad long, attempt string"
 
 
 def running(rows: DataFrame, order: str, value: Column, name: str, by: tuple[str, ...] = (), width: int = 10_000) -> DataFrame:
@@ -63,23 +65,31 @@ def batched(docs: DataFrame, key: str, size: int = 500) -> DataFrame:
     return running(docs, key, F.lit(1).cast("long"), "_place").withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
 
 
-def ingest(table: str, manifest: KeyedTable, docs: DataFrame, valid: Column, token: str) -> dict[str, int]:
+def ingest(folder: str, manifest: KeyedTable, docs: DataFrame, valid: Column) -> dict[str, int]:
     """Write batches (docs with ``batch``) that are not done yet; a batch with a document that is not valid fails whole, and the others stand.
 
-    The manifest has each batch's state and rows. A retry, with the same or with
-    mended documents, takes up only those that are not done.
+    The manifest has each batch's state and rows, and the attempt that wrote it.
+    A retry, with the same or with mended documents, takes up only those that are
+    not done; what an attempt wrote before it broke off is never read.
     """
     done = manifest.read().where("state = 'done'").select("batch")
     rest = staged(docs.join(done, "batch", "left_anti").withColumn("_valid", F.coalesce(valid, F.lit(False))), "ingest")
     states = rest.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(~F.col("_valid"), 1)).alias("bad")).withColumn("state", F.when(F.col("bad") > 0, "failed").otherwise("done"))
     states = staged(states, "ingest-states")
+    attempt = uuid.uuid4().hex
     good = rest.join(states.where("state = 'done'").select("batch"), "batch", "left_semi").drop("_valid")
-    good.write.mode("overwrite").parquet(f"{table}/token={token}")
-    manifest.merge(states, token)
+    good.write.parquet(f"{folder}/attempt={attempt}")
+    manifest.merge(states.withColumn("attempt", F.lit(attempt)), attempt)
     n = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {"done": n.get("done", 0), "failed": n.get("failed", 0)}
 
 
+def ingested(folder: str, manifest: KeyedTable) -> DataFrame:
+    """The documents of the batches that are done, each from the attempt that wrote it."""
+    done = manifest.read().where("state = 'done'").select("batch", "attempt")
+    return manifest.spark.read.parquet(folder).join(done, ["batch", "attempt"], "left_semi").drop("attempt")
+
+
 def _items(s: SparkSession, d: str) -> DataFrame:
     li = s.read.parquet(f"{d}/lineitem.parquet")
     return li.select(F.col("l_orderkey").alias("chunk"), (F.col("l_suppkey") % 4).cast("int").alias("section"), ((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 64 + F.col("l_quantity").cast("long")).alias("place"), F.col("l_quantity").cast("long").alias("size"), (3 + F.col("l_suppkey") % 4).alias("head"))
@@ -97,15 +107,15 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
     v = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.size("embedding").alias("width"))
     table, manifest = new_folder(s, "vectors"), KeyedTable(s, new_folder(s, "manifest"), MANIFEST, ("batch",), buckets=2)
     first = batched(v.withColumn("width", F.when(F.col("vec_id") % 97 == 5, 3).otherwise(F.col("width"))), "vec_id", 60)
-    ingest(table, manifest, first, F.col("width") == 64, "first")
+    ingest(table, manifest, first, F.col("width") == 64)
     mended = batched(v.withColumn("width", F.when(F.col("vec_id") % 194 == 5, 3).otherwise(F.col("width"))), "vec_id", 60)
     for _ in range(2):
-        ingest(table, manifest, mended, F.col("width") == 64, "second")
-    stored = s.read.parquet(table).groupBy("batch").agg(F.count(F.lit(1)).alias("stored"))
+        ingest(table, manifest, mended, F.col("width") == 64)
+    stored = ingested(table, manifest).groupBy("batch").agg(F.count(F.lit(1)).alias("stored"))
     return manifest.read().join(stored, "batch", "left").select("batch", "state", "rows", "bad", F.coalesce("stored", F.lit(0)).alias("stored"))
 
 
-QUERIES = {"w10_sections": lambda s, d: sections(_items(s, d), 75, 15), "w10_running": _running, "v06_batches": _ingest}
+QUERIES = {"w10_sections": lambda s, d: sections(_items(s, d), 75, 15), "w10_running": _running, "v06_batch_ingest": _ingest}
 ORACLE = {
     # Section by section: the sum of a section's items from its first on, cut where it passes what is left.
     "w10_sections": """
@@ -116,7 +126,7 @@ ORACLE = {
           FROM s WHERE s.section < 3 AND s.used < 60 AND EXISTS (SELECT 1 FROM i WHERE i.chunk = s.chunk AND i.section = s.section))
         SELECT s.chunk, s.section::INT AS section, o.place, s.used + o.upto AS used FROM s JOIN own o ON o.chunk = s.chunk AND o.section = s.section AND s.used + o.upto <= 60 WHERE s.used < 60""",
     "w10_running": "SELECT source, doc_id, before FROM (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) WHERE before + n_chars <= 60000",
-    "v06_batches": """
+    "v06_batch_ingest": """
         WITH v AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 60 AS batch FROM embeddings),
         b AS (SELECT batch, count(*) AS rows, count(*) FILTER (vec_id % 97 = 5) AS one, count(*) FILTER (vec_id % 194 = 5) AS two FROM v GROUP BY batch)
         SELECT batch, CASE WHEN two > 0 THEN 'failed' ELSE 'done' END AS state, rows, two AS bad, CASE WHEN two > 0 THEN 0 ELSE rows END AS stored FROM b""",

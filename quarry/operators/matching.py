@@ -73,12 +73,12 @@ def _globs(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "j22_globs": lambda s, d: fitting(corpus.files(s, d).select(F.col("path").alias("text")), _globs(s, d)),
     "f26_named_targets": lambda s, d: contained(corpus.files(s, d).select(F.col("path").alias("text")), s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("needle"))),
-    "j21_file_names": lambda s, d: contained(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("text")), s.read.parquet(f"{d}/part.parquet").select(F.element_at(F.split("p_type", " "), 1).alias("needle"))),
+    "j21_file_names": lambda s, d: contained(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("text")), s.read.parquet(f"{d}/part.parquet").select(F.element_at(F.split("p_name", " "), -1).alias("needle"))),
 }
 ORACLE = {
     "j22_globs": """
         WITH g AS (SELECT DISTINCT ['rtl/m' || n_nationkey || '*.sv', '*' || n_nationkey || '.v', 'inc/h?[02468].vh', 'pkg/p+(x)' || n_nationkey || '*', '[!rt]*/*[0-4]?.*v*', '*_tb.sv', 'rtl/[*' || n_nationkey][n_nationkey % 7 + 1] AS glob FROM nation)
         SELECT DISTINCT f.path AS text, g.glob FROM f_path f, g WHERE CASE WHEN g.glob LIKE 'rtl/[*%' THEN false ELSE f.path GLOB g.glob END""",
     "f26_named_targets": "SELECT DISTINCT f.path AS text, 'm' || n.n_nationkey AS needle FROM f_path f, nation n WHERE contains(f.path, 'm' || n.n_nationkey)",
-    "j21_file_names": "SELECT DISTINCT a.p_name AS text, b.needle FROM part a, (SELECT DISTINCT string_split(p_type, ' ')[1] AS needle FROM part) b WHERE contains(a.p_name, b.needle)",
+    "j21_file_names": "SELECT DISTINCT a.p_name AS text, b.needle FROM part a, (SELECT DISTINCT string_split(p_name, ' ')[-1] AS needle FROM part) b WHERE contains(a.p_name, b.needle)",
 }
