@@ -36,6 +36,48 @@ def split_files(patches: DataFrame) -> DataFrame:
     return patches.select("patch_id", "patch").mapInPandas(run, "patch_id long, path string, dialect string, patch string")
 
 
+# Headers of one file's part in patches of several.
+_TRIPLE, _QUAD = r"^===\s+(.+?)\s+[\x{2014}\-]+\s+(.+)$", r"^====\s+(.+?)\s+[\x{2014}\-]+\s+(.+?)\s*={0,4}$"
+_GIT, _PLAIN = r"^diff\s+--git\s+a/(.+?)\s+b/(.+)$", r"^diff\s+(?:-\S+\s+)*([^\s-]\S*)\s+(\S+)$"
+_MINUS, _PLUS = r"^---\s+(?:a/)?(.+?)(?:\t.*)?$", r"^\+\+\+\s+(?:b/)?(.+?)(?:\t.*)?$"
+_META = r"^(---|\+\+\+|index |old mode|new mode|new file|deleted file)"
+
+
+def entries(patches: DataFrame) -> DataFrame:
+    """(patch_id, entry, dialect, server, local, body): the files of patches of several, in order.
+
+    The kind of the first header decides how a text is cut: at lines of three or
+    of four equal signs, or at ``diff`` lines; lines of minus and plus signs that
+    name files begin a part only before the first ``diff`` line. After that they,
+    with other lines about the file, belong to the header, and the plus line's
+    name is the local one. Parts without a body, and texts without a header, give
+    nothing.
+    """
+    lines = patches.select("patch_id", F.posexplode(F.split(F.regexp_replace("patch", "\r\n", "\n"), "\n", -1)).alias("at", "line"))
+    by = Window.partitionBy("patch_id").orderBy("at")
+    up_to = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line, after = F.col("line"), F.col("after")
+    kind = F.when(line.rlike(_QUAD), "quad").when(line.rlike(_TRIPLE), "triple").when(line.rlike(_GIT), "git").when(line.rlike(_PLAIN), "plain").when(line.rlike(_MINUS) & F.coalesce(after.rlike(_PLUS), F.lit(False)), "unified")
+    x = lines.withColumn("after", F.lead("line").over(by)).withColumn("kind", kind)
+    family = F.when(F.col("kind").isin("quad", "triple"), F.col("kind")).when(F.col("kind").isNotNull(), "diff")
+    x = x.withColumns({"family": F.first(family, ignorenulls=True).over(Window.partitionBy("patch_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "own": family})
+    diffs_so_far = F.count(F.when(F.col("kind").isin("git", "plain"), 1)).over(up_to)
+    x = x.withColumn("head", (F.col("own") == F.col("family")) & ((F.col("kind") != "unified") | (diffs_so_far == 0)))
+    x = x.withColumn("head", F.coalesce("head", F.lit(False))).withColumn("entry", F.count(F.when(F.col("head"), 1)).over(up_to)).where("entry > 0")
+    part = Window.partitionBy("patch_id", "entry").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("dialect", F.first("kind").over(part))
+    # Lines about the file follow its header without a break; a pair of names is its header's own second line.
+    about = ~F.col("head") & (F.col("dialect").isin("git", "plain") & line.rlike(_META) | (F.col("dialect") == "unified") & line.rlike(_PLUS) & F.lag("head").over(by))
+    x = x.withColumn("about", about).withColumn("lead_in", F.sum(F.when(F.col("head") | F.col("about"), 0).otherwise(1)).over(part) == 0)
+    pick = lambda i: F.when(F.col("dialect") == "quad", F.regexp_extract("line", _QUAD, i)).when(F.col("dialect") == "triple", F.regexp_extract("line", _TRIPLE, i)).when(F.col("dialect") == "git", F.regexp_extract("line", _GIT, i)).when(F.col("dialect") == "plain", F.regexp_extract("line", _PLAIN, i)).otherwise(F.regexp_extract("line", _MINUS, 1))
+    named = F.max(F.when(F.col("lead_in") & line.rlike(_PLUS), F.struct("at", F.regexp_extract("line", _PLUS, 1).alias("name"))))
+    out = x.groupBy("patch_id", "entry").agg(
+        F.first("dialect").alias("dialect"), F.max(F.when(F.col("head"), F.trim(pick(1)))).alias("server"), F.coalesce(named["name"], F.max(F.when(F.col("head"), F.trim(pick(2))))).alias("local"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("lead_in"), F.struct("at", "line")))), lambda r: r["line"]), "\n").alias("body"),
+    )
+    return out.withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).where("body <> ''")
+
+
 def patched(files: DataFrame, patches: DataFrame) -> DataFrame:
     """(file_id, source, fixed): the sources with their patches applied; null where a patch does not fit."""
 
@@ -184,7 +226,25 @@ def _many(s: SparkSession, d: str) -> DataFrame:
     return corpus.files(s, d).where("file_id % 8 = 1").select(k.alias("patch_id"), F.concat_ws("\n", head(F.lit("x/one.v")), F.lit("@@ -1 +1 @@"), F.lit("-a"), F.lit("+b"), head(F.lit("y/two.v")), F.lit("@@ -2 +2 @@"), F.lit("-c"), F.lit("+d")).alias("patch"))
 
 
+def _dialects(s: SparkSession, d: str) -> DataFrame:
+    """Patches of two files each by the number of a part, in the five dialects, some with a path with a blank, without a body or without a header."""
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    name = F.when(k % 7 == 0, F.concat(F.lit("rtl/a b"), n, F.lit(".v"))).otherwise(F.concat(F.lit("rtl/m"), n, F.lit(".v")))
+    one, two = name, F.concat(F.lit("y/"), n, F.lit(".sv"))
+    t = lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x])
+    forms = [
+        lambda p: t("=== //depot/", p, " \u2014 ", p), lambda p: t("==== //depot/", p, "#3 - ", p, " ===="), lambda p: t("diff --git a/old/", p, " b/", p, "\nindex 12..34\n--- a/old/", p, "\n+++ b/new/", p, "\t2024"),
+        lambda p: t("diff -u -r ", F.replace(p, F.lit(" "), F.lit("_")), ".orig ", F.replace(p, F.lit(" "), F.lit("_"))), lambda p: t("--- a/", p, "\t2024\n+++ b/", p),
+    ]
+    head = lambda p: F.element_at(F.array(*[f(p) for f in forms]), (k % 5 + 1).cast("int"))
+    body = lambda i: t(f"@@ -{i} +{i} @@\n-a", n, "\n+b", n)
+    text = F.when(k % 11 == 0, body(1)).otherwise(t("note\n", head(one), F.when(k % 13 == 0, "\n  ").otherwise(t("\n", body(1))), "\r\n", head(two), "\n", body(2), "\n"))
+    return s.read.parquet(f"{d}/part.parquet").select(k.alias("patch_id"), text.alias("patch"))
+
+
 QUERIES = {
+    "s22_patch_entries": lambda s, d: entries(_dialects(s, d)),
     "x18_hunks": lambda s, d: _h(s, d).select("file_id", "hunk", "old_start", "old_count", "new_start", "new_count", F.size("removed").alias("removed"), F.size("added").alias("added")),
     "s22_patch_files": lambda s, d: split_files(_many(s, d)).select("patch_id", "path", "dialect"),
     "w09_patch_offsets": lambda s, d: offsets(_h(s, d)),
@@ -218,6 +278,13 @@ def _lengths(s: SparkSession, d: str) -> DataFrame:
 _R = "part WHERE p_partkey % 8 < 4"
 _F = "(SELECT p_partkey AS file_id, u.line FROM part, (VALUES (5), (9), (20), (24), (30)) u(line) WHERE p_partkey % 8 < 4)"
 ORACLE = {
+    "s22_patch_entries": """
+        WITH p AS (SELECT p_partkey AS k, p_partkey % 5 AS f, CASE WHEN p_partkey % 7 = 0 THEN 'rtl/a b' ELSE 'rtl/m' END || p_partkey || '.v' AS one, 'y/' || p_partkey || '.sv' AS two FROM part WHERE p_partkey % 11 <> 0),
+        e AS (SELECT k, f, 1 AS entry, one AS path FROM p WHERE k % 13 <> 0 UNION ALL SELECT k, f, 2, two FROM p)
+        SELECT k AS patch_id, entry::BIGINT AS entry, ['triple', 'quad', 'git', 'plain', 'unified'][(f + 1)::INT] AS dialect,
+          CASE f WHEN 0 THEN '//depot/' || path WHEN 1 THEN '//depot/' || path || '#3' WHEN 2 THEN 'old/' || path WHEN 3 THEN replace(path, ' ', '_') || '.orig' ELSE path END AS server,
+          CASE f WHEN 2 THEN 'new/' || path WHEN 3 THEN replace(path, ' ', '_') ELSE path END AS local,
+          '@@ -' || entry || ' +' || entry || ' @@' || chr(10) || '-a' || k || chr(10) || '+b' || k AS body FROM e""",
     "x18_hunks": f"SELECT p_partkey AS file_id, 1 AS hunk, 9 AS old_start, 2 AS old_count, 9 AS new_start, 1 AS new_count, 1 AS removed, 0 AS added FROM {_R} UNION ALL SELECT p_partkey, 2, 24, 3, 23, 4, 1, 2 FROM {_R}",
     "s22_patch_files": "SELECT p_partkey AS patch_id, u.path, ['git', 'index', 'equals', 'context', 'unified'][(p_partkey % 5 + 1)::INT] AS dialect FROM part, (VALUES ('x/one.v'), ('y/two.v')) u(path) WHERE p_partkey % 8 = 1",
     "w09_patch_offsets": f"SELECT p_partkey AS file_id, 1 AS hunk, 0 AS shift FROM {_R} UNION ALL SELECT p_partkey, 2, -1 FROM {_R}",

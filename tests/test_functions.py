@@ -128,3 +128,24 @@ def test_analyzers_are_registered(spark):
     assert [tuple(r) for r in records.analyze(files, ["mine"]).collect()] == [("mine", 1, "M1", "low")]
     del records.ANALYZERS["mine"]
     assert records.analyze(files, []).count() == 0
+
+
+def test_patches_of_several_files(spark):
+    """Each dialect's parts, names with blanks, and pairs of names that belong to the header before them."""
+    from quarry.operators import patches
+
+    texts = [
+        "=== //d/x y.v - x y.v\n@@ -1 +1 @@\n-a\n+b\n==== //d/no - no ====\n c\n=== q — r\n@@ -2 +2 @@",
+        "==== //d/z.v#3 - z w.v ====\nbody\n=== not - here\n",
+        "diff --git a/p q.v b/p q.v\nnew file mode 1\n--- /dev/null\n+++ b/p q.v\n@@ -0,0 +1 @@\n+x\n--- a/inner\n+++ b/inner\nend\ndiff --git a/e b/e\nindex 1\n",
+        "--- a/one\n+++ b/one\n@@ -1 +1 @@\n--- gone\n+here\ndiff -ru a/two b/two\n--- a/two\n+++ b/second\n@@ -1 +1 @@\n",
+        "no header\n@@ -1 +1 @@", "", None, "diff\n--- alone\nx",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "patch_id long, patch string")
+    got = sorted((r["patch_id"], r["dialect"], r["server"], r["local"], r["body"]) for r in patches.entries(df).collect())
+    assert got == [
+        (0, "triple", "//d/x y.v", "x y.v", "@@ -1 +1 @@\n-a\n+b\n==== //d/no - no ====\n c"), (0, "triple", "q", "r", "@@ -2 +2 @@"),
+        (1, "quad", "//d/z.v#3", "z w.v", "body\n=== not - here"),
+        (2, "git", "p q.v", "p q.v", "@@ -0,0 +1 @@\n+x\n--- a/inner\n+++ b/inner\nend"),
+        (3, "plain", "a/two", "second", "@@ -1 +1 @@"), (3, "unified", "one", "one", "@@ -1 +1 @@\n--- gone\n+here"),
+    ]
