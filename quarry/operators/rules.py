@@ -10,11 +10,12 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import hdl_text, scalars
+from ..staging import staged
 from . import corpus, facts
 
 
@@ -296,6 +297,48 @@ def health(scores: DataFrame) -> DataFrame:
     return x.select(F.round("mean", 6).alias("mean"), F.round(score, 1).alias("score"), scalars.grade(F.round(score, 1)).alias("grade"))
 
 
+#: Advice by the least overall score that it holds for.
+ADVICE = ((90, "ready"), (75, "refine a little"), (60, "look at synthesis risks and lint"), (40, "mend crossings, missing values and quality first"), (0, "not fit for synthesis"))
+FAILING, ISSUES_EACH, ISSUES_IN_ALL = 60, 3, 10
+
+
+def health_report(scores: DataFrame, issues: DataFrame) -> DataFrame:
+    """(kind, name, value): each metric's grade and score, the overall score, the gates that hold it down, the issues that come first, and advice.
+
+    scores: (metric, score); issues: (metric, place, text). Of each metric below
+    FAILING the first ISSUES_EACH issues by place are taken, texts that repeat
+    count once, and the first ISSUES_IN_ALL by text are given.
+    """
+    row = lambda df, kind, name, value: df.select(F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    known = scores.where(F.col("metric").isin(*WEIGHTS))
+    out = row(known, "metric", F.concat_ws(" ", "metric", scalars.grade(F.col("score"))), F.col("score"))
+    total = health(scores)
+    out = out.unionByName(row(total, "overall", F.col("grade"), F.col("score"))).unionByName(row(total, "before gates", F.lit(None), F.round("mean", 1)))
+    gates = F.create_map(*[F.lit(x) for k, v in (("synthesis_risk", 50), ("lint", 40), ("quality", 40)) for x in (k, v)])
+    out = out.unionByName(row(scores.where(F.col("score") < F.element_at(gates, F.col("metric"))), "gate", F.col("metric"), F.col("score")))
+    first = issues.join(F.broadcast(scores.where(F.col("score") < FAILING).select("metric")), "metric")  # a row for each metric
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy("place", "text"))).where(F.col("r") <= ISSUES_EACH)
+    out = out.unionByName(row(first.select("text").distinct().orderBy("text").limit(ISSUES_IN_ALL), "issue", F.col("text"), F.lit(None)))
+    advice = F.lit(ADVICE[-1][1])
+    for least, text in reversed(ADVICE[:-1]):
+        advice = F.when(F.col("score") >= least, text).otherwise(advice)
+    return out.unionByName(row(total, "advice", advice, F.lit(None)))
+
+
+def issue_rows(f: DataFrame, files: DataFrame) -> DataFrame:
+    """(metric, place, text): what quality, lint and crossings find, by file and line."""
+    text = lambda rule, line: F.concat(rule, F.lit(" in file "), F.col("file_id").cast("string"), F.lit(" line "), line.cast("string"))
+    row = lambda df, metric, rule, line: df.select(F.lit(metric).alias("metric"), F.struct(F.col("file_id").alias("f"), line.cast("int").alias("l")).alias("place"), text(rule, line).alias("text"))
+    out = row(quality(files, f), "quality", F.col("rule"), F.col("line")).unionByName(row(by_line(files, LINT, skip_comments=True), "lint", F.col("rule"), F.col("line_no")))
+    return out.unionByName(row(crossings(f, files), "synthesis_risk", F.lit("crossing"), F.col("line")))
+
+
+def _health_report(s: SparkSession, d: str) -> DataFrame:
+    files = _f(s, d)
+    f = _kept(s, d)
+    return health_report(staged(all_scores(f, files), "scores"), issue_rows(f, files))
+
+
 #: The metrics' weights.
 WEIGHTS = {"synthesis_risk": 0.25, "lint": 0.20, "quality": 0.15, "maintainability": 0.15, "complexity": 0.10, "hierarchy": 0.05, "documentation": 0.05, "verification": 0.05}
 
@@ -350,6 +393,7 @@ QUERIES = {
     "a10_verification_score": lambda s, d: verification_score(_f(s, d)),
     "a11_synthesis_score": lambda s, d: synthesis_score(_kept(s, d), _f(s, d)),
     "a13_health": lambda s, d: health(all_scores(_kept(s, d), _f(s, d))),
+    "a13_health_report": _health_report,
     "a18_lint_score": lambda s, d: lint_score(_f(s, d)),
     "a46_distinct_clocks": lambda s, d: facts.blocks(facts.of(s, d)).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split("clocks", ","), lambda x: x != ""))))), ",").alias("clocks")),
 }
@@ -401,3 +445,13 @@ ORACLE = {
 }
 _SCORED = " UNION ALL ".join(f"SELECT '{k}' AS metric, score::DOUBLE AS score, {WEIGHTS[k]}::DOUBLE AS w FROM ({ORACLE[q]})" for k, q in (("quality", "a04_quality_score"), ("lint", "a18_lint_score"), ("synthesis_risk", "a11_synthesis_score"), ("documentation", "a09_documentation_score"), ("verification", "a10_verification_score"), ("complexity", "a05_complexity")))
 ORACLE["a13_health"] = f"WITH s AS ({_SCORED}), m AS (SELECT sum(score * w) / sum(w) AS mean, min(CASE WHEN metric = 'synthesis_risk' AND score < 50 THEN 45 WHEN metric = 'lint' AND score < 40 THEN 40 WHEN metric = 'quality' AND score < 40 THEN 50 ELSE 100 END) AS cap FROM s), r AS (SELECT round(mean, 6) AS mean, round(least(mean, cap), 1) AS score FROM m) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM r"
+ORACLE["a13_health_report"] = f"""
+    WITH s AS ({_SCORED}), g AS (SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s),
+    h AS ({ORACLE["a13_health"]}),
+    i AS (SELECT 'quality' AS metric, file_id, line, rule FROM ({_QUALITY}) UNION ALL SELECT 'lint', file_id, line_no, rule FROM ({_LINT}) UNION ALL SELECT 'synthesis_risk', file_id, line, 'crossing' FROM ({ORACLE["r05_crossings"]})),
+    t AS (SELECT metric, file_id, line, rule || ' in file ' || file_id || ' line ' || line AS text FROM i),
+    r AS (SELECT text, row_number() OVER (PARTITION BY metric ORDER BY file_id, line, text) AS r FROM t WHERE metric IN (SELECT metric FROM s WHERE score < 60))
+    SELECT 'metric' AS kind, metric || ' ' || grade AS name, score AS value FROM g UNION ALL SELECT 'overall', grade, score FROM h UNION ALL SELECT 'before gates', NULL, round(mean, 1) FROM h
+    UNION ALL SELECT 'gate', metric, score FROM s WHERE metric = 'synthesis_risk' AND score < 50 OR metric IN ('lint', 'quality') AND score < 40
+    UNION ALL (SELECT 'issue', text, NULL FROM (SELECT DISTINCT text FROM r WHERE r <= 3) ORDER BY text LIMIT 10)
+    UNION ALL SELECT 'advice', CASE WHEN score >= 90 THEN 'ready' WHEN score >= 75 THEN 'refine a little' WHEN score >= 60 THEN 'look at synthesis risks and lint' WHEN score >= 40 THEN 'mend crossings, missing values and quality first' ELSE 'not fit for synthesis' END, NULL FROM h"""
