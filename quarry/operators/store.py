@@ -108,6 +108,36 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return rate.withColumns({"total_tokens": F.col("prompt_tokens") + F.col("completion_tokens"), "micro_cost": cost.cast("long")}).drop("price_in", "price_out")
 
 
+def traceability(feedback: DataFrame, audit: DataFrame, fixes: DataFrame) -> DataFrame:
+    """feedback's rows with what became of them: ``fixer_status`` and ``lines_changed``, by (file, issue).
+
+    The audit's status counts, unless it has none or an empty one; then that of
+    the fixes; else PENDING. Of several rows of one file and issue the last by
+    ``at`` counts. Lines come from the audit alone, and are 0 without it. Nulls
+    in a file or issue are the empty text.
+    """
+    key = [F.coalesce(c, F.lit("")).alias(c) for c in ("file", "issue")]
+    last = lambda df, *c: df.select(*key, "at", *c).groupBy("file", "issue").agg(*[F.max_by(x, "at").alias(x) for x in c])
+    a = last(audit.withColumn("audit_status", F.coalesce("status", F.lit(""))), "audit_status", "lines_changed")
+    f = last(fixes.withColumn("fix_status", F.coalesce("status", F.lit(""))), "fix_status")
+    rows = feedback.withColumns({c: F.coalesce(c, F.lit("")) for c in ("file", "issue")})
+    out = rows.join(a, ["file", "issue"], "left").join(f, ["file", "issue"], "left")
+    status = F.when(F.col("audit_status") != "", F.col("audit_status")).otherwise(F.coalesce("fix_status", F.lit("PENDING")))
+    return out.withColumns({"fixer_status": status, "lines_changed": F.coalesce("lines_changed", F.lit(0))}).drop("audit_status", "fix_status")
+
+
+def call_detail(calls: DataFrame) -> DataFrame:
+    """calls with their place in their run by time, and the run's tokens and cost up to and including each, and in all."""
+    by = Window.partitionBy("run_id").orderBy("created_at", "call_id")
+    upto, all_ = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("run_id")
+    return calls.withColumns({"place": F.row_number().over(by), "tokens_so_far": F.sum("total_tokens").over(upto), "cost_so_far": F.sum("micro_cost").over(upto), "run_tokens": F.sum("total_tokens").over(all_), "run_cost": F.sum("micro_cost").over(all_)})
+
+
+def latency_counts(calls: DataFrame) -> DataFrame:
+    """(run_id, latency_ms, calls): how often each latency occurs in a run."""
+    return calls.groupBy("run_id", "latency_ms").agg(F.count(F.lit(1)).alias("calls"))
+
+
 # The star schema as telemetry.
 
 
@@ -192,9 +222,34 @@ def _appends(s: SparkSession, d: str) -> DataFrame:
     return appended(s, folder).select("call_id", "provider", "model", "total_tokens", "micro_cost")
 
 
-QUERIES = {"s26_run_lifecycle": _run_lifecycle, "a21_decision_merges": _decision_merges, "a22_rule_merges": _rule_merges, "a20_report_merges": _report_merges, "s25_appended_calls": _appends}
+def _trace(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = s.read.parquet(f"{d}/orders.parquet").select(k.alias("at"), F.when(k % 50 != 7, _text("f", F.col("o_custkey") % 150)).alias("file"), F.col("o_orderpriority").alias("issue"))
+    k = F.col("at")
+    audit = o.where("at % 3 = 0").withColumns({"status": F.element_at(F.array(F.lit(""), F.lit("FIXED"), F.lit("FAILED"), F.lit(None)), (k % 4 + 1).cast("int")), "lines_changed": (k % 30).cast("int")})
+    fixes = o.where("at % 5 = 0").withColumn("status", F.when(k % 2 == 0, "ok").otherwise("skipped"))
+    return traceability(o.where("at % 7 = 0").withColumnRenamed("at", "row_id"), audit, fixes)
+
+
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    e = s.read.parquet(f"{d}/events.parquet").where("event_type in ('purchase', 'click')")
+    i = F.col("event_id")
+    return e.select(i.alias("call_id"), _text("run-", F.col("user_id") % 40).alias("run_id"), F.col("ts").alias("created_at"), (i % 700).alias("total_tokens"), (i % 90 * 3).alias("micro_cost"), (i % 25 * 10).alias("latency_ms"))
+
+
+QUERIES = {"j20_feedback_trace": _trace, "a38_call_detail": lambda s, d: call_detail(_calls(s, d)).drop("created_at"), "a38_latency_counts": lambda s, d: latency_counts(_calls(s, d)), "s26_run_lifecycle": _run_lifecycle, "a21_decision_merges": _decision_merges, "a22_rule_merges": _rule_merges, "a20_report_merges": _report_merges, "s25_appended_calls": _appends}
 _COVER = "SELECT d.day AS report_date, s.kind AS report_type, {} FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) d, (VALUES ('daily', 1), ('weekly', 7)) s(kind, span), {} x WHERE x.day BETWEEN d.day - s.span::INT AND d.day GROUP BY ALL"
+_CALLS = "(SELECT event_id AS call_id, 'run-' || (user_id % 40) AS run_id, ts AS created_at, event_id % 700 AS total_tokens, event_id % 90 * 3 AS micro_cost, event_id % 25 * 10 AS latency_ms FROM events WHERE event_type IN ('purchase', 'click'))"
 ORACLE = {
+    "j20_feedback_trace": """
+        WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 <> 7 THEN 'f' || (o_custkey % 150) ELSE '' END AS file, o_orderpriority AS issue FROM orders),
+        a AS (SELECT file, issue, max(k) AS k FROM o WHERE k % 3 = 0 GROUP BY ALL), f AS (SELECT file, issue, max(k) AS k FROM o WHERE k % 5 = 0 GROUP BY ALL)
+        SELECT o.k AS row_id, o.file, o.issue, coalesce(a.k % 30, 0)::INT AS lines_changed,
+          CASE WHEN a.k % 4 = 1 THEN 'FIXED' WHEN a.k % 4 = 2 THEN 'FAILED' WHEN f.k % 2 = 0 THEN 'ok' WHEN f.k % 2 = 1 THEN 'skipped' ELSE 'PENDING' END AS fixer_status
+        FROM o LEFT JOIN a USING (file, issue) LEFT JOIN f USING (file, issue) WHERE o.k % 7 = 0""",
+    "a38_call_detail": f"""SELECT call_id, run_id, total_tokens, micro_cost, latency_ms, row_number() OVER w AS place, (sum(total_tokens) OVER w)::BIGINT AS tokens_so_far, (sum(micro_cost) OVER w)::BIGINT AS cost_so_far,
+          (sum(total_tokens) OVER (PARTITION BY run_id))::BIGINT AS run_tokens, (sum(micro_cost) OVER (PARTITION BY run_id))::BIGINT AS run_cost FROM {_CALLS} WINDOW w AS (PARTITION BY run_id ORDER BY created_at, call_id ROWS UNBOUNDED PRECEDING)""",
+    "a38_latency_counts": f"SELECT run_id, latency_ms, count(*) AS calls FROM {_CALLS} GROUP BY ALL",
     "s26_run_lifecycle": """
         WITH l AS (SELECT l_orderkey AS k, count(*)::INT AS issues_total, count(*) FILTER (l_returnflag = 'R')::INT AS issues_high, sum(l_quantity) AS duration_seconds, max(l_shipdate) AS finished_at FROM lineitem WHERE l_orderkey % 3 < 2 GROUP BY l_orderkey)
         SELECT 'run-' || o.o_orderkey AS run_id, ['analysis', 'fixer', 'patch'][(o.o_orderkey % 3 + 1)::INT] AS mode, CASE WHEN l.k IS NULL THEN 'started' WHEN l.k % 7 = 0 THEN 'failed' ELSE 'completed' END AS status, 'src/' || (o.o_orderkey % 20) AS codebase_path, l.finished_at,

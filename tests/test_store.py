@@ -80,3 +80,11 @@ def test_runs_end_once_and_only_if_they_began(spark, tmp_path):
     got = {r["run_id"]: r for r in t.read().collect()}
     assert set(got) == {"r1", "r2"} and got["r1"]["status"] == "completed" and got["r1"]["metadata"] == "m1" and got["r1"]["issues_total"] == 4 and got["r1"]["issues_low"] == 0
     assert got["r2"]["status"] == "started" and got["r2"]["finished_at"] is None
+
+
+def test_feedback_is_traced_to_what_became_of_it(spark):
+    feedback = spark.createDataFrame([("a.v", "x", "FIX"), ("a.v", "y", "FIX"), ("b.v", "x", "SKIP"), (None, "x", "FIX"), ("c.v", "x", "FIX")], "file string, issue string, action string")
+    audit = spark.createDataFrame([("a.v", "x", 1, "FAILED", 9), ("a.v", "x", 2, "FIXED", 4), ("a.v", "y", 1, "", 3), (None, "x", 1, None, 1)], "file string, issue string, at int, status string, lines_changed int")
+    fixes = spark.createDataFrame([("a.v", "x", 1, "ok"), ("a.v", "y", 1, "ok"), ("b.v", "x", 1, "skipped"), (None, "x", 5, "late")], "file string, issue string, at int, status string")
+    got = sorted((r["file"], r["issue"], r["fixer_status"], r["lines_changed"]) for r in store.traceability(feedback, audit, fixes).collect())
+    assert got == [("", "x", "late", 1), ("a.v", "x", "FIXED", 4), ("a.v", "y", "ok", 3), ("b.v", "x", "skipped", 0), ("c.v", "x", "PENDING", 0)]
