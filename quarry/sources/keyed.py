@@ -17,7 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import filesystem
+from ..staging import discard, filesystem, staged
 
 #: How a column of a row that is there already gets its value.
 NEW, FILL = "new", "fill"
@@ -76,7 +76,18 @@ class KeyedTable:
         # A partial aggregate: however often a key comes, few of its rows travel.
         rows = rows.groupBy(*self.keys).agg(F.max(whole).alias("_row")).select(*self.keys, "_row.*").drop("_latest")
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        rows = rows.withColumn("_bucket", bucket)
+        done = self.tokens()
+        if token in done:
+            return {"version": done[token], "inserted": 0, "updated": 0}
+        rows = staged(rows.withColumn("_bucket", bucket), "merge")
+        try:
+            return self._merge(rows, token, update, insert)
+        finally:
+            discard(rows)
+
+    def _merge(self, rows: DataFrame, token: str, update: dict[str, str], insert: bool) -> dict[str, int]:
+        names = [f.name for f in self.schema]
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         while True:
             base = self.version()
             done = self.tokens()
