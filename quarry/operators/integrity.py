@@ -25,6 +25,11 @@ def _found(files: DataFrame, pattern: str, *names: str) -> DataFrame:
     return files.select("file_id", F.explode(F.arrays_zip(*all_)).alias("x")).select("file_id", "x.*")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df as a join's side that is sorted and merged. Spark plans by the size of the files that names were made from, not by what comes out of texts, and would gather millions of names in the driver to broadcast them."""
+    return df.hint("merge")
+
+
 def code(files: DataFrame) -> DataFrame:
     """(file_id, code): texts without comments, for all detectors."""
     return files.select("file_id", rules.uncommented("source").alias("code"))
@@ -35,7 +40,7 @@ def out_of_range(c: DataFrame) -> DataFrame:
     ranges = _found(c, _RANGE, "name", "a", "b").select("file_id", "name", *[F.col(x).cast("decimal(38,0)").alias(x) for x in "ab"])
     ranges = ranges.select("file_id", "name", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
     index = _found(c, _INDEX, "name", "at").select("file_id", "name", F.col("at").cast("decimal(38,0)").alias("at")).distinct()
-    hits = index.join(ranges, ["file_id", "name"]).where((F.col("at") < F.col("low")) | (F.col("at") > F.col("high")))
+    hits = index.join(_shuffled(ranges), ["file_id", "name"]).where((F.col("at") < F.col("low")) | (F.col("at") > F.col("high")))
     return hits.select("file_id", "name", F.format_string("%s outside %s:%s", F.col("at").cast("string"), F.col("low").cast("string"), F.col("high").cast("string")).alias("detail"))
 
 
@@ -46,12 +51,12 @@ def unset_memories(c: DataFrame) -> DataFrame:
     # What stands before the last zero literal that is assigned, or before the last word of reset.
     before = F.array(F.regexp_extract("line", r"^(.*)=.*'0", 1), F.regexp_extract("line", r"^(.*)reset", 1))
     names = F.array_distinct(F.flatten(F.transform(before, lambda x: F.regexp_extract_all(x, F.lit(r"\w+"), F.lit(0)))))
-    return memories.join(lines.select("file_id", F.explode(names).alias("name")).distinct(), ["file_id", "name"], "left_anti")
+    return memories.join(_shuffled(lines.select("file_id", F.explode(names).alias("name")).distinct()), ["file_id", "name"], "left_anti")
 
 
 def driven_inouts(c: DataFrame) -> DataFrame:
     """(file_id, name): inout ports without an assignment that can let go of the wire."""
-    return _found(c, _INOUT, "name").distinct().join(_found(c, _TRISTATE, "name").distinct(), ["file_id", "name"], "left_anti")
+    return _found(c, _INOUT, "name").distinct().join(_shuffled(_found(c, _TRISTATE, "name").distinct()), ["file_id", "name"], "left_anti")
 
 
 def findings(files: DataFrame) -> DataFrame:
