@@ -619,6 +619,19 @@ def test_a_link_found_from_one_end_counts_for_both(spark, monkeypatch):
     assert all(both[i] <= got[i] <= links[i] for i in range(240))
 
 
+def test_links_come_in_bounded_blocks(monkeypatch):
+    """Many links of each vector, a few of some and none of others: no block holds them all, and together they are those of brute force."""
+    monkeypatch.setattr(vectors, "PAIRS", 2000)
+    rng = np.random.default_rng(4)
+    x = vectors.unit(np.vstack([np.repeat(rng.normal(size=(2, 16)), 150, 0) + 0.05 * rng.normal(size=(300, 16)), rng.normal(size=(300, 16))]))[rng.permutation(600)]
+    g, want = hnsw.Graph.build(x.astype(np.float32)), set(zip(*np.nonzero(x @ x.T >= 0.9), strict=True))
+    blocks = list(vectors.brute(x, x))
+    assert {p for _, _, q, y in blocks for p in zip(q, y, strict=True)} == want and all(b - a == 1 or len(q) <= 2000 for a, b, q, _ in blocks) and sum(b - a for a, b, _, _ in blocks) == 600
+    blocks = list(vectors.links(g, x, x, 600))
+    assert {p for q, y in blocks for p in zip(q, y, strict=True)} == want and max(len(q) for q, _ in blocks[1:]) <= 2000 < len(want)
+    assert [len(q) for q, _ in vectors.links(g, x, x[:0], 600)] == []
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 5000])
 def test_samples_round_trip(size):
     data = np.random.default_rng(size).integers(97, 110, size).astype(np.uint8).tobytes()
